@@ -180,5 +180,9 @@ def joined(spans: Column) -> Column:
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Counts of the base spans of each of the first four kinds, the base spans' digest and all spans."""
     base = F.filter("spans", lambda s: s["base"])
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{k}") for k in KINDS[:4]]
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in KINDS[:4]]
     return found.select(id_col, *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
