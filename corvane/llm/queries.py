@@ -3,15 +3,25 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corvane.llm import pii
+from corvane.llm import mixing, pii, sharding
 from corvane.llm.common import table
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(table(spark, sf_dir, "documents"))
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.shards(table(spark, sf_dir, "documents"))
+    return out.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op10_pii": op10_pii}
+QUERIES = {"op1_mixing": op1_mixing, "op3_sharding": op3_sharding, "op10_pii": op10_pii}
 #: No SQL: these operators run Python on whole texts; tests/llm holds them against brute force.
 ORACLES: dict[str, str] = {}
