@@ -1,9 +1,10 @@
 """Shards by vector bin packing: bytes, words and rows are balanced jointly.
 
 The groups are equal texts; each goes to the shard where the dot product of its demand with the shard's residual
-capacity is highest, largest groups first. A group that would weigh more than a small part of a shard is dealt by a
-hash of its ids into SALTS parts, each placed like a group. Groups are packed in cells of bounded size; the bins of
-all cells are then packed in the same way, level by level, until one cell is left. No task sees more than a cell.
+capacity is highest, largest groups first. A group that would fill more than HEAVY of a shard is dealt by a hash of
+its ids into SALTS parts, each placed like a group. Groups are packed into small bins in cells of bounded size; the
+bins of all cells, with the groups that are large beside a bin, are then packed in the same way, level by level,
+until one cell is left, whose bins are the shards. No task sees more than a cell.
 
 Null texts weigh like empty ones. Repeated rows stay rows. An empty table gives an empty result. Further columns
 are ignored.
@@ -18,10 +19,12 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import block_bits, hashed, kept, running_total
 
-#: Groups packed by one task.
-CELL = 2048
+#: Groups packed by one task, and the bins that it packs them into.
+CELL, BINS = 2048, 64
+#: A group of so many times the mean goes on to the next level as it is.
+LARGE = 16
 #: Parts of a heavy group, and the part of a shard above which a group counts as heavy.
-SALTS, HEAVY = 64, 1 / 32
+SALTS, HEAVY = 64, 1 / 2
 DIMENSIONS = ("bytes", "tokens", "rows")
 
 
@@ -38,17 +41,16 @@ def place(demands: np.ndarray, bins: int) -> np.ndarray:
 
 
 def packed(items: DataFrame, cells: int, bins: int) -> DataFrame:
-    """(a, b, cell, bin) of items (a, b, bytes, tokens, rows), packed cell by cell."""
+    """(level, a, b, cell, bin) of items (level, a, b, bytes, tokens, rows), packed cell by cell."""
 
     def pack(x: pd.DataFrame) -> pd.DataFrame:
         demand = x[list(DIMENSIONS)].to_numpy(dtype=float)
         share = (demand / np.maximum(demand.sum(axis=0), 1)).sum(axis=1)
-        x = x.iloc[np.lexsort((x["b"], x["a"], -share))]
-        x["bin"] = place(x[list(DIMENSIONS)].to_numpy(dtype=float), bins)
-        return x[["a", "b", "cell", "bin"]]
+        order = np.lexsort((x["b"], x["a"], x["level"], -share))
+        return x.iloc[order][["level", "a", "b", "cell"]].assign(bin=place(demand[order], bins))
 
-    dealt = items.withColumn("cell", F.pmod(F.xxhash64("a", "b"), F.lit(cells)))
-    return dealt.groupBy("cell").applyInPandas(pack, "a long, b int, cell long, bin int")
+    dealt = items.withColumn("cell", F.pmod(F.xxhash64("level", "a", "b"), F.lit(cells)))
+    return dealt.groupBy("cell").applyInPandas(pack, "level int, a long, b int, cell long, bin int")
 
 
 def sums() -> list:
@@ -77,19 +79,24 @@ def shards(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col:
     parts = rows.select("key", "salt", *DIMENSIONS).groupBy("key", "salt").agg(*sums())
     parts = kept(parts.join(whole, "key").select("key", "salt", F.when(heavy, F.col("salt")).otherwise(-1).alias("unit"), *DIMENSIONS))
 
-    items, levels = parts.groupBy(F.col("key").alias("a"), F.col("unit").alias("b")).agg(*sums()), []
+    items = parts.groupBy(F.lit(0).alias("level"), F.col("key").alias("a"), F.col("unit").alias("b")).agg(*sums())
+    done: list[DataFrame] = []
     while True:
-        n = items.count()
-        cells = max(1, -(-n // CELL))
-        done = kept(packed(items, cells, n_shards))
-        levels.append(done)
+        mean = items.agg(F.count("*").alias("n"), *[F.avg(d).alias(d) for d in DIMENSIONS]).first()
+        cells = max(1, -(-mean["n"] // CELL))
         if cells == 1:
+            to = packed(items, 1, n_shards).select("level", "a", "b", F.col("bin").alias("shard"))
             break
-        items = items.join(done, ["a", "b"]).groupBy(F.col("cell").alias("a"), F.col("bin").alias("b")).agg(*sums())
-    to = levels.pop().select("a", "b", F.col("bin").alias("shard"))
-    for level in reversed(levels):
-        up = to.select(F.col("a").alias("cell"), F.col("b").alias("bin"), "shard")
-        to = level.join(up, ["cell", "bin"]).select("a", "b", "shard")
+        large = F.lit(False)
+        for d in DIMENSIONS:
+            large = large | (F.col(d) > LARGE * mean[d])
+        done.append(kept(packed(items.where(~large), cells, BINS)))
+        bins = items.join(done[-1], ["level", "a", "b"]).groupBy("cell", "bin").agg(*sums())
+        bins = bins.select(F.lit(len(done)).alias("level"), F.col("cell").alias("a"), F.col("bin").alias("b"), *DIMENSIONS)
+        items = kept(items.where(large).unionByName(bins))
+    for k in range(len(done), 0, -1):
+        up = to.where(F.col("level") == k).select(F.col("a").alias("cell"), F.col("b").alias("bin"), "shard")
+        to = to.where(F.col("level") < k).unionByName(done[k - 1].join(up, ["cell", "bin"]).select("level", "a", "b", "shard"))
     units = parts.join(to, (parts.key == to.a) & (parts.unit == to.b)).select("key", "salt", "shard")
     placed = rows.join(units, ["key", "salt"])
     bits = block_bits(total["rows"] or 0)
