@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import mixing, pii, sharding
+from corvane.llm import chat, mixing, pii, sharding
 from corvane.llm.common import table
 
 
@@ -18,10 +18,14 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digest(chat.format_conversations(chat.probe(table(spark, sf_dir, "conversations"))))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op3_sharding": op3_sharding, "op10_pii": op10_pii}
+QUERIES = {"op1_mixing": op1_mixing, "op3_sharding": op3_sharding, "op6_chat": op6_chat, "op10_pii": op10_pii}
 #: No SQL: these operators run Python on whole texts; tests/llm holds them against brute force.
 ORACLES: dict[str, str] = {}
