@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import chat, mixing, pii, sharding, toxicity
+from corvane.llm import chat, fingerprints, mixing, pii, sharding, toxicity
 from corvane.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_conversations(chat.probe(table(spark, sf_dir, "conversations"))))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -32,6 +36,6 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op3_sharding": op3_sharding, "op6_chat": op6_chat, "op8_toxicity": op8_toxicity, "op10_pii": op10_pii}
+QUERIES = {"op1_mixing": op1_mixing, "op3_sharding": op3_sharding, "op6_chat": op6_chat, "op7_fingerprints": op7_fingerprints, "op8_toxicity": op8_toxicity, "op10_pii": op10_pii}
 #: No SQL: these operators run Python on whole texts; tests/llm holds them against brute force.
 ORACLES: dict[str, str] = {}
