@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import chat, fingerprints, mixing, neardup, pii, sharding, toxicity
+import corpus_pipeline
+from corvane.llm import chat, fingerprints, mixing, neardup, packing, pii, sharding, toxicity
 from corvane.llm.common import table
 
 
@@ -18,6 +19,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_conversations(chat.probe(table(spark, sf_dir, "conversations"))))
 
@@ -40,6 +45,6 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op3_sharding": op3_sharding, "op6_chat": op6_chat, "op7_fingerprints": op7_fingerprints, "op8_toxicity": op8_toxicity, "op9_neardup": op9_neardup, "op10_pii": op10_pii}
+QUERIES = {"pipeline": corpus_pipeline.run, "op1_mixing": op1_mixing, "op3_sharding": op3_sharding, "op4_packing": op4_packing, "op6_chat": op6_chat, "op7_fingerprints": op7_fingerprints, "op8_toxicity": op8_toxicity, "op9_neardup": op9_neardup, "op10_pii": op10_pii}
 #: No SQL: these operators run Python on whole texts; tests/llm holds them against brute force.
 ORACLES: dict[str, str] = {}
