@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corvane.llm import chat, fingerprints, mixing, neardup, packing, pii, sharding, toxicity
+from corvane.llm import chat, fingerprints, mixing, neardup, packing, pii, sharding, topk, toxicity
 from corvane.llm.common import table
 
 
@@ -14,6 +14,11 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), topk.quantised(F.col("embedding")).alias("v"))
+    return topk.top(rows, rows.where("id % 50 = 0"), 5)
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shards(table(spark, sf_dir, "documents"))
     return out.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
@@ -45,6 +50,6 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"pipeline": corpus_pipeline.run, "op1_mixing": op1_mixing, "op3_sharding": op3_sharding, "op4_packing": op4_packing, "op6_chat": op6_chat, "op7_fingerprints": op7_fingerprints, "op8_toxicity": op8_toxicity, "op9_neardup": op9_neardup, "op10_pii": op10_pii}
+QUERIES = {"pipeline": corpus_pipeline.run, "op1_mixing": op1_mixing, "op2_topk": op2_topk, "op3_sharding": op3_sharding, "op4_packing": op4_packing, "op6_chat": op6_chat, "op7_fingerprints": op7_fingerprints, "op8_toxicity": op8_toxicity, "op9_neardup": op9_neardup, "op10_pii": op10_pii}
 #: No SQL: these operators run Python on whole texts; tests/llm holds them against brute force.
 ORACLES: dict[str, str] = {}
