@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corvane.llm import chat, fingerprints, mixing, neardup, packing, pii, sharding, topk, toxicity
+from corvane.llm import chat, fingerprints, mixing, neardup, packing, pii, sharding, substrings, topk, toxicity
 from corvane.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.without_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_conversations(chat.probe(table(spark, sf_dir, "conversations"))))
 
@@ -50,6 +54,6 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"pipeline": corpus_pipeline.run, "op1_mixing": op1_mixing, "op2_topk": op2_topk, "op3_sharding": op3_sharding, "op4_packing": op4_packing, "op6_chat": op6_chat, "op7_fingerprints": op7_fingerprints, "op8_toxicity": op8_toxicity, "op9_neardup": op9_neardup, "op10_pii": op10_pii}
+QUERIES = {"pipeline": corpus_pipeline.run, "op1_mixing": op1_mixing, "op2_topk": op2_topk, "op3_sharding": op3_sharding, "op4_packing": op4_packing, "op5_substrings": op5_substrings, "op6_chat": op6_chat, "op7_fingerprints": op7_fingerprints, "op8_toxicity": op8_toxicity, "op9_neardup": op9_neardup, "op10_pii": op10_pii}
 #: No SQL: these operators run Python on whole texts; tests/llm holds them against brute force.
 ORACLES: dict[str, str] = {}
