@@ -5,9 +5,285 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from corvane.functions.codec import encoded_hex
+from corvane.functions.text import ALPHABETIC
+from corvane.functions.time import EVENT_TIME, MONTH_DAY_HOUR, YEAR_TO_HOUR
+from corvane.operators import cooc, counts, graph, index, pagerank, timeseries
+from corvane.plans import oracle
+
+TERM, WORD, QUERY_AND, QUERY_OR, QUERY_NESTED, QUERY_MISSING = oracle.TERM, oracle.WORD, oracle.QUERY_AND, oracle.QUERY_OR, oracle.QUERY_NESTED, oracle.QUERY_MISSING
+SOURCES, KEYWORDS, PARTS = oracle.SOURCES, oracle.KEYWORDS, oracle.PARTS
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("docno"), "text")
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.split_lines(table(spark, sf_dir, "documents"))
+
+
+def inverted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.build_index(documents(spark, sf_dir))
+
+
+def part_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Parts, and an edge from a part to a larger one on the next line of the same order."""
+    a = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    b = a.select(F.col("l_orderkey").alias("o"), (F.col("l_linenumber") - 1).alias("n"), F.col("l_partkey").alias("dst"))
+    both = a.join(b, (F.col("l_orderkey") == F.col("o")) & (F.col("l_linenumber") == F.col("n")) & (F.col("l_partkey") < F.col("dst")))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")), both.select(F.col("l_partkey").alias("src"), "dst").distinct()
+
+
+def thinned_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    nodes, edges = part_graph(spark, sf_dir)
+    return nodes, edges.where("(src * 7 + dst) % 13 = 0")
+
+
+def sparse_nodes(nodes: DataFrame) -> DataFrame:
+    return nodes.where("id % 7 <> 0")
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events")
+
+
+def rounded(df: DataFrame, *cols: str, places: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, places) for c in cols})
+
+
+def postings_text(df: DataFrame) -> DataFrame:
+    text = F.array_join(F.transform("postings", lambda p: F.concat_ws(":", p["docno"], p["tf"])), ",")
+    return df.select("term", "df", text.alias("postings"))
+
+
+# Words and pairs of words
+
+
+def word_count_alpha(spark, sf_dir):
+    return counts.word_count(documents(spark, sf_dir), pattern=ALPHABETIC)
+
+
+def word_count_all(spark, sf_dir):
+    return counts.word_count(documents(spark, sf_dir))
+
+
+def vocab_size(spark, sf_dir):
+    return counts.vocabulary_size(documents(spark, sf_dir))
+
+
+def vocab_size_alpha(spark, sf_dir):
+    return counts.vocabulary_size(documents(spark, sf_dir), pattern=ALPHABETIC)
+
+
+def bigram_count(spark, sf_dir):
+    return counts.bigram_count(lines(spark, sf_dir))
+
+
+def bigram_count_text(spark, sf_dir):
+    return counts.bigram_count_text(lines(spark, sf_dir))
+
+
+# Co-occurrence
+
+
+def cooc_marginals(spark, sf_dir):
+    return cooc.marginals(lines(spark, sf_dir), cooc.MIN_COUNT)
+
+
+def cooc_pairs(spark, sf_dir):
+    return cooc.pairs(lines(spark, sf_dir)).select("left", "right", "cnt")
+
+
+def cooc_conditional(spark, sf_dir):
+    return rounded(cooc.conditional(lines(spark, sf_dir)), "p")
+
+
+def cooc_stripes(spark, sf_dir):
+    return cooc.stripe_pairs(cooc.stripes(lines(spark, sf_dir)))
+
+
+def pmi(spark, sf_dir):
+    return rounded(cooc.pmi(lines(spark, sf_dir)), "pmi")
+
+
+def pmi_compat(spark, sf_dir):
+    return rounded(cooc.pmi(lines(spark, sf_dir), normalise=False), "pmi")
+
+
+def pmi_stripes(spark, sf_dir):
+    return rounded(cooc.pmi_stripes(lines(spark, sf_dir)), "pmi")
+
+
+def pmi_count(spark, sf_dir):
+    return cooc.pmi(lines(spark, sf_dir)).agg(F.count("*").alias("pairs"))
+
+
+def pmi_top_pair(spark, sf_dir):
+    return cooc.pmi_max(pmi(spark, sf_dir))
+
+
+def pmi_topk_for_word(spark, sf_dir):
+    return cooc.pmi_topk(pmi(spark, sf_dir), WORD, 10)
+
+
+# Index and retrieval
+
+
+def inverted_index(spark, sf_dir):
+    return postings_text(inverted(spark, sf_dir))
+
+
+def inverted_index_compressed(spark, sf_dir):
+    return inverted(spark, sf_dir).select("term", encoded_hex(F.col("df"), F.col("postings")).alias("blob"))
+
+
+def index_roundtrip(spark, sf_dir):
+    return postings_text(index.decompressed(index.compressed(inverted(spark, sf_dir))))
+
+
+def postings_lookup(spark, sf_dir):
+    return index.lookup(inverted(spark, sf_dir), TERM)
+
+
+def postings_lookup_compressed(spark, sf_dir):
+    return index.lookup(index.decompressed(index.compressed(inverted(spark, sf_dir)).where(F.col("term") == TERM)), TERM)
+
+
+def tf_histogram(spark, sf_dir):
+    return index.tf_histogram(inverted(spark, sf_dir), TERM)
+
+
+def boolean(query: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: index.boolean_query(inverted(spark, sf_dir), query)
+
+
+def fetch_lines(spark, sf_dir):
+    return index.fetch(index.boolean_query(inverted(spark, sf_dir), QUERY_AND), documents(spark, sf_dir))
+
+
+# Graphs
+
+
+def graph_stats(spark, sf_dir):
+    return graph.stats(*part_graph(spark, sf_dir))
+
+
+def graph_adjacency(spark, sf_dir):
+    return graph.to_adjacency(*part_graph(spark, sf_dir)).select("id", F.array_join(F.transform("adj", lambda x: x.cast("string")), ",").alias("adj"))
+
+
+def graph_repeated_nodes(spark, sf_dir):
+    nodes, edges = part_graph(spark, sf_dir)
+    return graph.repeated_nodes(nodes.unionByName(edges.select(F.col("src").alias("id"))))
+
+
+def graph_range_partition(spark, sf_dir):
+    nodes, _ = part_graph(spark, sf_dir)
+    return graph.partitioned(nodes, PARTS, "range").select("id", F.spark_partition_id().alias("part"))
+
+
+def graph_hash_partition(spark, sf_dir):
+    nodes, _ = part_graph(spark, sf_dir)
+    return graph.partitioned(nodes, PARTS, "hash").select("id", F.spark_partition_id().alias("part"))
+
+
+def graph_hash_partition_counts(spark, sf_dir):
+    return graph_hash_partition(spark, sf_dir).groupBy("part").agg(F.count("*").alias("cnt"))
+
+
+def graph_missing_targets(spark, sf_dir):
+    nodes, edges = part_graph(spark, sf_dir)
+    return graph.missing_targets(sparse_nodes(nodes), edges)
+
+
+def pagerank_k(spark, sf_dir):
+    return rounded(pagerank.pagerank(*part_graph(spark, sf_dir), iterations=10), "p", places=9)
+
+
+def pagerank_missing_nodes(spark, sf_dir):
+    nodes, edges = part_graph(spark, sf_dir)
+    return rounded(pagerank.pagerank(sparse_nodes(nodes), edges.where("src % 7 <> 0"), iterations=3), "p", places=9)
+
+
+def pagerank_top(spark, sf_dir):
+    return pagerank.top_nodes(pagerank_k(spark, sf_dir), 20)
+
+
+def pagerank_log(spark, sf_dir):
+    return rounded(pagerank.with_log(pagerank.pagerank(*part_graph(spark, sf_dir), iterations=3)), "p", "logp", places=7)
+
+
+def pagerank_converged(spark, sf_dir):
+    return rounded(pagerank.pagerank(*part_graph(spark, sf_dir), tolerance=1e-12), "p", places=8)
+
+
+def ppr_k(spark, sf_dir):
+    return rounded(pagerank.personalized_pagerank(*part_graph(spark, sf_dir), SOURCES, 10), "p", places=9)
+
+
+def ppr_top(spark, sf_dir):
+    return pagerank.top_personalized(ppr_k(spark, sf_dir), 10)
+
+
+def wcc_labels(spark, sf_dir):
+    return graph.weak_components(*thinned_graph(spark, sf_dir))
+
+
+def wcc_count(spark, sf_dir):
+    return wcc_labels(spark, sf_dir).agg(F.count_distinct("component").alias("components"))
+
+
+# Events
+
+
+def hourly_all(spark, sf_dir):
+    return timeseries.hourly_counts(events(spark, sf_dir), F.col("ts"), YEAR_TO_HOUR)
+
+
+def hourly_all_mdh(spark, sf_dir):
+    return timeseries.month_day_hour_counts(events(spark, sf_dir), F.col("ts"))
+
+
+def hourly_month_day(spark, sf_dir):
+    return timeseries.hourly_counts(events(spark, sf_dir), F.col("ts"), MONTH_DAY_HOUR)
+
+
+def hourly_zone(spark, sf_dir):
+    return timeseries.hourly_counts(events(spark, sf_dir), F.col("ts"), YEAR_TO_HOUR, tz="Asia/Tokyo")
+
+
+def hourly_keyword(spark, sf_dir):
+    return timeseries.hourly_counts(timeseries.with_keyword(events(spark, sf_dir), "event_type", KEYWORDS), F.col("ts"))
+
+
+def hourly_keyword_regex(spark, sf_dir):
+    return timeseries.month_day_hour_counts(timeseries.matching(events(spark, sf_dir), "event_type", KEYWORDS), F.col("ts"))
+
+
+def hourly_parsed_text(spark, sf_dir):
+    text = F.when(F.col("event_id") % 11 == 0, "not a time").otherwise(F.date_format(F.col("ts").cast("timestamp"), EVENT_TIME))
+    return timeseries.hourly_counts(timeseries.parsed_events(events(spark, sf_dir).select(text.alias("creationtime"))), F.col("ts"), YEAR_TO_HOUR)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        word_count_alpha, word_count_all, vocab_size, vocab_size_alpha, bigram_count, bigram_count_text,
+        cooc_marginals, cooc_pairs, cooc_conditional, cooc_stripes, pmi, pmi_compat, pmi_stripes, pmi_count, pmi_top_pair, pmi_topk_for_word,
+        inverted_index, inverted_index_compressed, index_roundtrip, postings_lookup, postings_lookup_compressed, tf_histogram, fetch_lines,
+        graph_stats, graph_adjacency, graph_repeated_nodes, graph_range_partition, graph_hash_partition, graph_hash_partition_counts, graph_missing_targets,
+        pagerank_k, pagerank_missing_nodes, pagerank_top, pagerank_log, pagerank_converged, ppr_k, ppr_top, wcc_labels, wcc_count,
+        hourly_all, hourly_all_mdh, hourly_month_day, hourly_zone, hourly_keyword, hourly_keyword_regex, hourly_parsed_text,
+    )
+} | {"bool_and": boolean(QUERY_AND), "bool_or": boolean(QUERY_OR), "bool_nested": boolean(QUERY_NESTED), "bool_missing_term": boolean(QUERY_MISSING)}
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return oracle.sql()
