@@ -39,6 +39,8 @@ M = BANDS * ROWS
 LIKELY = 0.69
 #: Rows of a block that is compared with another.
 BLOCK = 1024
+#: Rows of several blocks that a task takes together.
+PART = 8192
 #: Texts whose registers fill together, and their characters, at most (but for a longer text alone).
 BATCH, BATCH_CHARS = 2048, 1 << 21
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -111,32 +113,43 @@ def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     return counted(*shingled([text], SHINGLE))[1:]
 
 
+def shared(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[int, int]:
+    """The size of bag b and of what it shares with bag a; bags are sorted."""
+    at = np.searchsorted(a[0], b[0])
+    at[at == len(a[0])] = 0
+    hit = a[0][at] == b[0] if len(a[0]) else np.zeros(len(b[0]), dtype=bool)
+    return int(b[1].sum()), int(np.minimum(a[1][at[hit]], b[1][hit]).sum())
+
+
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """The weighted Jaccard similarity of two bags."""
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    shared = np.minimum(a[1][i], b[1][j]).sum()
-    total = a[1].sum() + b[1].sum() - shared
-    return float(shared / total) if total else 0.0
+    n, both = shared(a, b)
+    total = int(a[1].sum()) + n - both
+    return both / total if total else 0.0
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs (a, b) of rows (a, b, text of a, text of b) whose similarity is LEAST or more."""
+def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b) of rows (a, b, text of a, text of b) with the sizes of their bags and of what they share."""
     for batch in batches:
         a, b, ta, tb = (batch.column(k).to_pylist() for k in range(4))
-        near, held, key = [], None, None
-        for x, y, s, t in zip(a, b, ta, tb, strict=True):
+        rows, held, key = [], None, None
+        for x, s, t in zip(a, ta, tb, strict=True):
             if x != key:
                 key, held = x, bag(s)
-            other = bag(t)
-            n, m = held[1].sum(), other[1].sum()
-            near.append(min(n, m) >= LEAST * max(n, m) and similarity(held, other) >= LEAST)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
+            rows.append((int(held[1].sum()), *shared(held, bag(t))))
+        columns = list(zip(*rows, strict=True)) or [(), (), ()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, pa.int64()) for c in columns]], names=["a", "b", "na", "nb", "both"])
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes that are near; texts: (node, text)."""
+def measured(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, na, nb, both) of pairs (a, b) of nodes; texts: (node, text)."""
     a, b = texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(_verify, "a binary, b binary")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(_measure, "a binary, b binary, na long, nb long, both long")
+
+
+def near(measures: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose similarity is LEAST or more."""
+    return measures.where(F.col("both") / F.greatest(F.col("na") + F.col("nb") - F.col("both"), F.lit(1)) >= LEAST).select("a", "b")
 
 
 def node(text: Column) -> Column:
@@ -144,25 +157,33 @@ def node(text: Column) -> Column:
 
 
 def _cross(x: pd.DataFrame) -> pd.DataFrame:
-    """Likely pairs of one block of a bucket with another, or with itself; each pair only in the first band that it shares."""
-    left, right = x[x["side"] == 0], x[x["side"] == 1]
-    within = len(right) == 0
-    right = left if within else right
+    """Likely pairs of some blocks of buckets with others, or with themselves; each pair only in the first band that it shares.
+
+    Two bags share no more than the least of what they share with the bucket's best node and the least of the rest.
+    """
     out: list[tuple[bytes, bytes]] = []
-    if len(left) and len(right):
-        band = int(x["band"].iloc[0])
-        p, q = (np.frombuffer(b"".join(s["sign"]), dtype="<u2").reshape(-1, M) for s in (left, right))
-        cp, cq = (pd.factorize(pd.concat([left["root"], right["root"]]))[0][: len(left)], pd.factorize(pd.concat([left["root"], right["root"]]))[0][len(left) :])
-        np_, nq = left["node"].to_numpy(), right["node"].to_numpy()
-        for i in range(len(left)):
-            same = q == p[i]
-            likely = (same.mean(axis=1) >= LIKELY) & (cq != cp[i])
-            if within:
-                likely[: i + 1] = False
-            k = np.flatnonzero(likely)
-            if len(k):
+    if len(x):
+        x = x.sort_values(["band", "key", "i", "j", "side"], ignore_index=True)
+        names, roots, sides, bands = x["node"].to_numpy(), pd.factorize(x["root"])[0], x["side"].to_numpy(), x["band"].to_numpy()
+        signs = np.frombuffer(b"".join(x["sign"]), dtype="<u2").reshape(-1, M)
+        size, inner = x["size"].to_numpy(), x["inner"].to_numpy()
+        keys = x[["band", "key", "i", "j"]].to_numpy()
+        starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
+        for start, stop in zip(starts, np.append(starts[1:], len(x)), strict=True):
+            left = start + np.flatnonzero(sides[start:stop] == 0)
+            right = start + np.flatnonzero(sides[start:stop] == 1)
+            within = int(keys[start][2]) == int(keys[start][3])
+            for n, i in enumerate(left):
+                j = left[n + 1 :] if within else right
+                j = j[roots[j] != roots[i]]
+                most = np.minimum(inner[j], inner[i]) + np.minimum(size[j] - inner[j], size[i] - inner[i])
+                j = j[most >= LEAST * (size[j] + size[i] - most) - 1e-6]
+                if not len(j):
+                    continue
+                same = signs[j] == signs[i]
+                k = np.flatnonzero(same.mean(axis=1) >= LIKELY)
                 first = same[k].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
-                out += [(np_[i], nq[j]) for j in k[first == band]]
+                out += [(names[i], names[m]) for m in j[k[first == bands[i]]]]
     return pd.DataFrame({"a": [min(p) for p in out], "b": [max(p) for p in out]}, dtype=object)
 
 
@@ -181,14 +202,18 @@ def links(docs: DataFrame, text_col: str = "text") -> DataFrame:
     # Round 1: the best-connected node of each bucket with the others.
     best = buckets.join(degree, "node").groupBy("band", "key").agg(F.max(F.struct("degree", "node")).alias("top"))
     stars = buckets.join(best, ["band", "key"]).select(F.col("top.node").alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
-    found = kept(verified(stars, some))
+    compared = kept(measured(stars, some))
+    found = near(compared)
 
     # Round 2: what is still apart within a bucket, by blocks.
     roots = kept(components(found))
     apart = buckets.join(roots, "node", "left").select("band", "key", "node", F.coalesce("root", "node").alias("root"))
+    tops = best.select("band", "key", F.col("top.node").alias("a"))
     sizes = apart.groupBy("band", "key", "root").agg(F.count("*").alias("own"))
     sizes = sizes.groupBy("band", "key").agg(F.max(F.struct("own", "root")).alias("main"), F.sum("own").alias("n"), F.count("*").alias("roots")).where("roots > 1")
     apart = apart.join(sizes.select("band", "key", F.col("main.root").alias("most"), F.col("main.own").alias("in_main"), "n"), ["band", "key"])
+    inner = compared.select("a", F.col("b").alias("node"), F.col("nb").alias("size"), F.col("both").alias("inner"))
+    apart = apart.join(tops, ["band", "key"]).where("a <> node").join(inner, ["a", "node"])
     apart = apart.withColumn("other", F.col("root") != F.col("most"))
     apart = apart.withColumn("others", F.ceil((F.col("n") - F.col("in_main")) / BLOCK)).withColumn("mains", F.ceil(F.col("in_main") / BLOCK))
     apart = apart.withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("other"), F.col("others")).otherwise(F.col("mains"))))
@@ -197,10 +222,12 @@ def links(docs: DataFrame, text_col: str = "text") -> DataFrame:
     main = F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda j: F.struct(F.col("block").alias("i"), (-1 - j).alias("j"), F.lit(0).alias("side")))
     meets = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda i: F.struct(i.alias("i"), (-1 - F.col("block")).alias("j"), F.lit(1).alias("side")))
     dealt = apart.withColumn("meet", F.explode(F.when(F.col("other"), F.concat(up, main)).otherwise(meets)))
+    dealt = kept(dealt.select("node", "root", "band", "key", "size", "inner", "meet.*"))
+    parts = max(1, -(-dealt.count() // PART))
     signs = signed.groupBy("node").agg(F.first("sign").alias("sign"))
-    dealt = dealt.select("node", "root", "band", "key", "meet.*").join(signs, "node")
-    pairs = dealt.groupBy("band", "key", "i", "j").applyInPandas(_cross, "a binary, b binary").distinct()
-    more = verified(pairs.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), some)
+    dealt = dealt.join(signs, "node").withColumn("part", F.pmod(F.xxhash64("band", "key", "i", "j"), F.lit(parts)))
+    pairs = dealt.groupBy("part").applyInPandas(_cross, "a binary, b binary").distinct()
+    more = near(measured(pairs.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), some))
     return found.unionByName(more)
 
 

@@ -3,23 +3,27 @@
 from __future__ import annotations
 
 import numpy as np
-import xxhash
 
-from corvane.llm.common import words
-
-#: Words whose hashes a worker remembers; beyond it, it forgets them all and starts again.
-REMEMBERED = 1 << 19
+#: Bytes that are hashed together, but for a longer word.
+CHUNK = 1 << 21
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
-_known: dict[bytes, int] = {}
+_BREAK = np.zeros(256, dtype=bool)
+_BREAK[[0x20, *range(0x09, 0x0E)]] = True
+_BYTES = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64)
+_BASE = 0x5851F42D4C957F2D
+_powers: dict[int, np.ndarray] = {}
 
 
-def word_hash(word: bytes) -> int:
-    h = _known.get(word)
-    if h is None:
-        if len(_known) >= REMEMBERED:
-            _known.clear()
-        h = _known[word] = xxhash.xxh3_64_intdigest(word)
-    return h
+def powers(base: int, n: int) -> np.ndarray:
+    """The first n powers of a number modulo 2^64."""
+    have = _powers.get(base)
+    if have is None or len(have) < n:
+        have = np.full(max(n, CHUNK + 1), base, dtype=np.uint64)
+        have[0] = 1
+        have = np.cumprod(have, dtype=np.uint64)
+        _powers.clear() if n > CHUNK + 1 else None
+        _powers[base] = have
+    return have[:n]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -29,12 +33,43 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def word_hashes(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word of an array of bytes, and where it begins.
+
+    A word's hash is the sum of its bytes' numbers, each times the base to the power of its place in the word; it is
+    taken from running sums over all bytes, brought back to the word's own start by the base's inverse.
+    """
+    inside = np.zeros(len(flat) + 2, dtype=np.int8)
+    inside[1:-1] = ~_BREAK[flat]
+    edges = np.flatnonzero(np.diff(inside))
+    starts, ends = edges[::2], edges[1::2]
+    sums = np.zeros(len(flat) + 1, dtype=np.uint64)
+    np.cumsum(_BYTES[flat] * powers(_BASE, len(flat)), out=sums[1:])
+    back = powers(pow(_BASE, -1, 1 << 64), len(flat) + 1)
+    return mixed((sums[ends] - sums[starts]) * back[starts]), starts
+
+
 def hashed_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all texts' words, one after another, and where each text's begin (with the end of the last)."""
-    lists = [words(t) for t in texts]
-    bounds = np.zeros(len(lists) + 1, dtype=np.int64)
-    np.cumsum([len(x) for x in lists], out=bounds[1:])
-    return np.fromiter((word_hash(w) for x in lists for w in x), dtype=np.uint64, count=int(bounds[-1])), bounds
+    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    stops = np.cumsum([len(r) + 1 for r in raw], dtype=np.int64)
+    flat = np.frombuffer(b"\n".join([*raw, b""]), dtype=np.uint8)
+    hashes, starts, at = [np.empty(0, dtype=np.uint64)], [np.empty(0, dtype=np.int64)], 0
+    while at < len(flat):
+        stop, reach = len(flat), CHUNK
+        while at + reach < len(flat):
+            cuts = np.flatnonzero(_BREAK[flat[at : at + reach]])
+            if len(cuts):
+                stop = at + int(cuts[-1]) + 1
+                break
+            reach *= 2
+        h, s = word_hashes(flat[at:stop])
+        hashes.append(h)
+        starts.append(s + at)
+        at = stop
+    bounds = np.zeros(len(texts) + 1, dtype=np.int64)
+    bounds[1:] = np.searchsorted(np.concatenate(starts), stops)
+    return np.concatenate(hashes), bounds
 
 
 def runs(hashes: np.ndarray, k: int) -> np.ndarray:
