@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import hashed, kept
 
-BLOCK, PAGE, QUERIES = 8192, 48, 1024
+BLOCK, PAGE, QUERIES = 8192, 384, 1024
 #: Relative slack of distance bounds against rounding.
 SLACK = 1e-9
 
@@ -87,7 +87,9 @@ def search(pages: dict[int, dict], norm: float, query: np.ndarray, own: int, k:
     """
     q = np.append(query.astype(np.float64), 0.0)
     square = float(q @ q)
-    whole = query.astype(np.int64)
+    # Sums of whole numbers below 2^52 are exact in float64, in any order.
+    exact = square * norm < 2.0**104
+    whole = q[:-1] if exact else query.astype(np.int64)
     best: list[tuple[int, int]] = []  # a heap of (score, -id)
     queue = [(0.0, 0, 0, 0.0)]
     computed = 0
@@ -113,9 +115,16 @@ def search(pages: dict[int, dict], norm: float, query: np.ndarray, own: int, k:
             continue
         computed += len(on)
         if p["leaf"]:
-            scores = p["whole"][on] @ whole
-            ids = p["to"][on]
-            if len(best) == k:
+            rows, ids = p["vector" if exact else "whole"], p["to"]
+            rows = rows[:, :-1] if exact else rows
+            if len(on) < len(ids):
+                rows, ids = rows[on], ids[on]
+            scores = (rows @ whole).astype(np.int64)
+            if len(best) < k < len(scores):
+                # Only the k + 1 highest here (one may be the query's own row), and what equals the last, can be among the best.
+                some = np.flatnonzero(scores >= np.partition(scores, -k - 1)[-k - 1])
+                scores, ids = scores[some], ids[some]
+            elif len(best) == k:
                 some = np.flatnonzero(scores >= best[0][0])
                 scores, ids = scores[some], ids[some]
             for s, i in zip(scores.tolist(), ids.tolist(), strict=True):
