@@ -3,13 +3,14 @@
 The graph's edges are the windows of WINDOW words, its nodes the runs of WINDOW - 1 that they share; a repeated edge
 is a window that starts at several places. A window is repeated only if its anchor, the least hash among its runs of
 ANCHOR words, stands in several windows; so anchors are joined first, and only edges with a repeated anchor are
-joined on their hashes (96 bits), which gives each the earliest of its source coordinates (id, place). Along a
-document, repeated edges whose source coordinates go on in step form a nonbranching path, compacted into one span;
-the coordinates, advancing word by word, hold a long span to one source. A word goes if a span covers it whose
-source is earlier than the span itself.
+joined, on anchor and edge hash (128 bits), which gives each the earliest of its source coordinates (id, place).
+Edges that follow one another under one anchor go to the join as one path, and come back as the longest paths whose
+source coordinates go on in step: those don't branch. Along a document such paths are compacted into spans; the
+coordinates, advancing word by word, hold a long span to one source. A word goes if a span covers it whose source is
+earlier than the span itself.
 
 Texts are dealt by a hash to batches of about BATCH_BYTES, which the plan shuffles once and reads three times. What
-goes to a join is one packed entry for each distinct anchor or edge of a batch, so a passage in a third of all
+goes to a join is one entry for each distinct anchor or edge of a batch, packed, so a passage in a third of all
 documents costs each join one entry a batch. Whole texts are read; nothing is sampled.
 
 Null texts have no words. Null ids come last in order. Rows that share an id are one place in order: of equal windows
@@ -34,6 +35,9 @@ BATCH_BYTES = 1 << 20
 #: Entries that one task joins, by estimate.
 BUCKET_ENTRIES = 50_000
 LAST = (1 << 63) - 1
+#: A path of edges under one anchor on its way to the join, and one on its way back with its source.
+PATH = np.dtype([("anchor", "<u8"), ("id", "<i8"), ("place", "<i4"), ("first", "<i4"), ("n", "<i4")])
+BACK = np.dtype([("first", "<i4"), ("n", "<i4"), ("id", "<i8"), ("place", "<i4")])
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -53,11 +57,50 @@ class Windows:
         self.at, self.anchor, self.doc = at, low[at], own[at]
         self.place = at - bounds[self.doc]
 
-    def edges(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The 64-bit and 32-bit hashes of the windows numbered by `some`: three overlapping runs cover each."""
+    def edges(self, some: np.ndarray) -> np.ndarray:
+        """The hashes of the windows numbered by `some`: three overlapping runs cover each."""
         at, gap = self.at[some], (WINDOW - ANCHOR) // 2
-        a, b, c = (self.short[at + k] for k in (0, gap, 2 * gap))
-        return mixed(a * _A + b * _B + c * _C), (mixed(a * _B + b * _C + (c ^ _A)) >> np.uint64(32)).astype(np.uint32)
+        return mixed(self.short[at] * _A + self.short[at + gap] * _B + self.short[at + 2 * gap] * _C)
+
+
+class Edges:
+    """A batch's distinct edges with a repeated anchor, each at its earliest place here, in an order that a rerun repeats."""
+
+    def __init__(self, win: Windows, ids: np.ndarray, found: pd.DataFrame):
+        some = np.flatnonzero(np.isin(win.anchor, _joined(found, "name", "u8")))
+        anchor, w, own, place = win.anchor[some], win.edges(some), ids[win.doc[some]], win.place[some]
+        order = np.lexsort((place, own, w, anchor))
+        new = _changes(anchor[order], w[order])
+        group = np.cumsum(new) - 1
+        first = order[new]  # the window that stands for each edge
+        rank = np.lexsort((w[first], place[first], own[first], anchor[first]))
+        number = np.empty(len(first), dtype=np.int64)
+        number[rank] = np.arange(len(first))
+        self.some, first = some, first[rank]
+        self.of = np.empty(len(some), dtype=np.int64)  # each window's edge
+        self.of[order] = number[group]
+        self.anchor, self.w, self.id, self.place = anchor[first], w[first], own[first], place[first].astype(np.int64)
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before; true for the first."""
+    n = len(columns[0])
+    new = np.zeros(n, dtype=bool)
+    new[:1] = True
+    for x in columns:
+        new[1:] |= x[1:] != x[:-1]
+    return new
+
+
+def _pieces(breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first row and the length of each run of rows that break nothing."""
+    starts = np.flatnonzero(breaks)
+    return starts, np.diff(np.append(starts, len(breaks)))
+
+
+def _each(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """starts, starts + 1, ... for each run, one after another."""
+    return np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(int(lengths.sum()))
 
 
 def _packed(batch: int, bucket: np.ndarray, columns: dict[str, np.ndarray]) -> pd.DataFrame:
@@ -73,7 +116,7 @@ def _packed(batch: int, bucket: np.ndarray, columns: dict[str, np.ndarray]) -> p
     return pd.DataFrame(out)
 
 
-def _joined(x: pd.DataFrame, column: str, kind: str) -> np.ndarray:
+def _joined(x: pd.DataFrame, column: str, kind: str | np.dtype) -> np.ndarray:
     return np.frombuffer(b"".join(x[column]), dtype=kind)
 
 
@@ -97,70 +140,68 @@ def _repeated(x: pd.DataFrame) -> pd.DataFrame:
     return _packed(0, batch[on], {"name": names[on]}).assign(batch=lambda y: y["bucket"])[["batch", "name"]]
 
 
-def _candidates(w: Windows, found: pd.DataFrame) -> np.ndarray:
-    return np.flatnonzero(np.isin(w.anchor, _joined(found, "name", "u8")))
-
-
 def _edges(buckets: int):
     def run(x: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         if not len(x):
-            return pd.DataFrame(columns=["bucket", "batch", "w", "v", "id", "place"])
-        win = Windows(x["text"].tolist())
-        some = _candidates(win, found)
-        w, v = win.edges(some)
-        ids, place = x["id"].to_numpy(dtype=np.int64)[win.doc[some]], win.place[some].astype(np.int32)
-        order = np.lexsort((place, ids, v, w))
-        w, v, ids, place = w[order], v[order], ids[order], place[order]
-        new = np.r_[True, (w[1:] != w[:-1]) | (v[1:] != v[:-1])] if len(w) else np.empty(0, dtype=bool)
-        w, v, ids, place = w[new], v[new], ids[new], place[new]
-        return _packed(int(x["batch"].iloc[0]), (w % np.uint64(buckets)).astype(np.int64), {"w": w, "v": v, "id": ids, "place": place})
+            return pd.DataFrame(columns=["bucket", "batch", "path", "w"])
+        e = Edges(Windows(x["text"].tolist()), x["id"].to_numpy(dtype=np.int64), found)
+        starts, lengths = _pieces(_changes(e.anchor, e.id, e.place - np.arange(len(e.place))))
+        path = np.empty(len(starts), dtype=PATH)
+        path["anchor"], path["id"], path["place"], path["first"], path["n"] = e.anchor[starts], e.id[starts], e.place[starts], starts, lengths
+        bucket = (path["anchor"] % np.uint64(buckets)).astype(np.int64)
+        out = _packed(int(x["batch"].iloc[0]), bucket, {"path": path})
+        # The edges' hashes follow their paths into the buckets.
+        order = np.argsort(bucket, kind="stable")
+        w, sizes = e.w[_each(starts[order], lengths[order])], [int(np.frombuffer(p, dtype=PATH)["n"].sum()) for p in out["path"]]
+        ends = np.cumsum(sizes, dtype=np.int64)
+        out["w"] = [w[b - n : b].tobytes() for b, n in zip(ends, sizes, strict=True)]
+        return out
 
     return run
 
 
 def _firsts(x: pd.DataFrame) -> pd.DataFrame:
-    """For each batch, its edges that start earlier in another batch, with the earliest coordinates."""
-    w, v, ids, place, batch = _joined(x, "w", "u8"), _joined(x, "v", "u4"), _joined(x, "id", "i8"), _joined(x, "place", "i4"), _batches(x, "w", 8)
-    order = np.lexsort((place, ids, v, w))
-    w, v, ids, place, batch = w[order], v[order], ids[order], place[order], batch[order]
-    new = np.r_[True, (w[1:] != w[:-1]) | (v[1:] != v[:-1])] if len(w) else np.empty(0, dtype=bool)
-    head = np.flatnonzero(new)[np.cumsum(new) - 1] if len(w) else np.empty(0, dtype=np.int64)
-    on = ~new
-    out = _packed(0, batch[on], {"w": w[on], "v": v[on], "id": ids[head][on], "place": place[head][on]})
-    return out.assign(batch=out["bucket"])[["batch", "w", "v", "id", "place"]]
-
-
-def _paths(x: pd.DataFrame, found: pd.DataFrame, firsts: pd.DataFrame) -> tuple[Windows, np.ndarray]:
-    """The compacted paths of a batch: rows (text number, from word, to word, source id, source word), in order."""
-    win = Windows(x["text"].tolist())
-    some = _candidates(win, found)
-    w, v = win.edges(some)
-    doc, place = win.doc[some], win.place[some].astype(np.int64)
-    ids = x["id"].to_numpy(dtype=np.int64)[doc]
-    # The earliest place of each edge: among this batch's windows and what other batches have.
-    far_w, far_v, far_id, far_place = (_joined(firsts, c, k) for c, k in (("w", "u8"), ("v", "u4"), ("id", "i8"), ("place", "i4")))
-    all_w, all_v = np.concatenate([w, far_w]), np.concatenate([v, far_v])
-    all_id, all_place = np.concatenate([ids, far_id]), np.concatenate([place, far_place.astype(np.int64)])
-    order = np.lexsort((all_place, all_id, all_v, all_w))
-    new = np.r_[True, (np.diff(all_w[order]) != 0) | (np.diff(all_v[order].astype(np.int64)) != 0)] if len(order) else np.empty(0, dtype=bool)
-    head = order[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(order) else order
-    first = np.empty(len(order), dtype=np.int64)
-    first[order] = head
-    first = first[: len(w)]
-    source, start = all_id[first], all_place[first]
-    later = (source < ids) | ((source == ids) & (start < place))
+    """For each batch, the paths of its edges that start earlier in another batch, with their sources."""
+    path, w = _joined(x, "path", PATH), _joined(x, "w", "u8")
+    batch = _batches(x, "path", PATH.itemsize)
+    n = path["n"].astype(np.int64)
+    number = _each(path["first"].astype(np.int64), n)
+    place = np.repeat(path["place"].astype(np.int64) - path["first"], n) + number
+    anchor, ids, batch = np.repeat(path["anchor"], n), np.repeat(path["id"], n), np.repeat(batch, n)
+    order = np.lexsort((place, ids, w, anchor))
+    new = _changes(anchor[order], w[order])
+    source = np.empty(len(order), dtype=np.int64)
+    source[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(order) else order
+    on = np.flatnonzero((ids[source] != ids) | (place[source] != place))
+    b, k, sid, sp = batch[on], number[on], ids[source[on]], place[source[on]]
+    starts, lengths = _pieces(_changes(b, k - np.arange(len(k)), sid, sp - np.arange(len(sp))))
+    back = np.empty(len(starts), dtype=BACK)
+    back["first"], back["n"], back["id"], back["place"] = k[starts], lengths, sid[starts], sp[starts]
+    return _packed(0, b[starts], {"back": back}).assign(batch=lambda y: y["bucket"])[["batch", "back"]]
+
+
+def _paths(x: pd.DataFrame, found: pd.DataFrame, firsts: pd.DataFrame) -> np.ndarray:
+    """The spans of a batch that repeat earlier passages: rows (text number, from word, to word, source id, source word), in order."""
+    win, ids = Windows(x["text"].tolist()), x["id"].to_numpy(dtype=np.int64)
+    e = Edges(win, ids, found)
+    back = _joined(firsts, "back", BACK)
+    n = back["n"].astype(np.int64)
+    sid, sp = e.id.copy(), e.place.copy()
+    at = _each(back["first"].astype(np.int64), n)
+    sid[at], sp[at] = np.repeat(back["id"], n), _each(back["place"].astype(np.int64), n)
+    doc, place, source, start = win.doc[e.some], win.place[e.some], sid[e.of], sp[e.of]
+    later = (source < ids[doc]) | ((source == ids[doc]) & (start < place))
     doc, place, source, start = doc[later], place[later], source[later], start[later]
-    step = np.r_[True, (np.diff(doc) != 0) | (np.diff(place) != 1) | (np.diff(source) != 0) | (np.diff(start) != 1)] if len(doc) else np.empty(0, dtype=bool)
-    head = np.flatnonzero(step)
-    last = np.append(head[1:], len(doc)) - 1
-    return win, np.column_stack([doc[head], place[head], place[last] + WINDOW, source[head], start[head]]) if len(head) else np.empty((0, 5), dtype=np.int64)
+    step = np.arange(len(doc))
+    starts, lengths = _pieces(_changes(doc, place - step, source, start - step))
+    return np.column_stack([doc[starts], place[starts], place[starts] + lengths - 1 + WINDOW, source[starts], start[starts]])
 
 
 def _spans(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
     names = ["id", "none", "from_word", "to_word", "source_id", "source_word"]
     if not len(x):
         return pd.DataFrame(columns=names)
-    _, paths = _paths(x, y[y["kind"] == 0], y[y["kind"] == 1])
+    paths = _paths(x, y[y["kind"] == 0], y[y["kind"] == 1])
     return pd.DataFrame({"id": x["id"].to_numpy()[paths[:, 0]], "none": x["none"].to_numpy()[paths[:, 0]], "from_word": paths[:, 1], "to_word": paths[:, 2], "source_id": paths[:, 3], "source_word": paths[:, 4]})
 
 
@@ -169,7 +210,7 @@ def _kept(with_text: bool):
         names = ["id", "none", "n_words", "n_removed", "kept_sha256", "kept"]
         if not len(x):
             return pd.DataFrame(columns=names)
-        win, paths = _paths(x, y[y["kind"] == 0], y[y["kind"] == 1])
+        paths = _paths(x, y[y["kind"] == 0], y[y["kind"] == 1])
         gone: dict[int, list[tuple[int, int]]] = {}
         for d, a, b in paths[:, :3].tolist():
             gone.setdefault(d, []).append((a, b))
@@ -201,11 +242,11 @@ def _dealt(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Data
     by = rows.groupBy("batch")
     anchors = by.applyInPandas(_anchors(buckets), "bucket long, batch long, name binary, twice binary")
     repeated = anchors.groupBy("bucket").applyInPandas(_repeated, "batch long, name binary")
-    edges = by.cogroup(repeated.groupBy("batch")).applyInPandas(_edges(buckets), "bucket long, batch long, w binary, v binary, id binary, place binary")
-    firsts = edges.groupBy("bucket").applyInPandas(_firsts, "batch long, w binary, v binary, id binary, place binary")
-    none = F.lit(b"").alias("none")
-    told = repeated.select("batch", F.lit(0).alias("kind"), "name", *[none.alias(c) for c in ("w", "v", "id", "place")])
-    told = told.unionByName(firsts.select("batch", F.lit(1).alias("kind"), none.alias("name"), "w", "v", "id", "place"))
+    edges = by.cogroup(repeated.groupBy("batch")).applyInPandas(_edges(buckets), "bucket long, batch long, path binary, w binary")
+    firsts = edges.groupBy("bucket").applyInPandas(_firsts, "batch long, back binary")
+    none = F.lit(b"")
+    told = repeated.select("batch", F.lit(0).alias("kind"), "name", none.alias("back"))
+    told = told.unionByName(firsts.select("batch", F.lit(1).alias("kind"), none.alias("name"), "back"))
     return rows, told
 
 
