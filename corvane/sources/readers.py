@@ -29,8 +29,8 @@ def tuples(spark: SparkSession, path: str) -> DataFrame:
 
 def adjacency(spark: SparkSession, path: str) -> DataFrame:
     """(id, adj) of lines `id neighbour ...` between white space; blank lines are left out."""
-    parts = F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ")
-    rows = lines(spark, path).where(F.trim(F.regexp_replace("value", r"\s+", " ")) != "").select(F.transform(parts, lambda x: x.cast("long")).alias("all"))
+    parts = F.filter(F.split("value", r"\s+"), lambda x: x != "")
+    rows = lines(spark, path).select(F.transform(parts, lambda x: x.cast("long")).alias("all")).where(F.size("all") > 0)
     return rows.select(F.get("all", F.lit(0)).alias("id"), F.slice("all", F.lit(2), F.greatest(F.size("all") - 1, F.lit(0))).alias("adj"))
 
 
