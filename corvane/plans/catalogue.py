@@ -102,7 +102,7 @@ def cooc_pairs(spark, sf_dir):
 
 
 def cooc_conditional(spark, sf_dir):
-    return rounded(cooc.conditional(lines(spark, sf_dir)), "p")
+    return cooc.conditional(lines(spark, sf_dir))
 
 
 def cooc_stripes(spark, sf_dir):

@@ -84,7 +84,7 @@ def sql() -> dict[str, str]:
         "bigram_count_text": f"WITH {BIGRAMS} SELECT first || '_' || second AS bigram, CAST(sum(cnt) AS BIGINT) AS cnt FROM big GROUP BY 1",
         "cooc_marginals": f"WITH {MARGINALS} SELECT term, cnt FROM mg",
         "cooc_pairs": f'WITH {PAIRS} SELECT "left", "right", cnt FROM prs',
-        "cooc_conditional": f'WITH {PAIRS} SELECT "left", "right", round(cnt / lc, 6) AS p FROM prs',
+        "cooc_conditional": f'WITH {PAIRS} SELECT "left", "right", cnt / lc AS p FROM prs',
         "cooc_stripes": f'WITH {PAIRS} SELECT "left", "right", cnt FROM prs',
         "pmi": f"WITH {PMI} SELECT * FROM pm",
         "pmi_compat": f'WITH {PAIRS} SELECT "left", "right", round(ln(cnt / (lc * rc)), 6) AS pmi FROM prs',
