@@ -6,10 +6,12 @@ each cell up to its count; points in the last cell beyond the count are thinned
 registers, and each register keeps its earliest point, so that two registers agree with the probability of the bags'
 weighted Jaccard similarity. A process ends once its time passes the text's latest register.
 
-Nodes that agree in a band share a bucket. First every bucket's best-connected node is compared with the others;
-what is left apart by that is compared within its buckets, block by block, by signatures, and pairs whose signatures
-agree in LIKELY of the registers are verified by their texts. Classes are the connected components of the verified
-pairs of similarity LEAST or more. No pair is dropped but for a signature that denies it; no group meets in one task.
+Nodes that agree in a band share a bucket. First every bucket's best-connected node is compared with the others: its
+family. Nodes of a family that are still in different components are then compared block by block: pairs that what
+they share with the best node doesn't rule out, and whose signatures agree in LIKELY of the registers, are verified by
+their bags at once, and only links that join components leave the task. Classes are the connected components of the
+verified pairs of similarity LEAST or more. No pair is dropped but for a bound or a signature that denies it; a task
+sees two blocks of a family at most.
 
 Null texts count as empty; texts without words are alike only if equal. Null ids and repeated rows are rows of their
 own, in the class of their text. Empty tables give empty results. Further columns are ignored by classes(), kept by
@@ -38,9 +40,9 @@ M = BANDS * ROWS
 #: Three standard errors below LEAST.
 LIKELY = 0.69
 #: Rows of a block that is compared with another.
-BLOCK = 1024
+BLOCK = 512
 #: Rows of several blocks that a task takes together.
-PART = 8192
+PART = 2048
 #: Texts whose registers fill together, and their characters, at most (but for a longer text alone).
 BATCH, BATCH_CHARS = 2048, 1 << 21
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -157,34 +159,42 @@ def node(text: Column) -> Column:
 
 
 def _cross(x: pd.DataFrame) -> pd.DataFrame:
-    """Likely pairs of some blocks of buckets with others, or with themselves; each pair only in the first band that it shares.
+    """Links between components of some blocks of families and others, or themselves.
 
-    Two bags share no more than the least of what they share with the bucket's best node and the least of the rest.
+    Two bags share no more than the least of what they share with the best node and the least of the rest.
     """
     out: list[tuple[bytes, bytes]] = []
     if len(x):
-        x = x.sort_values(["band", "key", "i", "j", "side"], ignore_index=True)
-        names, roots, sides, bands = x["node"].to_numpy(), pd.factorize(x["root"])[0], x["side"].to_numpy(), x["band"].to_numpy()
+        x = x.sort_values(["a", "i", "j", "side", "node"], ignore_index=True)
+        names, roots, sides = x["node"].to_numpy(), pd.factorize(x["root"])[0], x["side"].to_numpy()
         signs = np.frombuffer(b"".join(x["sign"]), dtype="<u2").reshape(-1, M)
-        size, inner = x["size"].to_numpy(), x["inner"].to_numpy()
-        keys = x[["band", "key", "i", "j"]].to_numpy()
-        starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
+        size, inner, texts = x["size"].to_numpy(), x["inner"].to_numpy(), x["text"].to_numpy()
+        group = pd.factorize(x["a"])[0], x["i"].to_numpy(), x["j"].to_numpy()
+        new = np.r_[True, np.any([g[1:] != g[:-1] for g in group], axis=0)]
+        starts = np.flatnonzero(new)
         for start, stop in zip(starts, np.append(starts[1:], len(x)), strict=True):
             left = start + np.flatnonzero(sides[start:stop] == 0)
             right = start + np.flatnonzero(sides[start:stop] == 1)
-            within = int(keys[start][2]) == int(keys[start][3])
+            within = group[1][start] == group[2][start]
+            own = roots.copy() if len(left) > 1 or len(right) > 1 else roots  # components, as links join them
+            bags: dict[int, tuple[np.ndarray, np.ndarray]] = {}
             for n, i in enumerate(left):
                 j = left[n + 1 :] if within else right
-                j = j[roots[j] != roots[i]]
+                j = j[own[j] != own[i]]
                 most = np.minimum(inner[j], inner[i]) + np.minimum(size[j] - inner[j], size[i] - inner[i])
                 j = j[most >= LEAST * (size[j] + size[i] - most) - 1e-6]
                 if not len(j):
                     continue
-                same = signs[j] == signs[i]
-                k = np.flatnonzero(same.mean(axis=1) >= LIKELY)
-                first = same[k].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
-                out += [(names[i], names[m]) for m in j[k[first == bands[i]]]]
-    return pd.DataFrame({"a": [min(p) for p in out], "b": [max(p) for p in out]}, dtype=object)
+                agree = (signs[j] == signs[i]).mean(axis=1)
+                for k in j[np.argsort(-agree, kind="stable")][: int((agree >= LIKELY).sum())]:
+                    if own[k] == own[i]:
+                        continue
+                    p, q = (bags.setdefault(m, bag(texts[m])) if m not in bags else bags[m] for m in (i, k))
+                    if similarity(p, q) >= LEAST:
+                        out.append((min(names[i], names[k]), max(names[i], names[k])))
+                        here = np.concatenate([left, right])
+                        own[here[own[here] == own[k]]] = own[i]
+    return pd.DataFrame({"a": [p[0] for p in out], "b": [p[1] for p in out]}, dtype=object)
 
 
 def links(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -205,15 +215,13 @@ def links(docs: DataFrame, text_col: str = "text") -> DataFrame:
     compared = kept(measured(stars, some))
     found = near(compared)
 
-    # Round 2: what is still apart within a bucket, by blocks.
+    # Round 2: what is still apart within a family, by blocks.
     roots = kept(components(found))
-    apart = buckets.join(roots, "node", "left").select("band", "key", "node", F.coalesce("root", "node").alias("root"))
-    tops = best.select("band", "key", F.col("top.node").alias("a"))
-    sizes = apart.groupBy("band", "key", "root").agg(F.count("*").alias("own"))
-    sizes = sizes.groupBy("band", "key").agg(F.max(F.struct("own", "root")).alias("main"), F.sum("own").alias("n"), F.count("*").alias("roots")).where("roots > 1")
-    apart = apart.join(sizes.select("band", "key", F.col("main.root").alias("most"), F.col("main.own").alias("in_main"), "n"), ["band", "key"])
-    inner = compared.select("a", F.col("b").alias("node"), F.col("nb").alias("size"), F.col("both").alias("inner"))
-    apart = apart.join(tops, ["band", "key"]).where("a <> node").join(inner, ["a", "node"])
+    family = compared.select("a", F.col("b").alias("node"), F.col("nb").alias("size"), F.col("both").alias("inner"))
+    apart = kept(family.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    sizes = apart.groupBy("a", "root").agg(F.count("*").alias("own"))
+    sizes = sizes.groupBy("a").agg(F.max(F.struct("own", "root")).alias("main"), F.sum("own").alias("n"), F.count("*").alias("roots")).where("roots > 1")
+    apart = apart.join(sizes.select("a", F.col("main.root").alias("most"), F.col("main.own").alias("in_main"), "n"), "a")
     apart = apart.withColumn("other", F.col("root") != F.col("most"))
     apart = apart.withColumn("others", F.ceil((F.col("n") - F.col("in_main")) / BLOCK)).withColumn("mains", F.ceil(F.col("in_main") / BLOCK))
     apart = apart.withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("other"), F.col("others")).otherwise(F.col("mains"))))
@@ -222,13 +230,11 @@ def links(docs: DataFrame, text_col: str = "text") -> DataFrame:
     main = F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda j: F.struct(F.col("block").alias("i"), (-1 - j).alias("j"), F.lit(0).alias("side")))
     meets = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda i: F.struct(i.alias("i"), (-1 - F.col("block")).alias("j"), F.lit(1).alias("side")))
     dealt = apart.withColumn("meet", F.explode(F.when(F.col("other"), F.concat(up, main)).otherwise(meets)))
-    dealt = kept(dealt.select("node", "root", "band", "key", "size", "inner", "meet.*"))
+    dealt = kept(dealt.select("a", "node", "root", "size", "inner", "meet.*"))
     parts = max(1, -(-dealt.count() // PART))
-    signs = signed.groupBy("node").agg(F.first("sign").alias("sign"))
-    dealt = dealt.join(signs, "node").withColumn("part", F.pmod(F.xxhash64("band", "key", "i", "j"), F.lit(parts)))
-    pairs = dealt.groupBy("part").applyInPandas(_cross, "a binary, b binary").distinct()
-    more = near(measured(pairs.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), some))
-    return found.unionByName(more)
+    signs = signed.join(those, "node", "left_semi").groupBy("node").agg(F.first("sign").alias("sign"))
+    dealt = dealt.join(signs.join(some, "node"), "node").withColumn("part", F.pmod(F.xxhash64("a", "i", "j"), F.lit(parts)))
+    return found.unionByName(dealt.groupBy("part").applyInPandas(_cross, "a binary, b binary"))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
