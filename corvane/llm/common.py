@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corvane.plans.lineage import kept
+
+__all__ = ["BLOCK_ROWS", "BREAKS", "block_bits", "hashed", "kept", "n_words", "running_total", "table", "words"]
+
 #: What separates words; the same bytes that bytes.split() splits on.
 BREAKS = "[\\x20\\x09-\\x0D]+"
 #: Rows of one block of a distributed order; each block is sorted by one task.
@@ -27,15 +29,6 @@ def n_words(text: Column) -> Column:
     return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), BREAKS), lambda w: w != "")).cast("long")
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df written to the session's checkpoint folder and read from there, so that lost executors cost no recomputation."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="corvane-checkpoints-"))
-    return df.checkpoint(eager=True)
-
-
 def hashed(*cols: Column | str, bits: int = 62) -> Column:
     """A non-negative hash of the columns."""
     return F.shiftrightunsigned(F.xxhash64(*cols), 64 - bits)
@@ -53,10 +46,8 @@ def running_total(df: DataFrame, groups: list[str], block: str, order: list[Colu
     each block of a group: the blocks' sums come first, then the offset of each block, then the rows of each block.
     """
     sums = df.groupBy(*groups, block).agg(F.sum(value).alias("_sum"))
-    before = Window.partitionBy(*groups).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*(groups or [F.lit(0)])).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(*groups, block, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
-    if not groups:
-        offsets = sums.withColumn("_all", F.lit(0)).select(block, F.coalesce(F.sum("_sum").over(Window.partitionBy("_all").orderBy(block).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     here = Window.partitionBy(*groups, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     inside = df.withColumn("_inside", F.coalesce(F.sum(value).over(here), F.lit(0)))
     same = [inside[c].eqNullSafe(offsets[c]) for c in [*groups, block]]

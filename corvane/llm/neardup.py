@@ -31,8 +31,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.common import kept
-from corvane.llm.components import components
 from corvane.llm.shingles import counted, mixed, shingled
+from corvane.operators.components import components
 
 SHINGLE, LEAST = 5, 0.8
 BANDS, ROWS = 25, 5
@@ -176,7 +176,7 @@ def _cross(x: pd.DataFrame) -> pd.DataFrame:
             left = start + np.flatnonzero(sides[start:stop] == 0)
             right = start + np.flatnonzero(sides[start:stop] == 1)
             within = group[1][start] == group[2][start]
-            own = roots.copy() if len(left) > 1 or len(right) > 1 else roots  # components, as links join them
+            own = roots.copy()  # components, as links join them
             bags: dict[int, tuple[np.ndarray, np.ndarray]] = {}
             for n, i in enumerate(left):
                 j = left[n + 1 :] if within else right
