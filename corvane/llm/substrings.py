@@ -126,7 +126,12 @@ def _batches(x: pd.DataFrame, column: str, width: int) -> np.ndarray:
 
 def _anchors(buckets: int):
     def run(x: pd.DataFrame) -> pd.DataFrame:
-        names, counts = np.unique(Windows(x["text"].tolist()).anchor, return_counts=True)
+        win = Windows(x["text"].tolist())
+        # Windows that share their anchor's first place share one occurrence of it.
+        at, where = win.at, np.empty(len(win.at), dtype=np.int64)
+        for k in range(WINDOW - ANCHOR, -1, -1):
+            where[win.short[at + k] == win.anchor] = k
+        names, counts = np.unique(win.anchor[_changes(at + where)], return_counts=True)
         return _packed(int(x["batch"].iloc[0]), (names % np.uint64(buckets)).astype(np.int64), {"name": names, "twice": counts > 1})
 
     return run

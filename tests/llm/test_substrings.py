@@ -51,3 +51,10 @@ def test_odd_rows_and_spans(spark, monkeypatch):
 def test_kept_text(spark):
     df = spark.createDataFrame([(1, " a\tb\n"), (2, None)], "doc_id long, text string")
     assert {r.doc_id: r.kept for r in substrings.without_repeats(df).collect()} == {1: "a b", 2: ""}
+
+
+def test_periodic_texts(spark):
+    docs = {i: " ".join(f"p{k % period}" for k in range(length)) for i, (period, length) in enumerate([(1, 40), (2, 25), (3, 22), (7, 27), (12, 33), (13, 34), (15, 60), (19, 39), (20, 41), (5, 20)])}
+    docs |= {100 + i: " ".join(f"u{i}_{k % period}" for k in range(21 + period)) for i, period in enumerate(range(1, 25))}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    assert got(substrings.without_repeats(df)) == brute(docs)
