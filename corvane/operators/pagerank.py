@@ -2,7 +2,7 @@
 
 An iteration joins ranks to edges, sums what arrives at each node, and gives back what got lost: what dangling nodes
 held and what went to ids without a record. Edges with their sources' degrees are written once, partitioned by
-source; ranks are written every EVERY iterations, so neither plans nor lineage grow.
+source; what arrives is written in every iteration, for it is read twice, and so neither plans nor lineage grow.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from corvane.plans.lineage import kept
 
-ALPHA, EVERY = 0.15, 5
+ALPHA = 0.15
 
 
 def shared_edges(edges: DataFrame) -> DataFrame:
@@ -34,15 +34,14 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int | None = 10, al
         return nodes.withColumn("p", F.lit(0.0))
     shares = shared_edges(edges)
     ranks = nodes.withColumn("p", F.lit(1.0 / n))
-    for k in range(1, (most if tolerance is not None else iterations or 0) + 1):
+    for _ in range(most if tolerance is not None else iterations or 0):
         arriving = ranks.join(shares, ranks.id == shares.src).groupBy("dst").agg(F.sum(F.col("p") * F.col("part")).alias("m"))
-        held = nodes.join(arriving, nodes.id == arriving.dst, "left").select("id", F.coalesce("m", F.lit(0.0)).alias("m"))
+        held = kept(nodes.join(arriving, nodes.id == arriving.dst, "left").select("id", F.coalesce("m", F.lit(0.0)).alias("m")))
         lost = held.agg(F.greatest(F.lit(0.0), F.lit(1.0) - F.sum("m")).alias("lost"))
         after = held.crossJoin(F.broadcast(lost)).select("id", (F.lit(alpha / n) + (1 - alpha) * (F.col("m") + F.col("lost") / n)).alias("p"))
         if tolerance is None:
-            ranks = kept(after) if k % EVERY == 0 else after
+            ranks = after
             continue
-        after = kept(after)
         change = after.join(ranks.withColumnRenamed("p", "q"), "id").agg(F.sum(F.abs(F.col("p") - F.col("q")))).first()[0]
         ranks = after
         if change <= tolerance:
@@ -63,14 +62,13 @@ def personalized_pagerank(nodes: DataFrame, edges: DataFrame, sources: list[int]
     shares = shared_edges(edges)
     at: list[Column] = [F.col("id") == s for s in sources]
     ranks = nodes.select("id", *[F.when(a, 1.0).otherwise(0.0).alias(f"p{i}") for i, a in enumerate(at)])
-    for k in range(1, iterations + 1):
+    for _ in range(iterations):
         sums = [F.sum(F.col(f"p{i}") * F.col("part")).alias(f"m{i}") for i in range(len(sources))]
         arriving = ranks.join(shares, ranks.id == shares.src).groupBy("dst").agg(*sums)
-        held = nodes.join(arriving, nodes.id == arriving.dst, "left").select("id", *[F.coalesce(f"m{i}", F.lit(0.0)).alias(f"m{i}") for i in range(len(sources))])
+        held = kept(nodes.join(arriving, nodes.id == arriving.dst, "left").select("id", *[F.coalesce(f"m{i}", F.lit(0.0)).alias(f"m{i}") for i in range(len(sources))]))
         lost = held.agg(*[F.greatest(F.lit(0.0), F.lit(1.0) - F.sum(f"m{i}")).alias(f"l{i}") for i in range(len(sources))])
         p = [(F.when(a, alpha).otherwise(0.0) + (1 - alpha) * (F.col(f"m{i}") + F.when(a, F.col(f"l{i}")).otherwise(0.0))).alias(f"p{i}") for i, a in enumerate(at)]
         ranks = held.crossJoin(F.broadcast(lost)).select("id", *p)
-        ranks = kept(ranks) if k % EVERY == 0 else ranks
     return reduce(DataFrame.unionByName, [ranks.select(F.lit(s).cast("long").alias("source"), "id", F.col(f"p{i}").alias("p")) for i, s in enumerate(sources)])
 
 
