@@ -8,9 +8,15 @@ from pyspark.sql import DataFrame
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """df written to the session's checkpoint folder and read from there."""
+    """df written to the session's checkpoint folder and read from there.
+
+    Where no folder is set, a local session (one machine, as in tests) gets one of its own; a cluster's executors
+    don't share such a folder, so there it is an error.
+    """
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="corvane-checkpoints-"))
     return df.checkpoint(eager=True)
