@@ -7,12 +7,16 @@ from pyspark.sql import functions as F
 
 from corvane.plans.lineage import kept
 
-__all__ = ["BLOCK_ROWS", "BREAKS", "block_bits", "hashed", "kept", "n_words", "running_total", "table", "words"]
+__all__ = ["BLOCK_ROWS", "BREAKS", "WHOLE", "block_bits", "count_words", "hashed", "hot_join", "kept", "ranked", "running_total", "table", "text_key", "words"]
 
 #: What separates words; the same bytes that bytes.split() splits on.
 BREAKS = "[\\x20\\x09-\\x0D]+"
 #: Rows of one block of a distributed order; each block is sorted by one task.
 BLOCK_ROWS = 8192
+#: Names of the types of whole numbers.
+WHOLE = ("byte", "short", "integer", "long")
+#: Keys that hot_join() takes apart, at most, and rows that a key may have before it counts as one of them.
+HOT_KEYS, HOT_ROWS = 10_000, 8192
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,9 +28,14 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
-def n_words(text: Column) -> Column:
+def count_words(text: Column) -> Column:
     """The number of words of a text column; 0 for null."""
-    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), BREAKS), lambda w: w != "")).cast("long")
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+")).cast("long")
+
+
+def text_key(text: Column) -> Column:
+    """16 bytes of SHA-256 of a text, null as the empty one: what stands for equal texts."""
+    return F.unhex(F.left(F.sha2(F.coalesce(text, F.lit("")), 256), F.lit(32)))
 
 
 def hashed(*cols: Column | str, bits: int = 62) -> Column:
@@ -56,3 +65,29 @@ def running_total(df: DataFrame, groups: list[str], block: str, order: list[Colu
         on = on & x
     joined = inside.join(offsets, on, "left")
     return joined.select(*[inside[c] for c in df.columns], (F.coalesce(F.col("_before"), F.lit(0)) + F.col("_inside")).cast("long").alias(out))
+
+
+def ranked(ids: DataFrame) -> DataFrame:
+    """(id, rank): the distinct ids (id), but null, numbered from 0 by their order; ids may be of any type that sorts."""
+    ids = ids.where("id is not null").distinct()
+    parts = max(1, -(-ids.count() // BLOCK_ROWS))
+    dealt = kept(ids.repartitionByRange(parts, "id").withColumn("part", F.spark_partition_id()))
+    return kept(running_total(dealt, [], "part", [F.col("id")], F.lit(1), "rank").select("id", "rank"))
+
+
+def hot_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """left joined to right, which has one row for each key at most.
+
+    The rows of keys that hold more than HOT_ROWS of left, and more than one in HOT_KEYS of all (so HOT_KEYS keys at
+    most, whatever the size), stay where they are: the few rows of right that they need are broadcast to them.
+    """
+    sizes = left.groupBy(on).agg(F.count("*").alias("_n"))
+    n = left.count()
+    if n <= HOT_ROWS:
+        return left.join(right, on, how)
+    hot = kept(sizes.where(F.col("_n") > max(HOT_ROWS, n // HOT_KEYS)).select(on))
+    if hot.isEmpty():
+        return left.join(right, on, how)
+    theirs = kept(right.join(F.broadcast(hot), on, "left_semi"))
+    here = left.join(F.broadcast(hot), on, "left_semi").join(F.broadcast(theirs), on, how)
+    return here.unionByName(left.join(F.broadcast(hot), on, "left_anti").join(right, on, how))

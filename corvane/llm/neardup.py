@@ -8,29 +8,32 @@ weighted Jaccard similarity. A process ends once its time passes the text's late
 
 Nodes that agree in a band share a bucket. First every bucket's best-connected node is compared with the others: its
 family. Nodes of a family that are still in different components are then compared block by block: pairs that what
-they share with the best node doesn't rule out, and whose signatures agree in LIKELY of the registers, are verified by
-their bags at once, and only links that join components leave the task. Classes are the connected components of the
-verified pairs of similarity LEAST or more. No pair is dropped but for a bound or a signature that denies it; a task
-sees two blocks of a family at most.
-
-Null texts count as empty; texts without words are alike only if equal. Null ids and repeated rows are rows of their
-own, in the class of their text. Empty tables give empty results. Further columns are ignored by classes(), kept by
-one_of_each().
+they share with the best node doesn't rule out, and whose signatures agree in LIKELY of the registers, are verified at
+once, and only links that join components leave the task. What verifies is the overlap of the two multisets of
+shingles, compared as text. Classes are the connected components of the verified pairs of similarity LEAST or more.
+No pair is dropped but for a bound or a signature that denies it; a task sees two blocks of a family at most.
+
+Null texts count as empty; texts without words are alike only if equal. Texts of any length are signed and compared
+whole. A class is named by its least id, whatever type of id sorts. Null ids and repeated rows are rows of their own,
+in the class of their text; a class of null ids alone has a null name. Empty tables give empty results. Further
+columns, whatever their names, are ignored by classes(), kept by one_of_each().
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import kept
+from corvane.llm.common import hot_join, kept, text_key, words
 from corvane.llm.shingles import counted, mixed, shingled
 from corvane.operators.components import components
 
@@ -104,49 +107,71 @@ def slices(batches: Iterator[pa.RecordBatch], column: int = 1) -> Iterator[pa.Re
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, sign, bands) of rows (node, text); a node that a task meets again isn't signed again."""
+    seen: set[bytes] = set()
     for part in slices(batches):
+        nodes = part.column(0).to_pylist()
+        new = [k for k, n in enumerate(nodes) if not (n in seen or seen.add(n))]
+        part = part.take(pa.array(new, pa.int64()))
         names, has = signatures(part.column(1).to_pylist())
         bands = [[int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(row[b * ROWS : (b + 1) * ROWS].tobytes(), seed=b)))) for b in range(BANDS)] if ok else [] for row, ok in zip(names, has, strict=True)]
         signs = [row.astype("<u2").tobytes() for row in names]
         yield pa.RecordBatch.from_arrays([part.column(0), pa.array(signs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["node", "sign", "bands"])
 
 
-def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
-    return counted(*shingled([text], SHINGLE))[1:]
+def bag(text: str) -> Counter[bytes]:
+    """How often a text has each shingle, as its words joined by one space."""
+    w = words(text)
+    if not 0 < SHINGLE <= len(w):
+        return Counter([b" ".join(w)] if w else [])
+    whole = b" ".join(w)
+    ends = list(accumulate(len(x) + 1 for x in w))
+    return Counter([whole[s:e] for s, e in zip([0, *ends], [e - 1 for e in ends[SHINGLE - 1 :]], strict=False)])
 
 
-def shared(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[int, int]:
-    """The size of bag b and of what it shares with bag a; bags are sorted."""
-    at = np.searchsorted(a[0], b[0])
-    at[at == len(a[0])] = 0
-    hit = a[0][at] == b[0] if len(a[0]) else np.zeros(len(b[0]), dtype=bool)
-    return int(b[1].sum()), int(np.minimum(a[1][at[hit]], b[1][hit]).sum())
+def shared(a: Counter[bytes], b: Counter[bytes]) -> int:
+    """The size of what two bags share."""
+    a, b = (a, b) if len(a) < len(b) else (b, a)
+    return sum(n if n < (m := b[x]) else m for x, n in a.items() if x in b)
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+def similarity(a: Counter[bytes], b: Counter[bytes]) -> float:
     """The weighted Jaccard similarity of two bags."""
-    n, both = shared(a, b)
-    total = int(a[1].sum()) + n - both
+    both = shared(a, b)
+    total = a.total() + b.total() - both
     return both / total if total else 0.0
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs (a, b) of rows (a, b, text of a, text of b) with the sizes of their bags and of what they share."""
-    for batch in batches:
-        a, b, ta, tb = (batch.column(k).to_pylist() for k in range(4))
-        rows, held, key = [], None, None
-        for x, s, t in zip(a, ta, tb, strict=True):
-            if x != key:
-                key, held = x, bag(s)
-            rows.append((int(held[1].sum()), *shared(held, bag(t))))
-        columns = list(zip(*rows, strict=True)) or [(), (), ()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, pa.int64()) for c in columns]], names=["a", "b", "na", "nb", "both"])
+    """The pairs (a, b) with the sizes of their bags and of what they share, from rows (a, block, lead, node, text).
+
+    The rows of a block follow one another, the one of a itself (lead) first.
+    """
+    key, held, size = None, Counter(), 0
+    for part in slices(batches, 4):
+        out: list[tuple] = []
+        for a, block, lead, node_, text in zip(*(part.column(k).to_pylist() for k in range(5)), strict=True):
+            if lead:
+                key, held = (a, block), bag(text)
+                size = held.total()
+                continue
+            if key != (a, block):
+                raise ValueError("a block's rows don't follow its first text")
+            other = bag(text)
+            out.append((a, node_, size, other.total(), shared(held, other)))
+        columns = list(zip(*out, strict=True)) or [()] * 5
+        kinds = [pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["a", "b", "na", "nb", "both"])
 
 
 def measured(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, na, nb, both) of pairs (a, b) of nodes; texts: (node, text)."""
-    a, b = texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(_measure, "a binary, b binary, na long, nb long, both long")
+    """(a, b, na, nb, both) of pairs (a, b) of nodes; texts: (node, text). A block of BLOCK partners has the text of a once."""
+    blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    rows = hot_join(pairs, blocks, "a").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"), F.lit(False).alias("lead"), F.col("b").alias("node"))
+    leads = blocks.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("lead"), F.col("a").alias("node"))
+    both = hot_join(kept(rows.unionByName(leads)), texts, "node").select("a", "block", "lead", "node", "text")
+    dealt = both.repartition("a", "block").sortWithinPartitions("a", "block", F.col("lead").desc())
+    return dealt.mapInArrow(_measure, "a binary, b binary, na long, nb long, both long")
 
 
 def near(measures: DataFrame) -> DataFrame:
@@ -154,10 +179,6 @@ def near(measures: DataFrame) -> DataFrame:
     return measures.where(F.col("both") / F.greatest(F.col("na") + F.col("nb") - F.col("both"), F.lit(1)) >= LEAST).select("a", "b")
 
 
-def node(text: Column) -> Column:
-    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
-
-
 def _cross(x: pd.DataFrame) -> pd.DataFrame:
     """Links between components of some blocks of families and others, or themselves.
 
@@ -177,7 +198,7 @@ def _cross(x: pd.DataFrame) -> pd.DataFrame:
             right = start + np.flatnonzero(sides[start:stop] == 1)
             within = group[1][start] == group[2][start]
             own = roots.copy()  # components, as links join them
-            bags: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            bags: dict[int, Counter[bytes]] = {}
             for n, i in enumerate(left):
                 j = left[n + 1 :] if within else right
                 j = j[own[j] != own[i]]
@@ -199,20 +220,20 @@ def _cross(x: pd.DataFrame) -> pd.DataFrame:
 
 def links(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(a, b): pairs of nodes that are near, enough of them that their components are those of all near pairs."""
-    texts = docs.select(node(F.col(text_col)).alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = docs.select(text_key(F.col(text_col)).alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     signed = kept(texts.mapInArrow(_sign, "node binary, sign binary, bands array<long>"))
     distinct = signed.groupBy("node").agg(F.first("bands").alias("bands"))
     rows = distinct.select("node", F.posexplode("bands").alias("band", "key"))
-    shared = rows.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    buckets = kept(rows.join(shared, ["band", "key"]))
+    common = rows.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
+    buckets = kept(rows.join(common, ["band", "key"]).select("node", F.struct("band", "key").alias("bucket"), "n"))
     degree = buckets.groupBy("node").agg(F.sum("n").alias("degree"))
     those = degree.select("node")
     some = kept(texts.join(those, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
 
     # Round 1: the best-connected node of each bucket with the others.
-    best = buckets.join(degree, "node").groupBy("band", "key").agg(F.max(F.struct("degree", "node")).alias("top"))
-    stars = buckets.join(best, ["band", "key"]).select(F.col("top.node").alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
-    compared = kept(measured(stars, some))
+    best = buckets.join(degree, "node").groupBy("bucket").agg(F.max(F.struct("degree", "node")).alias("top"))
+    stars = hot_join(buckets, best, "bucket").select(F.col("top.node").alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
+    compared = kept(measured(kept(stars), some))
     found = near(compared)
 
     # Round 2: what is still apart within a family, by blocks.
@@ -237,23 +258,31 @@ def links(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return found.unionByName(dealt.groupBy("part").applyInPandas(_cross, "a binary, b binary"))
 
 
+def _roots(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The rows (id, node), written, and (node, root, least) of each node: its component's root, and its least id and text (nulls last)."""
+    roots = components(links(docs, text_col))
+    rows = kept(docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("node")))
+    nodes = rows.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("least"))
+    return rows, kept(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, class_id) of each row; class_id is the least id in the class."""
-    roots = components(links(docs, text_col))
-    rows = docs.select(F.col(id_col).alias("id"), node(F.col(text_col)).alias("node"))
-    rows = kept(rows.join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("root")))
-    least = rows.groupBy("root").agg(F.min("id").alias("least"))
-    return rows.join(least, "root").select(F.col("id").alias(id_col), F.col("least").alias("class_id"))
+    rows, nodes = _roots(docs, id_col, text_col)
+    least = nodes.groupBy("root").agg(F.min("least").alias("first")).select("root", F.col("first.id").alias("class"))
+    named = kept(hot_join(nodes.select("node", "root"), least, "root").select("node", "class"))
+    return hot_join(rows, named, "node").select(F.col("id").alias(id_col), F.col("class").alias("class_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, all columns, with one row of each class: that of the least id (nulls last)."""
-    roots = components(links(docs, text_col))
-    rows = docs.select(F.col(id_col).alias("id"), node(F.col(text_col)).alias("node"))
-    rows = rows.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root"))
-    first = rows.agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("keep"))
-    first = first.select(F.col("keep.id").alias("_id"), F.col("keep.node").alias("_node"))
-    own = docs.withColumn("_own", node(F.col(text_col)))
-    both = own.join(first, (F.col("_own") == F.col("_node")) & F.col(id_col).eqNullSafe(F.col("_id")))
-    both = both.withColumn("_k", F.row_number().over(Window.partitionBy("_node").orderBy(F.lit(0)))).where("_k = 1")
-    return both.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """docs, all columns, with one row of each class: that of the least id (nulls last).
+
+    Of rows alike in id and text the one whose columns hash lowest stays.
+    """
+    _, nodes = _roots(docs, id_col, text_col)
+    first = nodes.groupBy("root").agg(F.min("least").alias("first")).select(F.col("first.id").alias("id"), F.col("first.node").alias("node"))
+    plain = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind]
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(*plain).alias("print"), F.col(id_col).alias("own_id"), text_key(F.col(text_col)).alias("own"))
+    both = own.join(first, (F.col("own") == F.col("node")) & F.col("own_id").eqNullSafe(F.col("id")))
+    order = Window.partitionBy("node").orderBy("print")
+    return both.withColumn("k", F.row_number().over(order)).where("k = 1").select("row.*")

@@ -1,4 +1,4 @@
-from collections import defaultdict
+from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
@@ -12,9 +12,21 @@ from corvane.operators.components import components
 SF = "/root/testdata/sf0.01"
 
 
+def own_bag(text):
+    """The words' runs of five, counted as tuples, by no code of the operator."""
+    w = (text or "").encode().split()
+    return Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)] if w else [])
+
+
+def own_similarity(a, b):
+    both = sum((a & b).values())
+    total = sum(a.values()) + sum(b.values()) - both
+    return both / total if total else 0.0
+
+
 def brute(texts):
     """The class of each (key, text): components of all pairs of similarity 0.8 or more, by the least key."""
-    bags, by = {k: neardup.bag(t or "") for k, t in texts.items()}, defaultdict(set)
+    bags, by = {k: own_bag(t) for k, t in texts.items()}, defaultdict(set)
     root = {k: k for k in texts}
 
     def find(k):
@@ -22,8 +34,8 @@ def brute(texts):
             k = root[k]
         return k
 
-    for k, (runs, _) in bags.items():
-        for r in runs.tolist():
+    for k, runs in bags.items():
+        for r in runs:
             by[r].add(k)
     pairs = {p for x in by.values() for p in combinations(sorted(x), 2)}
     same = defaultdict(list)
@@ -31,7 +43,7 @@ def brute(texts):
         same[t or ""].append(k)
     pairs |= {(min(x), k) for x in same.values() for k in x if k != min(x)}
     for a, b in pairs:
-        if (texts[a] or "") == (texts[b] or "") or neardup.similarity(bags[a], bags[b]) >= 0.8:
+        if (texts[a] or "") == (texts[b] or "") or own_similarity(bags[a], bags[b]) >= 0.8:
             x, y = sorted((find(a), find(b)))
             root[y] = x
     return {k: find(k) for k in texts}
@@ -50,7 +62,7 @@ def test_signatures_are_unbiased():
         x, y = " ".join(a + a[:40] * 2) + f" {k}", " ".join(b)
         s, has = neardup.signatures([x, y])
         assert has.all()
-        errors.append((s[0] == s[1]).mean() - neardup.similarity(neardup.bag(x), neardup.bag(y)))
+        errors.append((s[0] == s[1]).mean() - own_similarity(own_bag(x), own_bag(y)))
     assert abs(np.mean(errors)) < 0.012 and np.std(errors) < 0.06
 
 
@@ -94,3 +106,40 @@ def test_components(spark):
     pairs = [(i, i + 1) for i in range(50)] + [(100, 101), (102, 101), (7, 7), (300, 300)]
     got = {r.node: r.root for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(51)} | {100: 100, 101: 100, 102: 100}
+
+
+def test_bags_are_those_of_the_words():
+    for t in ("", " ", "a", "a b c d", "a b c d e", "a b c d e " * 9, "\x0b é  ü\tq r s a b c d e f"):
+        assert Counter({b" ".join(k): n for k, n in own_bag(t).items()}) == neardup.bag(t)
+
+
+def thue_morse(n):
+    bits = [0]
+    while len(bits) < n:
+        bits += [1 - x for x in bits]
+    return "".join("ab"[x] for x in bits)
+
+
+def test_words_that_polynomials_confuse_are_told_apart(spark):
+    x = thue_morse(1024)
+    y = x.translate(str.maketrans("ab", "ba"))
+    df = spark.createDataFrame([(1, x), (2, y), (3, f"p q r s {x}"), (4, f"p q r s {y}")], "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in neardup.classes(df).collect()} == {1: 1, 2: 2, 3: 3, 4: 4}
+
+
+def test_clashing_columns_string_ids_and_a_stable_choice(spark):
+    rows = [("b", "x y z", 1, 2, 3), ("a", "x y z", 4, 5, 6), ("a", "x y z", 7, 8, 9), ("c", "other", 1, 1, 1), (None, "other", 1, 1, 1)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, _own int, _k int, row int")
+    got = [sorted(map(tuple, neardup.one_of_each(d).collect())) for d in (df, df.repartition(5), df.orderBy(F.col("_own").desc()))]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 2 and set(got[0]) <= set(rows) and got[0][0][0] == "a"
+    assert {r.doc_id: r.class_id for r in neardup.classes(df).collect()} == {"a": "a", "b": "a", "c": "c", None: "c"}
+
+
+def test_hot_join(spark, monkeypatch):
+    from corvane.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    left = spark.createDataFrame([(k % 7 if k % 2 else 1, k) for k in range(50)] + [(99, 0)], "a int, k int")
+    right = spark.createDataFrame([(k, str(k)) for k in range(6)], "a int, v string")
+    for how in ("inner", "left"):
+        assert sorted(map(str, common.hot_join(left, right, "a", how).collect())) == sorted(map(str, left.join(right, "a", how).collect()))

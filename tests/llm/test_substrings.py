@@ -58,3 +58,64 @@ def test_periodic_texts(spark):
     docs |= {100 + i: " ".join(f"u{i}_{k % period}" for k in range(21 + period)) for i, period in enumerate(range(1, 25))}
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
     assert got(substrings.without_repeats(df)) == brute(docs)
+
+
+def thue_morse(n):
+    bits = [0]
+    while len(bits) < n:
+        bits += [1 - x for x in bits]
+    return "".join("ab"[x] for x in bits)
+
+
+def test_words_that_polynomials_confuse_are_told_apart(spark):
+    x = thue_morse(1024)
+    y = x.translate(str.maketrans("ab", "ba"))
+    docs = {k: " ".join([*(f"w{i}" for i in range(15)), z, *(f"v{i}" for i in range(15))]) for k, z in ((1, x), (2, y), (3, x))}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    found = got(substrings.without_repeats(df))
+    assert found == brute(docs) and found[2][1] == 0 and found[3][1] == 31
+
+
+def test_spans_whose_words_differ_stay(spark, monkeypatch):
+    """With hashes that see a word's length alone, only what the source's words confirm goes."""
+    import numpy as np
+
+    def by_length(flat):
+        inside = np.r_[False, ~np.isin(flat, list(b" \t\n\x0b\x0c\r")), False].astype(np.int8)
+        edges = np.flatnonzero(np.diff(inside))
+        sizes = (edges[1::2] - edges[::2]).astype(np.uint64)
+        return sizes, sizes, edges[::2]
+
+    from corvane.llm import shingles
+
+    monkeypatch.setattr(shingles, "word_hashes", by_length)
+    import pandas as pd
+
+    a, b = " ".join(f"a{i}" for i in range(10, 40)), " ".join(f"b{i}" for i in range(10, 40))
+    x = pd.DataFrame({"id": [1, 2, 3], "print": [1, 2, 3], "text": [a, b, a], "batch": 0, "none": False})
+    anchors = substrings._anchors(1)(x)
+    repeated = substrings._repeated(anchors).assign(kind=0, back=b"")
+    found = substrings._spans(x, repeated)
+    assert set(found["row"]) == {0, 1, 2}
+    asked = found.assign(n=found["to_word"] - found["from_word"])
+    wrong = set(substrings._differing(x, asked)["words"])
+    assert {r.row for r in found.itertuples() if r.words in wrong} >= {1}
+
+
+def test_string_ids(spark):
+    a = " ".join(f"a{i}" for i in range(30))
+    docs = {"z": a, "b": f"x {a}", "c": a[: a.index("a9")], "ä": f"{a} q"}
+    df = spark.createDataFrame(list(docs.items()), "doc_id string, text string")
+    assert got(substrings.without_repeats(df)) == brute(docs)
+    assert {tuple(r) for r in substrings.spans(df).collect()} == {("z", 0, 30, "b", 1), ("ä", 0, 30, "b", 1)}
+    none = df.unionByName(spark.createDataFrame([(None, a)], df.schema))
+    assert {r.n_removed for r in substrings.without_repeats(none).collect() if r.doc_id is None} == {30}
+
+
+def test_every_stage_reads_one_exchange(spark):
+    """The texts are dealt once, and spans are found once for both that need them."""
+    df = spark.createDataFrame([(1, "a " * 50), (2, "a " * 50)], "doc_id long, text string")
+    out = substrings.without_repeats(df)
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("_spans(") == 1, plan
