@@ -1,168 +1,177 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on windows of ordinary text, one on the toxic texts' telling words (those
-whose share of toxic texts exceeds their share of ordinary texts by SALIENCE standard errors). A document is cut into
-windows of WINDOW words; each is compressed against the ordinary dictionary, and against it with the toxic one
-appended. The bytes saved by the toxic one are pooled over all windows, and a logistic curve fitted on labelled rows
-that the dictionaries haven't seen turns them into a score. SALIENCE too is chosen there.
-
-Fitting reads LABELLED labelled rows at most: those with the smallest hashes of their ids, so always the same ones.
-Every whole text is scored. Only the text is an input of a score. Null texts count as empty, and empty ones get the
-curve's value at no windows; rows without a label of 0 or 1 aren't learnt from; with labels of one class only, or
-none, each score is that class's share (0 without labels). Repeated rows are scored alike; further columns are kept
-by scored() and clean().
+Two zstandard dictionaries are trained apart, one on windows of toxic text, one on windows of ordinary text, and
+loaded as trained. A window is WINDOW words in a row, each written as CODE bytes of a hash of its first STEM
+characters (lower case, punctuation at its ends left out): a match then is a whole stem, never a chance syllable, and
+a stem that one dictionary lacks costs its full CODE bytes. Every window of a document is compressed with either
+dictionary; where the ordinary one needs at least `least` bytes more than the toxic one, the window is a hit.
+
+The threshold `least` and the size of the toxic dictionary are those of the candidates that predict best on labelled
+documents that the dictionaries haven't seen. A document's hits among its windows are weighed by the two classes' hit
+rates on those documents (the logarithm of the likelihood ratio of its hits), and a logistic curve of that one number,
+fitted there too, gives the score; so 0.5 is the calibrated threshold of a document.
+
+Fitting reads LABELLED labelled rows of LONGEST bytes or less at most: those with the smallest hashes of their ids
+and texts, so always the same ones. Every whole text is scored, of any length. Only the text is an input of a score.
+Null texts count as empty; texts without words get the curve's value at no evidence. Null ids, and rows without a
+label of 0 or 1, aren't learnt from; with labels of one class only, or none, each score is that class's share (0
+without labels). Repeated rows are scored alike, and learnt from once. An empty table gives an empty result. Further
+columns, whatever their names, are kept by scored() and clean(); scored() replaces its output column.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 import zstandard as zstd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Most labelled rows that a fit reads, and the part of them that trains dictionaries; the rest calibrates.
-LABELLED, DICTIONARY_PART = 8000, 0.6
-WINDOW, LEVEL = 6, 3
-ORDINARY_BYTES, TOXIC_BYTES = 32768, 4096
-SALIENCE = (4.0, 5.0, 6.5, 8.0, 11.0)
-#: Windows that train the ordinary dictionary.
-ORDINARY_WINDOWS = 40_000
-RIDGE = 1.0
-
-
-def tokens(text: str | None) -> list[bytes]:
-    return (text or "").lower().encode("utf-8", "surrogatepass").split()
-
-
-def windows(words: list[bytes]) -> list[bytes]:
-    return [b" " + b" ".join(words[i : i + WINDOW]) + b" " for i in range(0, len(words), WINDOW)]
-
-
-def dictionary(samples: list[bytes], size: int) -> bytes:
-    """A zstandard dictionary trained on the samples; their ends, where they are too few to train one."""
+#: Most labelled rows that a fit reads, their longest, and the part of them that trains dictionaries; the rest calibrates.
+LABELLED, LONGEST, DICTIONARY_PART = 8000, 32768, 0.6
+WINDOW, STEM, CODE, LEVEL = 4, 4, 16, 3
+ORDINARY_BYTES, TOXIC_BYTES = 256 << 10, (16 << 10, 24 << 10, 32 << 10)
+#: Candidates for the bytes that make a window a hit.
+LEAST = (6, 8, 10, 11, 12, 13, 14, 15)
+#: Windows that train a dictionary, at most.
+TRAINING_WINDOWS = 200_000
+#: Stems that a task remembers the codes of.
+REMEMBERED = 1 << 17
+RIDGE = 0.01
+PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+class Coder:
+    """Documents as windows of word codes."""
+
+    def __init__(self) -> None:
+        self.codes: dict[bytes, bytes] = {}
+
+    def code(self, word: bytes) -> bytes:
+        have = self.codes.get(word)
+        if have is None:
+            if len(self.codes) >= REMEMBERED:
+                self.codes.clear()
+            stem = word.strip(PUNCTUATION)
+            have = xxhash.xxh3_128_digest(stem.decode("utf-8", "replace")[:STEM].encode())[:CODE] if stem else b""
+            if len(word) <= 64:
+                self.codes[word] = have
+        return have
+
+    def windows(self, text: str | None) -> list[bytes]:
+        words = [c for c in map(self.code, (text or "").lower().encode("utf-8", "surrogatepass").split()) if c]
+        return [b"".join(words[i : i + WINDOW]) for i in range(0, len(words), WINDOW)]
+
+
+def dictionary(windows: list[bytes], size: int) -> bytes:
+    """A zstandard dictionary trained on windows; empty where they are too few to train one."""
+    some = np.random.default_rng(0).permutation(len(windows))[:TRAINING_WINDOWS]
     try:
-        return zstd.train_dictionary(size, samples, k=40, d=6, level=LEVEL).as_bytes()
-    except zstd.ZstdError:
-        return b"".join(samples)[-size:]
+        return zstd.train_dictionary(size, [windows[i] for i in some], k=2 * CODE, d=8, level=LEVEL).as_bytes()
+    except (zstd.ZstdError, ValueError):
+        return b""
 
 
-def compressor(content: bytes) -> zstd.ZstdCompressor:
-    how = zstd.ZstdCompressionParameters.from_level(LEVEL, source_size=64, dict_size=ORDINARY_BYTES + TOXIC_BYTES, min_match=4, hash_log=16, chain_log=16, write_checksum=0, write_content_size=0, write_dict_id=0)
-    if not content:
-        return zstd.ZstdCompressor(compression_params=how)
-    held = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)
+def compressor(trained: bytes):
+    """A function from a window to its compressed bytes."""
+    how = zstd.ZstdCompressionParameters.from_level(LEVEL, source_size=WINDOW * CODE, dict_size=len(trained), write_checksum=0, write_content_size=0, write_dict_id=0)
+    if not trained:
+        return zstd.ZstdCompressor(compression_params=how).compress
+    held = zstd.ZstdCompressionDict(trained, dict_type=zstd.DICT_TYPE_FULLDICT)
     held.precompute_compress(compression_params=how)
-    return zstd.ZstdCompressor(compression_params=how, dict_data=held)
+    return zstd.ZstdCompressor(compression_params=how, dict_data=held).compress
+
+
+def differences(windows: list[bytes], ordinary, toxic) -> np.ndarray:
+    """By how many bytes the ordinary dictionary's windows are longer than the toxic one's."""
+    return np.array([len(ordinary(w)) - len(toxic(w)) for w in windows], dtype=np.int64)
 
 
 @dataclass
 class Model:
     ordinary: bytes = b""
     toxic: bytes = b""
-    mean: tuple = ()
-    scale: tuple = ()
-    weights: tuple = ()  # the last is the constant
-    share: float = 0.0  # each score, if there are no weights
+    least: int = 0
+    rates: tuple[float, float] = (0.0, 0.0)  # of hits among ordinary windows, among toxic documents' windows
+    curve: tuple[float, ...] = ()  # slope and constant
+    share: float = 0.0  # each score, if there is no curve
 
     def scorer(self):
-        if not self.weights:
+        if not self.curve:
             return lambda texts: [self.share] * len(texts)
-        ordinary, both = compressor(self.ordinary).compress, compressor(self.ordinary + self.toxic).compress
-        mean, scale, weights = map(np.asarray, (self.mean, self.scale, self.weights))
+        ordinary, toxic, coder = compressor(self.ordinary), compressor(self.toxic), Coder()
 
         def score(texts: list[str | None]) -> list[float]:
-            x = np.array([pooled(saved(t, ordinary, both)) for t in texts], dtype=float).reshape(len(texts), -1)
-            return curve((x - mean) / scale, weights).tolist()
+            x = np.array([evidence(differences(coder.windows(t), ordinary, toxic), self.least, self.rates) for t in texts], dtype=float)
+            return logistic(x, self.curve).tolist()
 
         return score
 
 
-def saved(text: str | None, ordinary, both) -> np.ndarray:
-    """The bytes that the toxic dictionary saves in each window of a text."""
-    return np.array([len(ordinary(w)) - len(both(w)) for w in windows(tokens(text))], dtype=float)
-
+def evidence(d: np.ndarray, least: int, rates: tuple[float, float]) -> float:
+    """The log likelihood ratio of a document's hits, toxic to ordinary, between -20 and 20."""
+    hits, (p, q) = int((d >= least).sum()), rates
+    return float(np.clip(hits * np.log(q / p) + (len(d) - hits) * np.log((1 - q) / (1 - p)), -20, 20))
 
-def pooled(d: np.ndarray) -> tuple[float, ...]:
-    """What a document's windows come to: shares of windows above thresholds, and mean and total savings above one byte."""
-    if not len(d):
-        return 0.0, 0.0, 0.0, 0.0, 0.0
-    over = np.maximum(d - 1, 0)
-    return (d >= 1).mean(), (d >= 3).mean(), np.sqrt(over.mean()), np.log1p(over.sum()), float((d >= 4).any())
 
+def logistic(x: np.ndarray, curve: tuple[float, ...]) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(curve[0] * x + curve[1], -30, 30)))
 
-def curve(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
 
-
-def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Weights by Newton's steps with a ridge; the last is the constant."""
-    x1, w = np.hstack([x, np.ones((len(x), 1))]), np.zeros(x.shape[1] + 1)
-    for _ in range(30):
-        p = curve(x, w)
-        slope = x1.T @ (y - p) - RIDGE * np.append(w[:-1], 0)
-        bend = (x1 * (p * (1 - p))[:, None]).T @ x1 + np.diag(np.append(np.full(len(w) - 1, RIDGE), 1e-6))
-        step = np.linalg.solve(bend, slope)
-        w = w + step
+def calibrated(x: np.ndarray, y: np.ndarray) -> tuple[tuple[float, float], float]:
+    """The slope and constant of a logistic curve by Newton's steps, and its mean loss."""
+    a, b = 0.0, float(np.log(y.mean() / (1 - y.mean())))
+    for _ in range(50):
+        p = logistic(x, (a, b))
+        w = np.maximum(p * (1 - p), 1e-9)
+        g = np.array([((y - p) * x).sum() - RIDGE * a, (y - p).sum()])
+        h = np.array([[(w * x * x).sum() + RIDGE, (w * x).sum()], [(w * x).sum(), w.sum() + 1e-9]])
+        step = np.clip(np.linalg.solve(h, g), -1, 1)
+        a, b = a + step[0], b + step[1]
         if np.abs(step).max() < 1e-8:
             break
-    return w
-
-
-def telling(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> dict[bytes, float]:
-    """By how many standard errors each word's share of toxic texts exceeds its share of ordinary ones."""
-    t, o = (Counter(w for x in texts for w in set(x)) for texts in (toxic, ordinary))
-    n, m = len(toxic), len(ordinary)
-    out = {}
-    for w, a in t.items():
-        if a >= 3:
-            p = (a + o[w]) / (n + m)
-            out[w] = (a / n - o[w] / m) / np.sqrt(max(p * (1 - p), 1e-12) * (1 / n + 1 / m))
-    return out
+    p = np.clip(logistic(x, (a, b)), 1e-9, 1 - 1e-9)
+    return (float(a), float(b)), float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
 
 
 def fit_rows(rows: list[tuple[int, str | None, int]]) -> Model:
     """A model from (hash, text, label) rows."""
-    rows = sorted({(t or "", int(y)): (h, t, int(y)) for h, t, y in rows}.values(), key=lambda r: (r[0], r[1] or "", r[2]))
+    rows = sorted({(t or "", int(y)): (h, t or "", int(y)) for h, t, y in rows}.values())
     labels = [y for *_, y in rows]
     if len(set(labels)) < 2:
         return Model(share=float(labels[0]) if labels else 0.0)
-    parts: dict[bool, list[list[tuple[str | None, int]]]] = {True: [[], []], False: [[], []]}
+    coder = Coder()
+    train: list[list[bytes]] = [[], []]
+    rest: list[tuple[list[bytes], int]] = []
     for y in (0, 1):
-        own = [(t, y) for _, t, v in rows if v == y]
+        own = [coder.windows(t) for _, t, v in rows if v == y]
         cut = max(1, round(len(own) * DICTIONARY_PART))
-        parts[True][y], parts[False][y] = own[:cut], own[cut:] or own
-    toxic, ordinary = ([tokens(t) for t, _ in parts[True][y]] for y in (1, 0))
-    rest = [*parts[False][0], *parts[False][1]]
+        train[y] = [w for x in own[:cut] for w in x]
+        rest += [(x, y) for x in own[cut:] or own]
     y = np.array([v for _, v in rest], dtype=float)
-    all_windows = [w for x in ordinary for w in windows(x)]
-    some = np.random.default_rng(0).permutation(len(all_windows))[:ORDINARY_WINDOWS]
-    plain = dictionary([all_windows[i] for i in some], ORDINARY_BYTES)
-    first, scores = compressor(plain).compress, telling(toxic, ordinary)
+    plain = dictionary(train[0], min(ORDINARY_BYTES, max(1024, len(train[0]) * WINDOW * CODE // 4)))
+    ordinary = compressor(plain)
+    ordinary_sizes = [np.array([len(ordinary(w)) for w in x], dtype=np.int64) for x, _ in rest]
     best: tuple[float, Model] | None = None
-    for least in SALIENCE:
-        words = {w for w, s in scores.items() if s >= least}
-        told = [b" " + w + b" " for x in toxic for w in x if w in words] or [w for x in toxic for w in windows(x)]
-        # Training leaves out what is too rare for it; all telling words follow, the most telling ones last.
-        listed = b"".join(b" " + w for w in sorted(words, key=lambda w: (scores[w], w)))
-        content = (dictionary(told * 5, TOXIC_BYTES) + listed + b" ")[-TOXIC_BYTES:]
-        both = compressor(plain + content).compress
-        x = np.array([pooled(saved(t, first, both)) for t, _ in rest])
-        mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
-        z = (x - mean) / scale
-        # Each half is judged by the curve of the other.
-        halves, loss = np.arange(len(z)) % 2, 0.0
-        for h in (0, 1):
-            here = halves == h
-            p = np.clip(curve(z[here], logistic(z[~here], y[~here])), 1e-6, 1 - 1e-6)
-            loss -= (y[here] * np.log(p) + (1 - y[here]) * np.log(1 - p)).sum()
-        if best is None or loss < best[0]:
-            best = loss, Model(plain, content, tuple(mean), tuple(scale), tuple(logistic(z, y)))
+    for size in TOXIC_BYTES:
+        trained = dictionary(train[1], min(size, max(1024, len(train[1]) * WINDOW * CODE // 4)))
+        toxic = compressor(trained)
+        d = [sizes - np.array([len(toxic(w)) for w in x], dtype=np.int64) for sizes, (x, _) in zip(ordinary_sizes, rest, strict=True)]
+        for least in LEAST:
+            hits = np.array([[(x >= least).sum(), len(x)] for x in d])
+            # Rates with half a hit more, so that none is 0 or 1; the toxic one is held above the other.
+            p, q = ((hits[y == v, 0].sum() + 0.5) / (hits[y == v, 1].sum() + 1) for v in (0, 1))
+            rates = (p, max(q, p * 1.01)) if p < 0.49 else (0.49, 0.5)
+            x = np.array([evidence(z, least, rates) for z in d])
+            curve, loss = calibrated(x, y)
+            if best is None or loss < best[0]:
+                best = loss, Model(plain, trained, least, rates, curve)
     return best[1]
 
 
@@ -174,9 +183,11 @@ def held_out(id_col: str = "doc_id") -> Column:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = LABELLED) -> Model:
     """A model from labels (id_col, label_col) on docs; the join broadcasts `most` ids at most."""
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col))
-    known = known.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label"), F.xxhash64(id_col).alias("_hash"))
-    some = known.orderBy("_hash", "_id", "_label").limit(most)
-    rows = docs.join(F.broadcast(some), F.col(id_col) == F.col("_id")).select("_hash", F.col(text_col), "_label").limit(2 * most).collect()
+    known = known.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.xxhash64(id_col).alias("hash")).distinct()
+    some = known.orderBy("hash", "id", "label").limit(most)
+    own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    own = own.where(F.octet_length("text") <= LONGEST).join(F.broadcast(some), "id").select("hash", "text", "label")
+    rows = own.orderBy("hash", F.xxhash64("text"), "label").limit(most).collect()
     return fit_rows([tuple(r) for r in rows])
 
 
@@ -195,4 +206,11 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sc
 
 def clean(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
     """The rows of docs that score below `least`, with the columns of docs."""
-    return scored(docs, model, text_col, "_toxicity").where(F.col("_toxicity") < least).select(*[F.col(f"`{c}`") for c in docs.columns])
+    at = docs.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = model.scorer()
+        for b in batches:
+            yield b.filter(pc.less(pa.array(of(b.column(at).to_pylist()), pa.float64()), least))
+
+    return docs.mapInArrow(keep, docs.schema)
