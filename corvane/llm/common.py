@@ -76,18 +76,19 @@ def ranked(ids: DataFrame) -> DataFrame:
 
 
 def hot_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
-    """left joined to right, which has one row for each key at most.
+    """left (written, so that its rows keep their order) joined to right, which has one row for each key at most.
 
-    The rows of keys that hold more than HOT_ROWS of left, and more than one in HOT_KEYS of all (so HOT_KEYS keys at
-    most, whatever the size), stay where they are: the few rows of right that they need are broadcast to them.
+    Keys that hold more than HOT_ROWS rows of left, and more than one in HOT_KEYS of all (so HOT_KEYS keys at most,
+    whatever the size), are dealt over a task for each HOT_ROWS of their rows; right's row goes to each.
     """
-    sizes = left.groupBy(on).agg(F.count("*").alias("_n"))
     n = left.count()
     if n <= HOT_ROWS:
         return left.join(right, on, how)
-    hot = kept(sizes.where(F.col("_n") > max(HOT_ROWS, n // HOT_KEYS)).select(on))
+    sizes = left.groupBy(on).agg(F.count("*").alias("_n")).where(F.col("_n") > max(HOT_ROWS, n // HOT_KEYS))
+    hot = kept(sizes.select(on, F.ceil(F.col("_n") / HOT_ROWS).alias("_parts")))
     if hot.isEmpty():
         return left.join(right, on, how)
-    theirs = kept(right.join(F.broadcast(hot), on, "left_semi"))
-    here = left.join(F.broadcast(hot), on, "left_semi").join(F.broadcast(theirs), on, how)
-    return here.unionByName(left.join(F.broadcast(hot), on, "left_anti").join(right, on, how))
+    hot = F.broadcast(hot)
+    here = left.join(hot, on).withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.col("_parts"))).drop("_parts")
+    theirs = right.join(hot, on).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))).drop("_parts")
+    return here.join(theirs, [on, "_part"], how).drop("_part").unionByName(left.join(hot, on, "left_anti").join(right, on, how))

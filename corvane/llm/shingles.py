@@ -11,8 +11,9 @@ import xxhash
 
 #: Bytes that are hashed together, but for a longer word.
 CHUNK = 1 << 21
-_BREAK = np.zeros(256, dtype=bool)
-_BREAK[[0x20, *range(0x09, 0x0E)]] = True
+#: Which bytes separate words.
+BREAK = np.zeros(256, dtype=bool)
+BREAK[[0x20, *range(0x09, 0x0E)]] = True
 _LOW = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
@@ -27,7 +28,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def word_hashes(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Both lanes of each word of an array of bytes, and where it begins."""
     inside = np.zeros(len(flat) + 2, dtype=np.int8)
-    inside[1:-1] = ~_BREAK[flat]
+    inside[1:-1] = ~BREAK[flat]
     edges = np.flatnonzero(np.diff(inside))
     starts, sizes = edges[::2], edges[1::2] - edges[::2]
     padded = np.zeros(len(flat) + 24, dtype=np.uint8)
@@ -52,7 +53,7 @@ def hashed_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.nd
     while at < len(flat):
         stop, reach = len(flat), CHUNK
         while at + reach < len(flat):
-            cuts = np.flatnonzero(_BREAK[flat[at : at + reach]])
+            cuts = np.flatnonzero(BREAK[flat[at : at + reach]])
             if len(cuts):
                 stop = at + int(cuts[-1]) + 1
                 break
