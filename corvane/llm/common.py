@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.plans.lineage import kept
 
-__all__ = ["BLOCK_ROWS", "BREAKS", "WHOLE", "block_bits", "count_words", "hashed", "hot_join", "kept", "ranked", "running_total", "table", "text_key", "words"]
+__all__ = ["BLOCK_ROWS", "BREAKS", "WHOLE", "block_bits", "count_words", "hashed", "hot_join", "kept", "ranked", "running_total", "table", "text_key", "unused", "words"]
 
 #: What separates words; the same bytes that bytes.split() splits on.
 BREAKS = "[\\x20\\x09-\\x0D]+"
@@ -28,6 +28,14 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, whatever the case."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def count_words(text: Column) -> Column:
     """The number of words of a text column; 0 for null."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+")).cast("long")

@@ -9,9 +9,12 @@ discrepancy leaves it short of come after the schedule.
 Targets: all sources share the whole size by weight; none gets more than REPEATS times its own size, and what is
 cut off there is shared again by weight among the others.
 
-Null texts and empty ones have no words and are never taken. A null source is a source of its own, last in order.
-Repeated rows count apart. An empty table gives an empty mix. Clashing column names are safe: only named columns
-are read, and mixed() returns the columns of docs.
+Null texts and empty ones have no words and are never taken. A null source is a source of its own, last in order; null
+ids are ids like others. Texts of any length are laid whole; a text longer than a block fills several. Rows alike in
+id, source and text are counted first, stand next to one another in the order, and are told apart by a copy number;
+of places that hash alike the order is that of id, then of the text's hash. An empty table gives an empty mix. Only
+the three named columns are read; mixed() returns all columns of docs, whatever their names. Of rows alike in those
+three but not in others, which one is taken more often is settled by a hash of all columns.
 """
 
 from __future__ import annotations
@@ -19,10 +22,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import BREAKS, block_bits, hashed, kept, running_total
+from corvane.llm.common import BREAKS, block_bits, count_words, hashed, kept, running_total
 
 #: Words of a block, the most times that a document is taken, and the weights that sources get in turn.
 BLOCK, REPEATS, WEIGHTS = 1024, 3, (1, 2, 3)
+#: Rows alike that one task spreads out together.
+COPIES = 4096
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
@@ -78,32 +83,29 @@ def schedule(sources: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def laid(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], repeats: int) -> tuple[DataFrame, DataFrame]:
-    """The rows (id, print, size, index, start), start among the words of their source, and the sources with targets."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = kept(
-        docs.select(
-            F.col(id_col).alias("id"),
-            F.col(source_col).alias("source"),
-            F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")).cast("long").alias("size"),
-            F.xxhash64(text).alias("print"),
-        )
-    )
-    sources = kept(targets(rows.groupBy("source").agg(F.sum("size").cast("long").alias("source_size")), weights, repeats))
+    """The rows (id, print, copy, size, index, start), start among the words of their source, and the sources with targets."""
+    text = F.col(text_col)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), count_words(text).alias("size"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("print"))
+    rows = kept(rows.groupBy("id", "source", "size", "print").agg(F.count("*").alias("n")))
+    sources = kept(targets(rows.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).cast("long").alias("source_size")), weights, repeats))
     bits = block_bits(rows.count())
-    rows = rows.join(sources, rows.source.eqNullSafe(sources.source)).select("id", "print", "size", "index")
+    rows = rows.join(sources, rows.source.eqNullSafe(sources.source)).select("id", "print", "n", "size", "index")
     rows = rows.withColumn("place", hashed("id", "print")).withColumn("run", F.shiftrightunsigned("place", 62 - bits))
-    rows = running_total(rows, ["index"], "run", [F.col("place"), F.col("id"), F.col("print")], F.col("size"), "start")
-    return kept(rows.select("id", "print", "size", "index", "start")), sources
+    rows = running_total(rows, ["index"], "run", [F.col("place"), F.col("id"), F.col("print")], F.col("size") * F.col("n"), "start")
+    # Rows alike lie one after another; in blocks first, so that no array holds more than a block of them.
+    rows = rows.withColumn("many", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {COPIES}")))).withColumn("upto", F.least((F.col("many") + 1) * COPIES, F.col("n")) - 1)
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.col("many") * COPIES, F.col("upto"))))
+    return kept(rows.select("id", "print", "copy", "size", "index", (F.col("start") + F.col("copy") * F.col("size")).alias("start"))), sources
 
 
 def mix(rows: DataFrame, sources: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The mix: (slot, index, epoch, start, id, print, size, from, to), words from..to of a document in each slot."""
+    """The mix: (slot, index, epoch, start, id, print, copy, size, from, to), words from..to of a document in each slot."""
     low, high = F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}")
     pieces = rows.where("size > 0").withColumn("block", F.explode(F.sequence(low, high)))
     both = pieces.join(schedule(sources, block), ["index", "block"])
     a = F.greatest(F.col("block") * block - F.col("start"), F.lit(0))
     b = F.least(F.col("block") * block + F.col("words") - F.col("start"), F.col("size"))
-    return both.withColumn("from", a).withColumn("to", b).where("`to` > `from`").select("slot", "index", "epoch", "start", "id", "print", "size", "from", "to")
+    return both.withColumn("from", a).withColumn("to", b).where("`to` > `from`").select("slot", "index", "epoch", "start", "id", "print", "copy", "size", "from", "to")
 
 
 def taken(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -129,20 +131,14 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     Where the target of a source falls inside a document, the text of that time ends there.
     """
     rows, sources = laid(docs, id_col, text_col, source_col, weights, repeats)
-    times = mix(rows, sources).groupBy("index", "start", "epoch", "id", "print", "size").agg(F.max("to").alias("upto"))
-    every = F.sort_array(F.collect_list(F.struct("start", "epoch", "upto", "size")))
-    times = times.groupBy("index", "id", "print").agg(every.alias("_times")).join(sources.select("index", "source"), "index")
-    key = F.xxhash64(F.col("id"), F.col("print"), F.col("source"))
-    times = times.select(key.alias("_key"), F.col("id").alias("_id"), F.col("source").alias("_source"), "_times")
-    text = F.col(text_col)
-    own = docs.withColumn("_own", F.xxhash64(F.col(id_col), F.xxhash64(F.coalesce(text, F.lit(""))), F.col(source_col)))
-    same = (F.col("_own") == F.col("_key")) & F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_source"))
-    both = own.join(times, same)
-    # Rows alike in id, text and source stand together after the join; the k-th of them has the times of the k-th start.
-    order = [F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map" not in kind])]
-    both = both.withColumn("_k", F.row_number().over(Window.partitionBy("_own", "_id", "_source").orderBy(*order)))
-    starts = F.array_distinct(F.transform("_times", lambda x: x["start"]))
-    mine = F.filter("_times", lambda x: x["start"] == F.get(starts, F.col("_k") - 1))
-    both = both.withColumn("_time", F.explode(mine))
-    cut = F.when(F.col("_time.upto") < F.col("_time.size"), first_words(text, F.col("_time.upto"))).otherwise(text)
-    return both.select(*[cut.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    times = mix(rows, sources).groupBy("index", "epoch", "id", "print", "copy", "size").agg(F.max("to").alias("upto"))
+    times = times.join(sources.select("index", "source"), "index").withColumn("key", F.xxhash64("id", "print", "source"))
+    print_ = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    plain = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind]
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(*plain).alias("all"), F.xxhash64(F.col(id_col), print_, F.col(source_col)).alias("own_key"))
+    own = own.withColumn("own_copy", (F.row_number().over(Window.partitionBy("own_key").orderBy("all")) - 1).cast("long"))
+    value = {c: F.col("row").getField(c) for c in docs.columns}
+    same = (F.col("own_key") == F.col("key")) & value[id_col].eqNullSafe(F.col("id")) & value[source_col].eqNullSafe(F.col("source"))
+    both = own.join(times, same & (F.col("own_copy") == F.col("copy")))
+    cut = F.when(F.col("upto") < F.col("size"), first_words(value[text_col], F.col("upto"))).otherwise(value[text_col])
+    return both.select(*[(cut if c == text_col else value[c]).alias(c) for c in docs.columns])

@@ -78,3 +78,18 @@ def test_schedule_is_even(spark):
 def test_first_words(spark):
     df = spark.createDataFrame([(" a  b\nc ", 2), ("a b", 1), ("a b c", 2), ("\ta", 1)], "t string, k int")
     assert [r[0] for r in df.select(mixing.first_words(F.col("t"), F.col("k"))).collect()] == [" a  b", "a", "a b", "\ta"]
+
+
+def test_clashing_names_and_rows_alike(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "COPIES", 2)
+    data = [(k, "a b c", "x", k, -k, "t") for k in range(3)] + [(9, "p q", "y", 1, 1, "u")] * 7 + [(9, "p q", "y", 2, 2, "v")] * 2 + [(None, "n n n", None, 0, 0, "w")] * 5
+    df = spark.createDataFrame(data, "doc_id long, text string, source string, _own int, _k int, _time string")
+    rows = mixing.taken(df).collect()
+    assert len(rows) == len(data)
+    out = mixing.mixed(df).collect()
+    full = {(d[0], *d[2:]) for d in data}
+    assert {(r.doc_id, *tuple(r)[2:]) for r in out} <= full
+    assert sum(len(words(r.text)) for r in out) == sum(r.taken for r in rows)
+    assert sorted(map(str, out)) == sorted(map(str, mixing.mixed(df.repartition(4)).collect()))
+    text_ids = df.withColumn("doc_id", F.concat(F.lit("k"), "doc_id"))
+    assert mixing.taken(text_ids).count() == len(data)
