@@ -2,12 +2,14 @@
 
 The groups are equal texts; each goes to the shard where the dot product of its demand with the shard's residual
 capacity is highest, largest groups first. A group that would fill more than HEAVY of a shard is dealt by a hash of
-its ids into SALTS parts, each placed like a group. Groups are packed into small bins in cells of bounded size; the
+its rows' places into parts, SALTS of them or one for each PART rows of the table, each placed like a group; a lighter
+one stays whole. Groups are packed into small bins in cells of bounded size; the
 bins of all cells, with the groups that are large beside a bin, are then packed in the same way, level by level,
 until one cell is left, whose bins are the shards. No task sees more than a cell.
 
-Null texts weigh like empty ones. Repeated rows stay rows. An empty table gives an empty result. Further columns
-are ignored.
+Null texts weigh like empty ones; null ids are ids like others. Texts of any length are placed whole. Among shards of
+equal dot product the first is taken; slots follow the rows' places in the table as it was read. Repeated rows stay
+rows. An empty table gives an empty result. Further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -17,14 +19,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import block_bits, hashed, kept, running_total
+from corvane.llm.common import BLOCK_ROWS, count_words, kept, running_total
 
 #: Groups packed by one task, and the bins that it packs them into.
 CELL, BINS = 2048, 64
 #: A group of so many times the mean goes on to the next level as it is.
 LARGE = 16
-#: Parts of a heavy group, and the part of a shard above which a group counts as heavy.
-SALTS, HEAVY = 64, 1 / 2
+#: Parts of a heavy group at least, rows of the table for each part, and the part of a shard above which a group counts as heavy.
+SALTS, PART, HEAVY = 64, 1 << 16, 1 / 2
 DIMENSIONS = ("bytes", "tokens", "rows")
 
 
@@ -65,13 +67,15 @@ def shards(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col:
             F.col(id_col).alias("id"),
             (F.octet_length(text) + 1).cast("long").alias("bytes"),
             F.crc32(text.cast("binary")).alias("crc"),
-            F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")).cast("long").alias("tokens"),
+            count_words(text).alias("tokens"),
             F.lit(1).cast("long").alias("rows"),
             F.xxhash64(text).alias("key"),
-            F.pmod(F.xxhash64(F.col(id_col)), F.lit(SALTS)).cast("int").alias("salt"),
+            F.monotonically_increasing_id().alias("place"),
         )
     )
     total = rows.agg(*sums()).first()
+    salts = max(SALTS, -(-(total["rows"] or 0) // PART))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("place"), F.lit(salts)).cast("int"))
     heavy = F.lit(False)
     whole = rows.groupBy("key").agg(*[F.sum(d).alias(f"all_{d}") for d in DIMENSIONS])
     for d in DIMENSIONS:
@@ -99,7 +103,6 @@ def shards(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col:
         to = to.where(F.col("level") < k).unionByName(done[k - 1].join(up, ["cell", "bin"]).select("level", "a", "b", "shard"))
     units = parts.join(to, (parts.key == to.a) & (parts.unit == to.b)).select("key", "salt", "shard")
     placed = rows.join(units, ["key", "salt"])
-    bits = block_bits(total["rows"] or 0)
-    placed = placed.withColumn("block", hashed("id", "key", bits=bits) if bits else F.lit(0).cast("long"))
-    slots = running_total(placed, ["shard"], "block", [F.col("id"), F.col("key")], F.col("rows"), "slot")
+    placed = placed.withColumn("block", F.expr(f"place div {BLOCK_ROWS}"))
+    slots = running_total(placed, ["shard"], "block", [F.col("place")], F.col("rows"), "slot")
     return slots.select(F.col("id").alias(id_col), F.col("bytes").alias("size"), F.col("crc").alias("text_crc32"), "tokens", "shard", "slot")

@@ -47,3 +47,39 @@ def test_hot_group_and_odd_rows(spark):
 def test_place_takes_the_highest_dot_product():
     d = np.array([[4.0, 1.0], [4.0, 1.0], [1.0, 4.0], [1.0, 4.0]])
     assert sorted(sharding.place(d, 2)[:2]) == [0, 1] and sorted(sharding.place(d, 2)[2:]) == [0, 1]
+
+
+def test_groups_just_below_and_above_half_a_shard(spark):
+    """A group of half a shard stays whole; one a little larger is dealt in parts, with null ids too."""
+    for size, whole in ((62, True), (63, False)):
+        data = [(None, "x" * 9)] * size + [(i, f"{i:09d}") for i in range(1000 - size)]
+        rows = sharding.shards(spark.createDataFrame(data, "doc_id long, text string")).collect()
+        assert len(rows) == 1000 and (len({r.shard for r in rows if r.doc_id is None}) == 1) == whole
+        held(rows, 8, 0.02)
+
+
+def brute_place(demands, bins):
+    left = [[1.0] * len(demands[0]) for _ in range(bins)]
+    out = []
+    total = [sum(d[k] for d in demands) / bins for k in range(len(demands[0]))]
+    for d in demands:
+        d = [x / t for x, t in zip(d, total, strict=True)]
+        scores = [sum(a * b for a, b in zip(d, r, strict=True)) for r in left]
+        best = scores.index(max(scores))
+        left[best] = [r - x for r, x in zip(left[best], d, strict=True)]
+        out.append(best)
+    return out
+
+
+def test_whole_tables_against_slow_packing(spark):
+    rng = np.random.default_rng(5)
+    data = [(i, " ".join("w" * int(n) for n in rng.integers(1, 9, rng.integers(1, 60)))) for i in range(300)]
+    rows = {r.doc_id: r for r in sharding.shards(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    demand = np.array([[len(t) + 1, len(t.split()), 1] for _, t in data], dtype=float)
+    share = (demand / demand.sum(axis=0)).sum(axis=1)
+    # Of one share the order is that of a hash; the shares here differ.
+    order = [i for _, i in sorted((-s, i) for i, s in enumerate(share))]
+    if len(set(np.round(share, 12))) == len(share):
+        want = brute_place([demand[i].tolist() for i in order], 8)
+        assert [rows[i].shard for i in order] == want
+    assert all((rows[i].size, rows[i].tokens) == (len(t) + 1, len(t.split())) for i, t in data)
