@@ -3,15 +3,20 @@
 A text's shingles are its runs of five words (the whole text, if it has fewer). Each is hashed to BITS bits; the
 sketch keeps every hash below a fixed part of that range, so that sketches of a document's parts merge into the
 sketch of the whole, and the shared part of two sketches estimates containment however unequal the documents are. A
-text with words, none of whose hashes lies below, keeps its smallest.
+text with words, none of whose hashes lies below, keeps its smallest; a text of fewer than five words keeps the hash
+of all its words, marked as no shingle.
+
+merged() takes parts that overlap by four words: the union of their hashes below the fixed part is the sketch of the
+whole. What parts kept for want of such hashes counts only where no part has one: then the smallest shingle stands.
 
 A fingerprint writes the sorted hashes in hexadecimal. Equal texts have equal ones; null counts as the empty text,
 whose fingerprint is empty. Likeness is the part of the first sketch found in the second: 1 for two empty ones, 0 for
 an empty one and another.
 
-edited() pairs every document with the next one by descending id, nulls last, the first following the last. Rows that
-share an id share their next one, of which one with the smallest hash counts. One document is its own next. Repeated
-rows give repeated results; an empty table gives none; further columns are ignored.
+edited() pairs every document with the next one by descending id, of whatever type sorts, nulls last, the first
+following the last. Rows that share an id share their next one, of which the one with the smallest hash counts. One
+document is its own next. Texts of any length are read whole. Repeated rows give repeated results; an empty table gives
+none; further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -19,32 +24,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import BREAKS, kept
+from corvane.llm.common import BREAKS, kept, unused
 
 SHINGLE, BITS, FRACTION = 5, 40, 1 / 4
-#: Ids whose numbers differ only in so many last bits are ordered by one task.
-RUN_BITS = 13
+#: What marks the hash of a text that has no shingle.
+SHORT = 1 << BITS
+#: Ids that one task orders.
+RUN = 1 << 15
 
 
 def word_hashes(text: Column) -> Column:
     return F.transform(F.filter(F.split(text, BREAKS), lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
+def limit(fraction: float) -> int:
+    return int(fraction * (1 << BITS))
+
+
 def with_sketch(df: DataFrame, text: Column, out: str, fraction: float = FRACTION) -> DataFrame:
     """df with the sketch of a text, an array of long, in column out."""
-    df = df.withColumn("_w", word_hashes(F.coalesce(text, F.lit(""))))
-    n, w = F.size("_w"), F.col("_w")
+    columns, words, all_hashes, low = [F.col(f"`{c}`") for c in df.columns if c != out], *(unused(df, x) for x in ("_words", "_hashes", "_low"))
+    df = df.withColumn(words, word_hashes(F.coalesce(text, F.lit(""))))
+    n, w = F.size(words), F.col(words)
     runs = F.transform(F.sequence(F.lit(0), n - SHINGLE), lambda i: F.shiftrightunsigned(F.xxhash64(*[F.get(w, i + k) for k in range(SHINGLE)]), 64 - BITS))
-    whole = F.when(n > 0, F.array(F.shiftrightunsigned(F.xxhash64(w), 64 - BITS))).otherwise(F.array().cast("array<long>"))
-    df = df.withColumn("_s", F.when(n >= SHINGLE, runs).otherwise(whole)).drop("_w")
-    low = F.filter("_s", lambda h: h < int(fraction * (1 << BITS)))
-    df = df.withColumn("_low", low)
-    few = F.when((F.size("_low") == 0) & (F.size("_s") > 0), F.array(F.array_min("_s"))).otherwise(F.array_sort(F.array_distinct("_low")))
-    return df.withColumn(out, few).drop("_s", "_low")
+    whole = F.when(n > 0, F.array(F.shiftrightunsigned(F.xxhash64(w), 64 - BITS) + SHORT)).otherwise(F.array().cast("array<long>"))
+    df = df.withColumn(all_hashes, F.when(n >= SHINGLE, runs).otherwise(whole)).drop(words)
+    df = df.withColumn(low, F.filter(all_hashes, lambda h: h < limit(fraction)))
+    few = F.when((F.size(low) == 0) & (F.size(all_hashes) > 0), F.array(F.array_min(all_hashes))).otherwise(F.array_sort(F.array_distinct(low)))
+    return df.select(*columns, few.alias(out))
 
 
 def fingerprint(sketch: Column) -> Column:
-    return F.array_join(F.transform(sketch, lambda h: F.lpad(F.lower(F.hex(h)), BITS // 4, "0")), "")
+    """The hashes in hexadecimal, BITS // 4 digits each; one more for the hash of a text without shingles."""
+    return F.array_join(F.transform(sketch, lambda h: F.lpad(F.lower(F.hex(h)), F.when(h >= SHORT, BITS // 4 + 1).otherwise(BITS // 4), F.lit("0"))), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -52,25 +64,30 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == 0, (F.size(b) == 0).cast("double")).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
 
 
-def merged(df: DataFrame, groups: list[str], sketch: str = "sketch") -> DataFrame:
+def merged(df: DataFrame, groups: list[str], sketch: str = "sketch", fraction: float = FRACTION) -> DataFrame:
     """(groups, sketch): the sketches of each group as one."""
-    return df.select(*groups, F.explode(sketch).alias("_h")).distinct().groupBy(*groups).agg(F.array_sort(F.collect_list("_h")).alias(sketch))
+    name = unused(df, "_h")
+    h = F.col(name)
+    rows = df.select(*groups, F.explode_outer(sketch).alias(name)).distinct()
+    low, rest = F.sort_array(F.collect_list(F.when(h < limit(fraction), h))), F.min(F.when(h >= limit(fraction), h))
+    out = F.when(F.size(low) > 0, low).when(rest.isNotNull(), F.array(rest)).otherwise(F.array().cast("array<long>"))
+    return rows.groupBy(*groups).agg(out.alias(sketch))
 
 
 def before(ids: DataFrame) -> DataFrame:
-    """(key, none, prev) of distinct ids (key, none, need): prev is the row that each follows, by descending id."""
-    row = F.struct("none", "key", "need")
-    ids = ids.withColumn("run", F.when(~F.col("none"), F.expr(f"shiftright(key, {RUN_BITS})")))
-    order = [F.col("none"), F.col("key").desc()]
-    inside = ids.withColumn("prev", F.lag(row).over(Window.partitionBy("run").orderBy(*order)))
-    # In order, the rows of a run end with the one of the least id.
-    runs = ids.groupBy("run").agg(F.min_by(row, "key").alias("end"))
-    runs = kept(runs)
-    falling = Window.partitionBy(F.lit(0)).orderBy(F.col("run").desc_nulls_last())
-    whole = falling.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ends = runs.select(F.col("run").alias("of"), F.coalesce(F.lag("end").over(falling), F.last("end").over(whole)).alias("end"))
-    both = inside.join(ends, F.col("run").eqNullSafe(F.col("of")))
-    return both.select("key", "none", F.coalesce("prev", "end").alias("prev"))
+    """(key, prev) of distinct keys (key: struct of an id, need): prev is the row that each follows, by descending id, nulls last."""
+    runs = max(1, -(-ids.count() // RUN))
+    falling = F.col("key.id").desc_nulls_last()
+    dealt = kept(ids.repartitionByRange(runs, falling).withColumn("run", F.spark_partition_id()))
+    row = F.struct("key", "need")
+    inside = dealt.withColumn("prev", F.lag(row).over(Window.partitionBy("run").orderBy(falling)))
+    # In order, a run ends with its null id, or else its least.
+    ends = kept(dealt.groupBy("run").agg(F.min(F.struct(F.col("key.id").isNotNull().alias("known"), "key", "need")).alias("end")))
+    order = Window.partitionBy(F.lit(0)).orderBy("run")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ends = ends.select("run", F.coalesce(F.lag("end").over(order), F.last("end").over(whole)).alias("end"))
+    both = inside.join(ends, "run")
+    return both.select("key", F.coalesce("prev", F.struct("end.key", "end.need")).alias("prev"))
 
 
 def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -78,25 +95,22 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     The edited text has its last floor(n_chars / 3) characters replaced by the first as many of the next document.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    key, none = F.coalesce(F.col(id_col).cast("long"), F.lit(0)), F.col(id_col).isNull()
-    need = F.expr("length(text) div 3").cast("int")
-    ids = docs.select(key.alias("key"), none.alias("none"), text.alias("text")).groupBy("key", "none").agg(F.max(need).alias("need"))
-    prevs = kept(before(ids))
-    rows = with_sketch(docs.select(key.alias("key"), none.alias("none"), text.alias("text")), F.col("text"), "sketch")
+    # A struct of the id is never null, and equals another if both ids are null.
+    own = docs.select(F.struct(F.col(id_col).alias("id")).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    prevs = kept(before(kept(own.groupBy("key").agg(F.max(F.expr("length(text) div 3").cast("int")).alias("need")))))
+    rows = with_sketch(own, F.col("text"), "sketch")
 
     # What each document gives to the one it follows: as many first characters as that one needs, and its sketch.
-    gives = rows.join(prevs, ["key", "none"])
-    gives = gives.withColumn("k", F.row_number().over(Window.partitionBy("key", "none").orderBy(F.xxhash64("text")))).where("k = 1")
-    gives = gives.select(F.col("prev.key").alias("key"), F.col("prev.none").alias("none"), F.expr("left(text, prev.need)").alias("next_text"), F.col("sketch").alias("next_sketch"))
+    gives = rows.join(prevs, "key")
+    gives = gives.withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("text")))).where("k = 1")
+    gives = gives.select(F.col("prev.key").alias("key"), F.expr("left(text, prev.need)").alias("next_text"), F.col("sketch").alias("next_sketch"))
 
-    both = rows.join(gives, ["key", "none"]).withColumn("n_chars", F.length("text"))
+    both = rows.join(gives, "key").withColumn("n_chars", F.length("text"))
     cut = F.expr("n_chars div 3").cast("int")
     both = both.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars") - cut), F.substring("next_text", F.lit(1), cut)))
     both = with_sketch(both, F.col("edited"), "edited_sketch")
-    own = F.when(F.col("none"), F.lit(None)).otherwise(F.col("key")).cast(docs.schema[id_col].dataType)
     return both.select(
-        own.alias(id_col),
+        F.col("key.id").alias(id_col),
         F.col("n_chars").cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
         fingerprint(F.col("sketch")).alias("fingerprint"),

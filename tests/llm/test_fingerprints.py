@@ -61,3 +61,40 @@ def test_sketches_merge(spark):
     df = spark.createDataFrame([(0, " ".join(w[:1504])), (0, " ".join(w[1500:])), (1, text)], "g int, text string")
     out = {r.g: r.sketch for r in fingerprints.merged(fingerprints.with_sketch(df, F.col("text"), "sketch"), ["g"]).collect()}
     assert out[0] == out[1] and 600 < len(out[1]) < 900
+
+
+def test_short_parts_merge(spark):
+    parts = [(0, "a b c d e"), (0, "b c d e f"), (1, "a b c d e f"), (2, "x y"), (2, "q r s t u"), (3, "q r s t u"), (4, "x y"), (5, "")]
+    for fraction in (1e-9, 0.5, 1.0):
+        df = spark.createDataFrame(parts, "g int, _h string")
+        rows = fingerprints.with_sketch(df, F.col("_h"), "sketch", fraction)
+        out = {r.g: r.sketch for r in fingerprints.merged(rows, ["g"], fraction=fraction).collect()}
+        assert out[0] == out[1] and out[2] == out[3] and len(out[4]) == 1 and out[4][0] >= fingerprints.SHORT and out[5] == []
+
+
+def slow_sketch(spark, texts):
+    """By single shingles, one row each, hashed apart."""
+    rows = [(k, *s) for k, t in enumerate(texts) for s in shingles(t) if len(s) == 5]
+    df = spark.createDataFrame([(r[0], *[w.decode() for w in r[1:]]) for r in rows], "k int, a string, b string, c string, d string, e string")
+    h = F.shiftrightunsigned(F.xxhash64(*[F.xxhash64(c) for c in "abcde"]), 24)
+    out = {k: set() for k in range(len(texts))}
+    for r in df.select("k", h.alias("h")).collect():
+        out[r.k].add(r.h)
+    return [sorted(x for x in v if x < (1 << 40) // 4) or sorted(v)[:1] for v in out.values()]
+
+
+def test_the_sketch_itself(spark):
+    texts = ["a b c d e f g", " ".join(f"w{i % 50}" for i in range(400)), "é ü ö ä ß", "one two three four five six " * 3]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    got = [r.s for r in fingerprints.with_sketch(df, F.col("t"), "s").orderBy("k").collect()]
+    assert got == slow_sketch(spark, texts)
+
+
+def test_any_ids_in_runs(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "RUN", 3)
+    docs = {f"k{(i * 7919) % 1000}": f"text {i} of some words " * (i % 5) for i in range(40)}
+    held(fingerprints.edited(spark.createDataFrame(list(docs.items()), "doc_id string, text string")).collect(), docs)
+    far = {(i * 2654435761) % (1 << 62): f"t {i} " * 9 for i in range(1, 60)}
+    held(fingerprints.edited(spark.createDataFrame(list(far.items()), "doc_id long, text string")).collect(), far)
+    none = spark.createDataFrame([(None, "abcdef"), (1, "uvwxyz")], "doc_id long, text string")
+    assert {r.doc_id: r.edited_sha256 for r in fingerprints.edited(none).collect()} == {None: hashlib.sha256(b"abcduv").hexdigest(), 1: hashlib.sha256(b"uvwxab").hexdigest()}
