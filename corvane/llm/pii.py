@@ -4,14 +4,18 @@ Kinds, in this order: email, ip, card, phone, iban, ssn. Base spans (the first f
 stay. Further spans are kept at a score of KEEP or more: IBANs whose mod-97 is 1, cards of 13 digits that pass Luhn,
 national telephone numbers and social security numbers with a context word nearby.
 
-Every search is linear in the text. Offsets count code points; ends are exclusive. Null texts count as empty; null
-ids pass through; repeated rows give repeated results; further columns are ignored by find() and kept by redact().
+Every search is linear in the text, of any length, and a further span is held against the base spans by binary search.
+Where spans begin at one place they are ordered by kind as listed, then end. Offsets count code points; ends are
+exclusive. Null texts count as empty; null ids pass through; repeated rows give repeated results; an empty table gives
+an empty result; further columns, whatever their names, are ignored by find() and kept by redact().
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -118,9 +122,11 @@ def spans_of(text: str | None) -> list[Span]:
     text = text or ""
     found = [(s, e, k, scored(text, s, e, k, k), True) for s, e, k in base_spans(text)]
     taken = sorted((s, e) for s, e, *_ in found)
+    starts, ends = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))  # ends: the furthest so far
     for s, e, k, name in more_spans(text):
         score = scored(text, s, e, k, name)
-        if score >= KEEP and not any(a < e and s < b for a, b in taken):
+        before = bisect_left(starts, e)
+        if score >= KEEP and not (before and ends[before - 1] > s):
             found.append((s, e, k, score, False))
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 

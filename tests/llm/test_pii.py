@@ -64,3 +64,20 @@ def test_redact_keeps_columns_and_odd_rows(spark):
     assert sorted(r.text or "" for r in out.collect()) == ["", "", "mail [EMAIL] now", "mail [EMAIL] now"]
     assert pii.digest(pii.find(df)).count() == 4
     assert pii.digest(pii.find(df.limit(0))).count() == 0
+
+
+def test_spans_beside_base_spans_in_linear_time():
+    import time
+
+    some = "call 555-123-4567 mail a@b.cd ip 1.2.3.4 card 4111111111111111 phone +1 (017) 555-7713 tel (555) 123-4567 ssn 078-05-1120 "
+    base = [(s, e) for s, e, *_, b in pii.spans_of(some * 3) if b]
+    more = [x for x in pii.spans_of(some * 3) if not x[4]]
+    assert more and all(e <= a or b <= s for s, e, *_ in more for a, b in base)
+    began = time.perf_counter()
+    found = pii.spans_of(some * 8000)
+    assert len(found) >= 6 * 8000 and time.perf_counter() - began < 10
+
+
+def test_mask_of_string_ids(spark):
+    df = spark.createDataFrame([("a", "x@y.zz"), ("b", None)], "doc_id string, text string")
+    assert {r.doc_id: r.n_email for r in pii.digest(pii.find(df)).collect()} == {"a": 1, "b": 0}
