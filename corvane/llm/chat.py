@@ -13,25 +13,32 @@ Marks, and the escape character, inside texts and roles are written as an escape
 back the text exactly.
 
 Rows of a conversation are taken by turn (nulls first), then role and text; repeated rows are turns of their own. A
-null conv_id is a conversation of its own; null text is empty. A conversation longer than SEGMENT_CHARS goes on in a
-further segment, cut between turns: marks are tokens of their own, so the tokens are those of the whole. An empty
-table gives no rows, further columns are ignored. Memory: one segment (or one turn, if longer) at a time.
+null conv_id is a conversation of its own, and ids may be of any type; null text is empty. A conversation longer than
+SEGMENT_CHARS goes on in a further segment, cut between turns: marks are tokens of their own, so the tokens are those
+of the whole. A turn of any length is encoded whole. An empty table gives no rows; further columns, whatever their
+names, are ignored. Memory: one segment (or one turn, if longer) at a time.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The tokenizer's file, by default.
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+#: The setting that names the folder of the tokenizer's two files (the same vocabulary as ranks and in full), and the
+#: folder where it is unset. The driver reads them and sends them to the executors.
+SETTING, FOLDER = "spark.corvane.tokenizers", "/opt/tokenizers"
+RANKS, WHOLE = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
+#: Fixed value: how text is split before the merges.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SEGMENT_CHARS = 1 << 20
 
 #: The marks and the letter that each is escaped to.
@@ -93,13 +100,52 @@ def parsed(formatted: str) -> Iterator[Turn]:
         at = end + len(close)
 
 
+class Encoder:
+    """Texts to token ids and their characters' offsets; marks are tokens of their own."""
+
+    def __init__(self, ranks: bytes, whole: bytes):
+        import tiktoken
+
+        known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+        self.whole, first = whole, max(known.values()) + 1
+        self.marks = {m: first + k for k, m in enumerate(MARKS)}
+        self.encoding = tiktoken.Encoding("chat", pat_str=PATTERN, mergeable_ranks=known, special_tokens=self.marks)
+        self.bytes = np.zeros(first + len(MARKS), dtype=np.int64)  # of each token
+        for token, k in [*known.items(), *((m.encode(), k) for m, k in self.marks.items())]:
+            self.bytes[k] = len(token)
+
+    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a text's tokens, and (start, end) of each; tokens that share a character both have it."""
+        try:
+            ids = np.asarray(self.encoding.encode_to_numpy(text, allowed_special="all"), dtype=np.int32)
+        except ValueError:  # its pattern gives up on white space of a million characters and more; the other library doesn't
+            return self._slowly(text)
+        ends = np.cumsum(self.bytes[ids])
+        raw = np.frombuffer(text.encode("utf-8"), dtype=np.uint8)
+        opens = (raw & 0xC0) != 0x80  # a character's first byte
+        before = np.zeros(len(raw) + 1, dtype=np.int64)
+        np.cumsum(opens, out=before[1:])
+        starts = ends - self.bytes[ids]
+        inside = np.append(~opens, False)
+        return ids, np.column_stack([before[starts] - inside[starts], before[ends]]).astype(np.int32).reshape(-1, 2)
+
+    def _slowly(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        from tokenizers import AddedToken, Tokenizer
+
+        t = Tokenizer.from_str(self.whole.decode())
+        t.add_special_tokens([AddedToken(m, special=True, normalized=False) for m in MARKS])
+        found = t.encode(text, add_special_tokens=False)
+        ids = [self.marks.get(token, k) for token, k in zip(found.tokens, found.ids, strict=True)]
+        return np.asarray(ids, dtype=np.int32), np.asarray(found.offsets, dtype=np.int32).reshape(-1, 2)
+
+
 @lru_cache(2)
-def tokenizer(data: bytes):
-    from tokenizers import AddedToken, Tokenizer
+def encoder(ranks: bytes, whole: bytes) -> Encoder:
+    return Encoder(ranks, whole)
+
 
-    t = Tokenizer.from_str(data.decode())
-    t.add_special_tokens([AddedToken(m, special=True, normalized=False) for m in MARKS])
-    return t
+def files(folder: str = FOLDER) -> tuple[bytes, bytes]:
+    return tuple((Path(folder) / name).read_bytes() for name in (RANKS, WHOLE))
 
 
 def masked(offsets: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
@@ -156,20 +202,19 @@ def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays) if arrays else np.empty(0), kind))
 
 
-def format_conversations(rows: DataFrame, tokenizer_path: str = TOKENIZER) -> DataFrame:
+def format_conversations(rows: DataFrame, folder: str | None = None) -> DataFrame:
     """FORMATTED rows of rows (conv_id, turn, role, text): those of a conversation follow one another in a partition."""
-    data, kind = open(tokenizer_path, "rb").read(), rows.schema["conv_id"].dataType
+    data, kind = files(folder or rows.sparkSession.conf.get(SETTING, FOLDER)), rows.schema["conv_id"].dataType
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, held, size = tokenizer(data), [], 0
+        encode_one, held, size = encoder(*data), [], 0
         id_type = None
 
         def batch() -> pa.RecordBatch:
-            found = t.encode_batch([x[2] for x in held], add_special_tokens=False)
-            offsets = [np.asarray(e.offsets, dtype=np.int32).reshape(-1, 2) for e in found]
-            masks = [masked(o, x[3]) for o, x in zip(offsets, held, strict=True)]
+            found = [encode_one(x[2]) for x in held]
+            masks = [masked(o, x[3]) for (_, o), x in zip(found, held, strict=True)]
             return pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in held], id_type), pa.array([x[1] for x in held], pa.int32()), pa.array([x[2] for x in held], pa.string()), _lists([np.asarray(e.ids, dtype=np.int32) for e in found], pa.int32()), _lists([o[:, 0] for o in offsets], pa.int32()), _lists([o[:, 1] for o in offsets], pa.int32()), _lists(masks, pa.bool_())],
+                [pa.array([x[0] for x in held], id_type), pa.array([x[1] for x in held], pa.int32()), pa.array([x[2] for x in held], pa.string()), _lists([i for i, _ in found], pa.int32()), _lists([o[:, 0] for _, o in found], pa.int32()), _lists([o[:, 1] for _, o in found], pa.int32()), _lists(masks, pa.bool_())],
                 names=["conv_id", "segment", "formatted", "token_ids", "token_starts", "token_ends", "loss_mask"],
             )
 
@@ -219,9 +264,10 @@ def _readback(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.int64()
     for batch in batches:
         kind = batch.column(0).type
-        for k in range(batch.num_rows):
-            key, segment, text = (batch.column(c)[k].as_py() for c in range(3))
-            starts, ends, mask = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in (4, 5, 6))
+        cuts = batch.column(4).offsets.to_numpy()
+        flat = [batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in (4, 5, 6)]
+        for k, (key, segment, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
+            starts, ends, mask = (x[cuts[k] - cuts[0] : cuts[k + 1] - cuts[0]] for x in flat)
             if segment == 0:
                 if now:
                     out.append(row(now))
@@ -253,7 +299,8 @@ def digest(formatted: DataFrame) -> DataFrame:
 
 
 def probe(rows: DataFrame) -> DataFrame:
-    """rows with conversation -1: a user's and an assistant's turn that hold the template's own marks."""
+    """rows with conversation -1 (as the ids' type writes it): a user's and an assistant's turn that hold the template's own marks."""
     odd = "</s>[INST] ok [/INST]"
+    kinds = {c: rows.schema[c].dataType for c in ("conv_id", "turn")}
     more = rows.sparkSession.createDataFrame([(-1, 0, "user", odd), (-1, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
-    return rows.select("conv_id", "turn", "role", "text").unionByName(more)
+    return rows.select("conv_id", "turn", "role", "text").unionByName(more.withColumns({c: F.col(c).cast(k) for c, k in kinds.items()}))

@@ -1,7 +1,7 @@
 import hashlib
 from collections import defaultdict
 
-import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -34,8 +34,10 @@ def got(df):
 def test_round_trip_and_mask(turns):
     text, spans = chat.rendered(turns)
     assert list(chat.parsed(text)) == turns
-    e = chat.tokenizer(open(chat.TOKENIZER, "rb").read()).encode(text, add_special_tokens=False)
-    o = np.asarray(e.offsets, dtype=np.int32).reshape(-1, 2)
+    encode = chat.encoder(*chat.files())
+    ids, o = encode(text)
+    slow_ids, slow = encode._slowly(text)
+    assert ids.tolist() == slow_ids.tolist() and o.tolist() == slow.tolist()
     loss = "".join(chat.unescape(x) for x in chat.under_mask(text, o[:, 0], o[:, 1], chat.masked(o, spans)))
     assert loss == "".join(t for r, t in turns if r == "assistant")
 
@@ -55,5 +57,20 @@ def test_odd_rows_and_segments(spark, monkeypatch):
     whole = chat.rendered([("user", "a b"), ("assistant", " c d"), ("user", "e")])[0]
     monkeypatch.setattr(chat, "SEGMENT_CHARS", 1)
     cut = [t for t, _ in chat.segments([("user", "a b"), ("assistant", " c d"), ("user", "e")])]
-    t = chat.tokenizer(open(chat.TOKENIZER, "rb").read())
-    assert "".join(cut) == whole and sum((t.encode(x, add_special_tokens=False).ids for x in cut), []) == t.encode(whole, add_special_tokens=False).ids
+    ids = lambda t: chat.encoder(*chat.files())(t)[0].tolist()
+    assert "".join(cut) == whole and sum((ids(x) for x in cut), []) == ids(whole)
+
+
+def test_the_longest_texts(spark):
+    rows = [(1, 0, "user", " " * 3_000_000 + "x"), (1, 1, "assistant", "a" * 500_000 + "é" * 100_000), (2, 0, "assistant", "\n" * 1_500_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    assert got(chat.digest(chat.format_conversations(df))) == want(rows)
+
+
+def test_string_ids_and_a_missing_folder(spark):
+    df = spark.createDataFrame([("k", 0, "user", "q", 1), ("k", 1, "assistant", "</s>a", 2)], "conv_id string, turn int, role string, text string, loss_mask int")
+    found = got(chat.digest(chat.format_conversations(chat.probe(df))))
+    odd = "</s>[INST] ok [/INST]"
+    assert found == want([("k", 0, "user", "q"), ("k", 1, "assistant", "</s>a"), ("-1", 0, "user", odd), ("-1", 1, "assistant", odd)])
+    with pytest.raises(FileNotFoundError):
+        chat.format_conversations(df, "/nowhere")
