@@ -4,14 +4,17 @@ Vectors of whole numbers are split into blocks of about BLOCK rows by a hash. Ea
 coordinate that gives them all the norm of the block's longest, so that the largest inner product is the smallest
 Euclidean distance. A block's M-tree is stored as pages: rows of at most PAGE entries, each with its vector, distance
 to the parent's pivot and, above the leaves, its covering radius and child page. The queries, in groups of about
-QUERIES, meet every block; one task searches one block for one group. A search keeps a queue of pages by the least
-distance that they can hold. Before computing an entry's distance, the stored distances to its parent bound it by
+QUERIES, meet every block; one task searches one block for one group. The first block is searched first: its k-th best
+score goes with each query to the other blocks as a bound. A search keeps a queue of pages by the least distance that
+they can hold. Before computing an entry's distance, the stored distances to its parent bound it by
 the triangle inequality; entries, and pages, that can't reach the k-th best score are passed over. Scores that decide
 are exact integers; bounds have slack for rounding, and equal scores are searched out, so ties go to the smaller id.
 
 Vectors that are null, of no length, or hold null or non-finite components, take no part, nor do rows with null ids;
-vectors of another length than a query's don't meet it. Equal rows count once. Fewer than k candidates give fewer
-rows; an empty table gives none. Further columns are ignored.
+vectors of another length than a query's don't meet it. Ids are whole numbers. Every row is a candidate, so a repeated
+row can stand in a result as often as it is there; rows with the query's id are the query's own. A query row that is
+repeated is asked once; queries of one id and different vectors have a result each, told apart by query_print, a hash
+of the vector. Fewer than k candidates give fewer rows; an empty table gives none. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ from corvane.llm.common import hashed, kept
 BLOCK, PAGE, QUERIES = 8192, 384, 1024
 #: Relative slack of distance bounds against rounding.
 SLACK = 1e-9
+#: No score.
+NONE = -(1 << 63)
 
 
 def quantised(vector: Column, scale: int = 256) -> Column:
@@ -80,8 +85,8 @@ def build(x: np.ndarray, ids: np.ndarray, page: int = PAGE) -> list[dict]:
     return pages
 
 
-def search(pages: dict[int, dict], norm: float, query: np.ndarray, own: int, k: int) -> tuple[list[tuple[int, int]], int]:
-    """The k best (score, id), best first, and how many distances were computed.
+def search(pages: dict[int, dict], norm: float, query: np.ndarray, own: int, k: int, floor: int = NONE) -> tuple[list[tuple[int, int]], int]:
+    """The k best (score, id) of those that score `floor` or more, best first, and how many distances were computed.
 
     norm: the common squared norm of the stored vectors (their last coordinate makes it so).
     """
@@ -96,9 +101,10 @@ def search(pages: dict[int, dict], norm: float, query: np.ndarray, own: int, k:
 
     def reach() -> float:
         """The distance beyond which nothing can be among the best."""
-        if len(best) < k:
+        least = max(floor, best[0][0]) if len(best) == k else floor
+        if least == NONE:
             return np.inf
-        return np.sqrt(max(square + norm - 2.0 * best[0][0], 0.0)) * (1 + SLACK) + SLACK * (norm + square + 1) ** 0.5
+        return np.sqrt(max(square + norm - 2.0 * least, 0.0)) * (1 + SLACK) + SLACK * (norm + square + 1) ** 0.5
 
     count = 1
     while queue:
@@ -120,6 +126,9 @@ def search(pages: dict[int, dict], norm: float, query: np.ndarray, own: int, k:
             if len(on) < len(ids):
                 rows, ids = rows[on], ids[on]
             scores = (rows @ whole).astype(np.int64)
+            if floor != NONE:
+                some = np.flatnonzero(scores >= floor)
+                scores, ids = scores[some], ids[some]
             if len(best) < k < len(scores):
                 # Only the k + 1 highest here (one may be the query's own row), and what equals the last, can be among the best.
                 some = np.flatnonzero(scores >= np.partition(scores, -k - 1)[-k - 1])
@@ -168,7 +177,7 @@ def _searcher(k: int):
                 v = np.frombuffer(r.vector).reshape(-1, dims + 1)
                 tree[r.page] = {"leaf": r.leaf, "vector": v, "parent": np.frombuffer(r.parent), "radius": np.frombuffer(r.radius), "to": np.frombuffer(r.entry, dtype=np.int64), "whole": v[:, :-1].astype(np.int64) if r.leaf else None}
             for r in queries.itertuples():
-                found, _ = search(tree, norm, np.asarray(r.v), r.id, k)
+                found, _ = search(tree, norm, np.asarray(r.v), r.id, k, r.floor)
                 out += [(r.id, r.print, i, s) for s, i in found]
         return pd.DataFrame(out, columns=["query_id", "print", "vec_id", "score"]).astype("int64")
 
@@ -176,17 +185,25 @@ def _searcher(k: int):
 
 
 def top(candidates: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """(query_id, rank, vec_id, score): each query's k best of the candidates (id long, v array of long), but for its own id."""
-    whole = [x.where("id is not null and v is not null").select("id", "v").distinct().withColumn("dims", F.size("v")) for x in (candidates, queries)]
-    rows, asked = kept(whole[0]), kept(whole[1])
+    """(query_id, rank, vec_id, score, query_print): each query's k best of the candidates (id long, v array of long), but for its own id."""
+    whole = [x.where("id is not null and v is not null").select("id", "v", F.size("v").alias("dims")) for x in (candidates, queries)]
+    rows, asked = kept(whole[0].withColumn("place", F.monotonically_increasing_id())), kept(whole[1].distinct().withColumn("print", F.xxhash64("v")))
     blocks, groups = (max(1, -(-x.count() // n)) for x, n in ((rows, BLOCK), (asked, QUERIES)))
-    dealt = rows.withColumn("block", hashed("id") % blocks)
+    dealt = rows.withColumn("block", hashed("place") % blocks)
     pages = kept(dealt.groupBy("block", "dims").applyInPandas(_pages, PAGES))
-    # Every group of queries meets every block: pages once for each group, queries once for each block.
-    left = pages.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
-    right = asked.withColumn("group", hashed("id") % groups).withColumn("print", F.xxhash64("v"))
-    right = right.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    asked = asked.withColumn("group", hashed("id") % groups)
     keys = ["block", "group", "dims"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_searcher(k), "query_id long, print long, vec_id long, score long")
+
+    def searched(some: DataFrame, floors: Column, first: int, last: int) -> DataFrame:
+        """What queries find in blocks first to last: pages go once to each group, queries once to each block."""
+        left = pages.where(F.col("block").between(first, last)).withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+        right = some.withColumn("floor", floors).withColumn("block", F.explode(F.sequence(F.lit(first).cast("long"), F.lit(last).cast("long"))))
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_searcher(k), "query_id long, print long, vec_id long, score long")
+
+    found = kept(searched(asked, F.lit(NONE), 0, 0))
+    if blocks > 1:
+        full = found.groupBy("query_id", "print").agg(F.min("score").alias("kth"), F.count("*").alias("n")).where(F.col("n") == k)
+        bounded = asked.join(full.select(F.col("query_id").alias("id"), "print", "kth"), ["id", "print"], "left")
+        found = found.unionByName(searched(bounded, F.coalesce("kth", F.lit(NONE)), 1, blocks - 1))
     order = Window.partitionBy("query_id", "print").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", F.col("print").alias("query_print"))
