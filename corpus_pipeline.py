@@ -1,4 +1,14 @@
-"""The corpus pipeline: five operators in turn, each over all that its predecessor kept."""
+"""The corpus pipeline: five operators in turn, each over all that its predecessor kept.
+
+The result has one row for each piece of a document that the mix takes, with the piece's own text: sorted by piece, a
+taken document's texts make what the mix took of it, personal data masked.
+
+Null texts count as empty throughout: such a document is toxic only if texts without words are, is alike to others
+without words of the same text, has no personal data, and is never taken by the mix, for it has no words. Null ids and
+sources are kept as they are. Of near duplicates the least id stays (nulls last), of rows alike in id and text the one
+whose columns hash lowest. Texts of any length are read whole. Further columns, whatever their names, pass through all
+stages but the last, which leaves them out. An empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -38,7 +48,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's pieces with their bins; no two of a source or a cluster of equal texts share one."""
+    """Each document's pieces with their texts and bins; no two of a source or a cluster of equal texts share one."""
     return packing.packed(docs)
 
 

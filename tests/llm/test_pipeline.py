@@ -1,4 +1,4 @@
-from collections import Counter
+from collections import Counter, defaultdict
 
 import corpus_pipeline
 from corvane.llm import neardup, pii, toxicity
@@ -51,4 +51,35 @@ def test_every_stage_against_brute_force(spark):
     placed = corpus_pipeline.run(spark, SF).collect()
     assert sum(r.n_words for r in placed) == sum(got.values())
     held(placed, {})
+    # The pieces of each document, put together, are what the mix took of it, as often as it took it.
+    whole = {k: Counter() for k in masked}
+    for r in rows:
+        whole[r.doc_id][r.text] += 1
+    made = {k: Counter() for k in masked}
+    by = defaultdict(list)
+    for r in placed:
+        by[r.doc_id, r.cluster].append(r)
+    for (k, _), x in by.items():
+        n = sum(r.piece == 0 for r in x)
+        x.sort(key=lambda r: r.piece)
+        made[k]["".join(r.text for r in x[::n])] += n
+    assert made == whole
     assert neardup.LEAST == 0.8
+
+
+def test_odd_tables(spark, tmp_path):
+    kinds = "doc_id long, text string, lang string, source string, n_chars int, _toxicity double, _k int, bin string"
+    many = " ".join(f"word{i} other{i % 7}" for i in range(3000))
+    rows = [(1, "a b c d e f g", "en", "s", 13, 0.1, 1, "b"), (1, "a b c d e f g", "en", "s", 13, 0.1, 1, "b"), (None, "a b c d e f g", None, None, 1, None, 2, None), (2, None, "en", "t", 0, None, 3, ""), (3, "", "en", None, 0, 0.0, 4, ""), (2**53 + 1, many, "en", "t", len(many), 0.5, 5, "c"), (5, "mail x@y.zz now and then again", "en", "u", 9, 0.5, 6, "d")]
+    spark.createDataFrame(rows, kinds).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 0), (9, 1)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in out} == {1, 5, 2**53 + 1}
+    assert {r.text for r in out if r.doc_id == 5} == {"mail [EMAIL] now and then again"[: len(x.text)] for x in out if x.doc_id == 5}
+    docs = spark.createDataFrame(rows, kinds)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.dtypes == docs.dtypes
+    for name in ("documents", "labels"):
+        spark.read.parquet(str(tmp_path / f"{name}.parquet")).limit(0).write.parquet(str(tmp_path / "none" / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).collect() == []
