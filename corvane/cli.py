@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import argparse
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,12 +52,31 @@ def retrieve(spark: SparkSession, o: argparse.Namespace) -> DataFrame:
     return index.fetch(index.boolean_query(_index(spark, o.index), o.query), _numbered(spark, o.input)).orderBy("docno")
 
 
+def analyze(spark: SparkSession, o: argparse.Namespace) -> DataFrame:
+    """Of a stored PMI result (tuples): the number of pairs, the best pair, and the best partners of some words."""
+    scores = readers.tuples(spark, o.input).withColumnRenamed("value", "pmi")
+    best = [("pairs", scores.agg(F.count("*").cast("string").alias("value")))]
+    best.append(("best", cooc.pmi_max(scores).select(F.concat_ws(" ", "left", "right", F.col("pmi").cast("string")).alias("value"))))
+    best += [(w, cooc.pmi_topk(scores, w, o.top).select(F.concat_ws(" ", "right", F.col("pmi").cast("string")).alias("value"))) for w in (o.words or "").split(",") if w]
+    return reduce(DataFrame.unionByName, [d.select(F.lit(name).alias("what"), "value") for name, d in best])
+
+
 def ranks(spark: SparkSession, o: argparse.Namespace) -> DataFrame:
     nodes, edges = graph.from_adjacency(readers.adjacency(spark, o.input))
     if o.sources:
         found = pagerank.personalized_pagerank(nodes, edges, [int(s) for s in o.sources.split(",") if s], o.iterations, o.jump)
         return sinks.rank_report(pagerank.top_personalized(found, o.top))
-    return pagerank.top_nodes(pagerank.pagerank(nodes, edges, o.iterations, o.jump, tolerance=o.tolerance), o.top)
+    if o.base:
+        return pagerank.top_nodes(pagerank.pagerank_from(nodes, edges, o.base, o.start, o.iterations if o.end is None else o.end, o.jump, o.nodes), o.top)
+    return pagerank.top_nodes(pagerank.pagerank(nodes, edges, o.iterations, o.jump, o.nodes, tolerance=o.tolerance), o.top)
+
+
+def graph_counters(spark: SparkSession, o: argparse.Namespace) -> DataFrame:
+    return pagerank.counters(*graph.from_adjacency(readers.adjacency(spark, o.input)))
+
+
+def graph_summary(spark: SparkSession, o: argparse.Namespace) -> DataFrame:
+    return graph.summary(*graph.from_adjacency(readers.adjacency(spark, o.input)), o.jump)
 
 
 def components(spark: SparkSession, o: argparse.Namespace) -> DataFrame:
@@ -85,7 +105,10 @@ PROGRAMS: dict[str, tuple[Callable[[SparkSession, argparse.Namespace], DataFrame
     "index": (build_index, {"--compressed": {"action": "store_true"}}),
     "lookup": (lookup, {"--index": {"required": True}, "--term": {"required": True}, "--histogram": {"action": "store_true"}}),
     "retrieve": (retrieve, {"--index": {"required": True}, "--query": {"required": True}}),
-    "pagerank": (ranks, {"--sources": {}, "--iterations": {"type": int, "default": 10}, "--jump": {"type": float, "default": 0.15}, "--tolerance": {"type": float}, "--top": {"type": int, "default": 100}}),
+    "pagerank": (ranks, {"--sources": {}, "--iterations": {"type": int, "default": 10}, "--jump": {"type": float, "default": 0.15}, "--tolerance": {"type": float}, "--nodes": {"type": int}, "--base": {}, "--start": {"type": int, "default": 0}, "--end": {"type": int}, "--top": {"type": int, "default": 100}}),
+    "graph-counters": (graph_counters, {}),
+    "graph-summary": (graph_summary, {"--jump": {"type": float, "default": 0.15}}),
+    "analyze-pmi": (analyze, {"--words": {}, "--top": {"type": int, "default": 3}}),
     "components": (components, {}),
     "graph-stats": (graph_stats, {}),
     "partition-graph": (partition_graph, {"--partitions": {"type": int, "required": True}, "--mode": {"choices": ["hash", "range", "sampled"], "default": "hash"}, "--nodes": {"type": int}}),
@@ -107,6 +130,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     out = PROGRAMS[o.program][0](spark, o)
     if o.program == "index":
         sinks.write_keyed(out, o.output, "term")
+    elif o.program == "pmi":
+        sinks.write_tuples(out.withColumnRenamed("pmi", "value"), o.output, "none")
     elif o.program == "partition-graph":
         sinks.write_parquet(out, o.output)
     else:

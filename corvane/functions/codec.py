@@ -1,71 +1,116 @@
 """Variable-length whole numbers and gap-coded postings.
 
 One byte holds -112 to 127. A larger number has a length byte, 143 less its count of bytes plus one (135 for
-negatives, whose complement is stored), then its bytes, highest first. A postings blob is df, then for each posting
-the gap to the last document number and the term frequency.
+negatives, whose complement is stored), then its bytes, highest first. A postings blob is the number of postings, then
+for each the gap to the last document number and the term frequency. Blobs are written and read in Arrow batches, all
+numbers of a batch at once.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import PandasUDFType
 
 POSTINGS = "array<struct<docno:bigint,tf:int>>"
 
 
-def vint_hex(v: Column) -> Column:
-    """The bytes of a non-negative whole number, in hexadecimal."""
-    size = F.ceil(F.length(F.hex(v)) / 2).cast("int")
-    return F.when(v <= 127, F.lpad(F.hex(v), 2, "0")).otherwise(F.concat(F.hex((F.lit(144) - size).cast("long")), F.lpad(F.hex(v), size * 2, F.lit("0"))))
-
-
-def encoded_hex(df: Column, postings: Column) -> Column:
-    """A postings blob in hexadecimal, from postings sorted by document number."""
-
-    def pair(p: Column, i: Column) -> Column:
-        gap = p["docno"] - F.when(i == 0, F.lit(0)).otherwise(F.get(postings, i - 1)["docno"])
-        return F.concat(vint_hex(gap), vint_hex(p["tf"].cast("long")))
-
-    return F.concat(vint_hex(df), F.array_join(F.transform(postings, pair), ""))
-
-
-def read_vint(blob: bytes, at: int) -> tuple[int, int]:
-    """The number at a place of a blob, and the place after it."""
-    lead = blob[at]
-    if lead < 128 or lead >= 144:
-        return (lead if lead < 128 else lead - 256), at + 1
-    negative = lead < 136
-    size = (136 if negative else 144) - lead
-    value = int.from_bytes(blob[at + 1 : at + 1 + size], "big")
-    return (~value if negative else value), at + 1 + size
-
-
-def write_vint(value: int) -> bytes:
-    if -112 <= value <= 127:
-        return value.to_bytes(1, "big", signed=True)
-    stored = ~value if value < 0 else value
-    size = (stored.bit_length() + 7) // 8
-    return bytes([(136 if value < 0 else 144) - size]) + stored.to_bytes(size, "big")
-
-
-def decode(blob: bytes) -> list[tuple[int, int]]:
-    """The (document number, term frequency) pairs of a postings blob."""
-    n, at = read_vint(blob, 0) if blob else (0, 0)
-    out, docno = [], 0
-    for _ in range(n):
-        gap, at = read_vint(blob, at)
-        tf, at = read_vint(blob, at)
-        docno += gap
-        out.append((docno, tf))
-    return out
+def write_vints(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of whole numbers, one after another, and how many each has."""
+    negative = values < 0
+    stored = np.where(negative, ~values, values)
+    count = np.searchsorted(np.array([1 << (8 * k) for k in range(1, 8)], dtype=np.int64), stored, side="right") + 1
+    count = np.where((values >= -112) & (values <= 127), 0, count)
+    ends = np.cumsum(count + 1)
+    at = ends - count - 1
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, dtype=np.uint8)
+    out[at] = np.where(count == 0, values, np.where(negative, 136, 144) - count) & 255
+    for k in range(8):
+        some = count > k
+        out[ends[some] - 1 - k] = (stored[some] >> (8 * k)) & 255
+    return out, count + 1
+
+
+def read_vints(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers that follow one another from each start up to its end, and how many each start has."""
+    lead = data.astype(np.int64)
+    count = np.where((lead < 128) | (lead >= 144), 0, np.where(lead < 136, 136, 144) - lead)
+    # A byte begins a number if the jumps from number to number reach it: first one jump, then two, four, ...
+    n = len(data)
+    jump = np.minimum(np.append(np.arange(n) + count + 1, n), n)
+    begins = np.zeros(n + 1, dtype=bool)
+    begins[starts[starts < ends]] = True
+    while True:
+        reached = jump[np.flatnonzero(begins)]
+        before = int(begins.sum())
+        begins[reached] = True
+        if int(begins.sum()) == before and begins[jump[np.flatnonzero(begins)]].all():
+            break
+        jump = jump[jump]
+    begins[n] = False
+    at = np.flatnonzero(begins)
+    size, value = count[at], np.zeros(len(at), dtype=np.int64)
+    for k in range(1, 9):
+        some = size >= k
+        value[some] = (value[some] << 8) | lead[at[some] + k]
+    value = np.where(size == 0, np.where(lead[at] < 128, lead[at], lead[at] - 256), np.where(lead[at] < 136, ~value, value))
+    return value, np.searchsorted(at, ends) - np.searchsorted(at, starts)
+
+
+def encode_lists(docnos: np.ndarray, tfs: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """The blobs of lists of postings, given one after another and how many each has."""
+    starts = np.cumsum(sizes) - sizes
+    gaps = docnos.astype(np.int64).copy()
+    gaps[1:] -= docnos[:-1]
+    gaps[starts[sizes > 0]] = docnos[starts[sizes > 0]]
+    heads = np.arange(len(sizes)) + 2 * starts  # where each list's own count goes
+    values = np.zeros(len(sizes) + 2 * len(docnos), dtype=np.int64)
+    values[heads] = sizes
+    first = np.arange(len(docnos)) * 2 + np.repeat(np.arange(len(sizes)), sizes) + 1
+    values[first], values[first + 1] = gaps, tfs
+    data, lengths = write_vints(values)
+    ends = np.cumsum(lengths)
+    cuts = np.append(ends[heads] - lengths[heads], len(data)).tolist()
+    raw = data.tobytes()
+    return [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def decode_lists(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What encode_lists() was given; an empty blob has no postings."""
+    lengths = np.array([len(b) for b in blobs], dtype=np.int64)
+    ends = np.cumsum(lengths)
+    values, counts = read_vints(np.frombuffer(b"".join(blobs), dtype=np.uint8), ends - lengths, ends)
+    heads = np.cumsum(counts) - counts
+    rest = np.ones(len(values), dtype=bool)
+    rest[heads[counts > 0]] = False
+    pairs = values[rest].reshape(-1, 2)
+    sizes = np.maximum(counts - 1, 0) // 2
+    sums = np.cumsum(pairs[:, 0])
+    starts = np.cumsum(sizes) - sizes
+    before = np.append(0, sums)[starts]
+    return sums - np.repeat(before, sizes), pairs[:, 1], sizes
+
+
+def encoded(postings: Column | str) -> Column:
+    """The blob of each list of postings, sorted by document number; null for null."""
+
+    def run(lists: pa.Array) -> pa.Array:
+        flat, sizes = lists.flatten(), np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+        blobs = encode_lists(flat.field("docno").to_numpy(), flat.field("tf").to_numpy().astype(np.int64), sizes)
+        return pa.array([b if ok else None for b, ok in zip(blobs, lists.is_valid().to_pylist(), strict=True)], pa.binary())
+
+    return F.arrow_udf(run, "binary")(postings)
 
 
 def decoded(blob: Column | str) -> Column:
-    """The postings of each blob, in Arrow batches."""
+    """The postings of each blob; null for null."""
 
-    def run(blobs: pd.Series) -> pd.Series:
-        return blobs.map(lambda b: None if b is None else [{"docno": d, "tf": t} for d, t in decode(bytes(b))])
+    def run(blobs: pa.Array) -> pa.Array:
+        docnos, tfs, sizes = decode_lists([b or b"" for b in blobs.to_pylist()])
+        rows = pa.StructArray.from_arrays([pa.array(docnos, pa.int64()), pa.array(tfs.astype(np.int32), pa.int32())], names=["docno", "tf"])
+        offsets = np.append(0, np.cumsum(sizes)).astype(np.int32)
+        gone = np.append(np.array(blobs.is_null().to_pylist(), dtype=bool), False)
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32(), mask=gone), rows)
 
-    return F.pandas_udf(run, POSTINGS, PandasUDFType.SCALAR)(blob)
+    return F.arrow_udf(run, POSTINGS)(blob)

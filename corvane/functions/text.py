@@ -12,18 +12,18 @@ ALPHABETIC = "^[A-Za-z]+$"
 
 def tokens(text: Column) -> Column:
     """The non-empty pieces between white space, in order."""
-    return F.filter(F.split(text, SPACE), lambda t: t != "")
+    return F.array_remove(F.split(text, SPACE), "")
 
 
 def distinct_tokens(text: Column) -> Column:
     return F.array_distinct(tokens(text))
 
 
-def bigrams(text: Column) -> Column:
-    """Adjacent token pairs as structs (first, second); empty for fewer than two tokens."""
-    t = tokens(text)
+def bigrams(t: Column) -> Column:
+    """Adjacent pairs of an array of tokens, as structs (0, 1); empty for fewer than two tokens. The array should be a
+    column of its own, for it is read three times."""
     n = F.greatest(F.size(t) - 1, F.lit(0))
-    return F.transform(F.arrays_zip(F.slice(t, F.lit(1), n), F.slice(t, F.lit(2), n)), lambda p: F.struct(p["0"].alias("first"), p["1"].alias("second")))
+    return F.arrays_zip(F.slice(t, F.lit(1), n), F.slice(t, F.lit(2), n))
 
 
 def contains_any(text: Column, words: list[str]) -> Column:

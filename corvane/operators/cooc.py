@@ -7,13 +7,15 @@ directions. Counts of partial results are combined before the shuffle. There is
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.text import distinct_tokens
 from corvane.plans.lineage import kept
 
 MIN_COUNT = 10
+#: Terms of a line that one task pairs with one another, and partners in one map of a stripe, about.
+LONG, PARTNERS = 1024, 1 << 16
 
 
 def line_tokens(lines: DataFrame, line: str = "line", key: tuple[str, ...] = ("doc_id", "line_no")) -> DataFrame:
@@ -31,12 +33,24 @@ def _numbered(lines: DataFrame, min_count: int, line: str) -> DataFrame:
     return kept(marginals(lines, min_count, line).withColumn("n", F.monotonically_increasing_id()))
 
 
+def _paired(sets: DataFrame) -> DataFrame:
+    """(a, b) of rows (left, right, same): every number of left with every one of right, or with those after it if they are the same."""
+    firsts = sets.select(F.posexplode("left").alias("i", "a"), "right", "same")
+    rest = F.when(F.col("same"), F.slice("right", F.col("i") + 2, F.size("right"))).otherwise(F.col("right"))
+    return firsts.select("a", F.explode(rest).alias("b"))
+
+
 def _halves(lines: DataFrame, terms: DataFrame, min_count: int, line: str, key: tuple[str, ...]) -> DataFrame:
-    """(a, b, cnt) with a < b, by the numbers of terms."""
+    """(a, b, cnt) with a < b, by the numbers of terms. A line of more than LONG terms is paired block by block, by as many tasks."""
     rows = line_tokens(lines, line, key).join(terms.select("term", "n"), "term")
     sets = rows.groupBy(*key).agg(F.sort_array(F.collect_list("n")).alias("ns")).where(F.size("ns") > 1)
-    firsts = sets.select(F.posexplode("ns").alias("i", "a"), "ns")
-    pairs = firsts.select("a", F.explode(F.slice("ns", F.col("i") + 2, F.size("ns"))).alias("b"))
+    short = sets.where(F.size("ns") <= LONG).select(F.col("ns").alias("left"), F.col("ns").alias("right"), F.lit(True).alias("same"))
+    blocks = F.expr(f"sequence(0, (size(ns) - 1) div {LONG})")
+    long = sets.where(F.size("ns") > LONG).select("ns", F.explode(F.flatten(F.transform(blocks, lambda i: F.transform(F.filter(blocks, lambda j: j >= i), lambda j: F.struct(i.alias("i"), j.alias("j")))))).alias("at"))
+    cut = [F.slice("ns", F.col(f"at.{k}") * LONG + 1, LONG) for k in ("i", "j")]
+    long = long.select(cut[0].alias("left"), cut[1].alias("right"), (F.col("at.i") == F.col("at.j")).alias("same"))
+    dealt = long.repartition(F.xxhash64("left", "right"))
+    pairs = _paired(short).unionByName(_paired(dealt))
     return pairs.groupBy("a", "b").agg(F.count("*").alias("cnt")).where(F.col("cnt") >= min_count)
 
 
@@ -69,9 +83,20 @@ def pmi(lines: DataFrame, min_count: int = MIN_COUNT, normalise: bool = True, **
 
 
 def stripes(lines: DataFrame, min_count: int = MIN_COUNT, **how) -> DataFrame:
-    """(term, cnt, stripe): each term's marginal and the map of its partners' counts."""
-    each = pairs(lines, min_count, **how).groupBy("left", "left_cnt").agg(F.map_from_entries(F.collect_list(F.struct("right", "cnt"))).alias("stripe"))
-    return each.select(F.col("left").alias("term"), F.col("left_cnt").alias("cnt"), "stripe")
+    """(term, cnt, part, stripe): each term's marginal and maps of its partners' counts.
+
+    Pairs are counted first, for that is what combines before the shuffle; the partners of a term are dealt over as
+    many maps (parts) as a vocabulary of the most partners needs at PARTNERS each.
+    """
+    return _striped(pairs(lines, min_count, **how), F.col("cnt"))
+
+
+def _striped(counted: DataFrame, value: Column) -> DataFrame:
+    counted = kept(counted)
+    most = counted.groupBy("left").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    part = F.pmod(F.xxhash64("right"), F.lit(-(-most // PARTNERS) or 1)).cast("int").alias("part")
+    each = counted.groupBy("left", "left_cnt", part).agg(F.map_from_entries(F.collect_list(F.struct("right", value.alias("value")))).alias("stripe"))
+    return each.select(F.col("left").alias("term"), F.col("left_cnt").alias("cnt"), "part", "stripe")
 
 
 def stripe_pairs(striped: DataFrame) -> DataFrame:
@@ -80,10 +105,10 @@ def stripe_pairs(striped: DataFrame) -> DataFrame:
 
 
 def pmi_stripes(lines: DataFrame, min_count: int = MIN_COUNT, normalise: bool = True, **how) -> DataFrame:
-    """The rows of pmi(), by way of stripes."""
-    striped = stripes(lines, min_count, **how)
-    each = striped.select(F.col("term").alias("left"), F.col("cnt").alias("left_cnt"), F.explode("stripe").alias("right", "cnt"))
-    counted = each.join(striped.select(F.col("term").alias("right"), F.col("cnt").alias("right_cnt")), "right")
+    """The rows of pmi(), by way of stripes that hold each partner's marginal beside the count."""
+    striped = _striped(pairs(lines, min_count, **how), F.struct("cnt", "right_cnt"))
+    each = striped.select(F.col("term").alias("left"), F.col("cnt").alias("left_cnt"), F.explode("stripe").alias("right", "value"))
+    counted = each.select("left", "right", "value.cnt", "left_cnt", "value.right_cnt")
     return scored(counted, lines.agg(F.count("*").alias("n")) if normalise else None)
 
 

@@ -30,8 +30,9 @@ def split_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> Da
 
 
 def bigram_count(lines: DataFrame, line: str = "line") -> DataFrame:
-    """(first, second, cnt) of adjacent tokens of one line; no pair crosses lines."""
-    return lines.select(F.explode(bigrams(F.col(line))).alias("b")).groupBy("b.first", "b.second").agg(F.count("*").alias("cnt"))
+    """(first, second, cnt) of adjacent tokens of one line; no pair crosses lines. A line is split once."""
+    pairs = lines.select(tokens(F.col(line)).alias("t")).select(F.explode(bigrams(F.col("t"))).alias("b"))
+    return pairs.select(F.col("b.0").alias("first"), F.col("b.1").alias("second")).groupBy("first", "second").agg(F.count("*").alias("cnt"))
 
 
 def bigram_count_text(lines: DataFrame, line: str = "line") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.operators.components import components
+from corvane.plans.lineage import kept
 
 
 def from_adjacency(adjacency: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -32,6 +33,21 @@ def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.agg(count.alias("nodes"), F.coalesce(F.sum("deg"), F.lit(0)).alias("edges"), F.count("deg").alias("active"), (count - F.count("deg")).alias("dangling"))
 
 
+def unique(nodes: DataFrame) -> DataFrame:
+    """nodes (id), written; an id with more than one record is an error."""
+    nodes = kept(nodes.select("id"))
+    if twice := repeated_nodes(nodes).orderBy("id").limit(5).collect():
+        raise ValueError(f"nodes with more than one record: {[r.id for r in twice]}")
+    return nodes
+
+
+def summary(nodes: DataFrame, edges: DataFrame, jump: float = 0.15) -> DataFrame:
+    """One row (components, edges, nodes, jump)."""
+    found = weak_components(nodes, edges).agg(F.count_distinct("component").alias("components"))
+    size = stats(nodes, edges).select("edges", "nodes")
+    return found.crossJoin(F.broadcast(size)).withColumn("jump", F.lit(jump))
+
+
 def missing_targets(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(dst, cnt): edge targets that have no record, with their edges."""
     return edges.join(nodes, edges.dst == nodes.id, "left_anti").groupBy("dst").agg(F.count("*").alias("cnt"))

@@ -1,39 +1,81 @@
-"""Inverted index: building, compressing, lookup, and Boolean retrieval of documents."""
+"""Inverted index: building, compressing, storing, lookup, and Boolean retrieval of documents.
+
+An index has a row for each term and range of CHUNK document numbers: (term, chunk, df, postings). So the postings of a
+term that every document has are many rows, of bounded size, and df, the term's number of documents, stands in each.
+"""
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvane.functions.codec import decoded, encoded_hex
+from corvane.functions.codec import decoded, encoded
 from corvane.functions.text import tokens
+from corvane.plans.lineage import scratch
+from corvane.sources import readers, sinks
 
 OPERATORS = {"AND": lambda a, b: a & b, "OR": lambda a, b: a | b}
-
-
-def term_frequencies(docs: DataFrame, docno: str = "docno", text: str = "text") -> DataFrame:
-    """(term, docno, tf)."""
-    rows = docs.select(F.col(docno).alias("docno"), F.explode(tokens(F.col(text))).alias("term"))
+#: Document numbers of one range.
+CHUNK = 1 << 20
+#: Documents that fetch() names in a pushed-down condition, at most.
+NAMED = 10_000
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        docnos, terms, tfs = [], [], []
+        for docno, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            found = Counter((text or "").encode().split())
+            docnos += [docno] * len(found)
+            terms += found.keys()
+            tfs += found.values()
+        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.binary()).cast(pa.string()), pa.array(docnos, batch.column(0).type), pa.array(tfs, pa.int32())], names=["term", "docno", "tf"])
+
+
+def term_frequencies(docs: DataFrame, docno: str = "docno", text: str = "text", unique: bool = True) -> DataFrame:
+    """(term, docno, tf). Where document numbers are unique, a document's row is counted where it stands, without a shuffle."""
+    if unique:
+        rows = docs.select(F.col(docno).cast("long").alias("docno"), F.col(text).alias("text"))
+        return rows.mapInArrow(_counted, "term string, docno long, tf int")
+    rows = docs.select(F.col(docno).cast("long").alias("docno"), F.explode(tokens(F.col(text))).alias("term"))
     return rows.groupBy("term", "docno").agg(F.count("*").cast("int").alias("tf"))
 
 
-def build_index(docs: DataFrame, docno: str = "docno", text: str = "text") -> DataFrame:
-    """(term, df, postings): postings sorted by document number."""
-    sorted_postings = F.array_sort(F.collect_list(F.struct("docno", "tf")))
-    return term_frequencies(docs, docno, text).groupBy("term").agg(F.count("*").alias("df"), sorted_postings.alias("postings"))
+def build_index(docs: DataFrame, docno: str = "docno", text: str = "text", chunk: int = CHUNK, unique: bool = True) -> DataFrame:
+    """(term, chunk, df, postings): postings sorted by document number."""
+    rows = term_frequencies(docs, docno, text, unique).withColumn("chunk", F.expr(f"docno div {chunk}"))
+    lists = rows.groupBy("term", "chunk").agg(F.array_sort(F.collect_list(F.struct("docno", "tf"))).alias("postings"))
+    df = F.sum(F.size("postings")).over(Window.partitionBy("term"))
+    return lists.select("term", "chunk", df.alias("df"), "postings")
 
 
 def compressed(index: DataFrame) -> DataFrame:
-    """(term, blob): gap-coded postings."""
-    return index.select("term", F.unhex(encoded_hex(F.col("df"), F.col("postings"))).alias("blob"))
+    """(term, chunk, df, blob): gap-coded postings."""
+    return index.select("term", "chunk", "df", encoded("postings").alias("blob"))
 
 
 def decompressed(blobs: DataFrame) -> DataFrame:
-    """(term, df, postings) of compressed()."""
-    rows = blobs.select("term", decoded("blob").alias("postings"))
-    return rows.select("term", F.size("postings").cast("long").alias("df"), "postings")
+    """(term, chunk, df, postings) of compressed()."""
+    return blobs.select("term", "chunk", "df", decoded("blob").alias("postings"))
+
+
+_stored: dict[tuple[str, str, bool], str] = {}
+
+
+def stored(spark: SparkSession, docs: DataFrame, name: str, pack: bool = False) -> DataFrame:
+    """The index of docs as a table sorted by term, built and written the first time that the application asks for that name."""
+    key = spark.sparkContext.applicationId, name, pack
+    if key not in _stored:
+        built = build_index(docs)
+        path = scratch(spark)
+        sinks.write_keyed(compressed(built) if pack else built, path, "term")
+        _stored[key] = path
+    return readers.keyed(spark, _stored[key])
 
 
 def lookup(index: DataFrame, term: str) -> DataFrame:
@@ -73,9 +115,15 @@ def boolean_query(index: DataFrame, query: str) -> DataFrame:
     return hits.groupBy("docno").agg(*flags).where(condition).select("docno")
 
 
-def fetch(found: DataFrame, docs: DataFrame, docno: str = "docno", text: str = "text") -> DataFrame:
-    """(docno, text) of found documents."""
-    return docs.select(F.col(docno).alias("docno"), F.col(text).alias("text")).join(found, "docno", "left_semi")
+def fetch(found: DataFrame, docs: DataFrame, docno: str = "docno", text: str = "text", named: int = NAMED) -> DataFrame:
+    """(docno, text) of found documents.
+
+    Up to `named` of them are named in a condition, so that a collection sorted by document number is read only where
+    they are; more are joined.
+    """
+    docs = docs.select(F.col(docno).alias("docno"), F.col(text).alias("text"))
+    some = [r.docno for r in found.select("docno").limit(named + 1).collect()]
+    return docs.where(F.col("docno").isin(some)) if len(some) <= named else docs.join(found, "docno", "left_semi")
 
 
 def boolean_queries(index: DataFrame, queries: list[str]) -> DataFrame:

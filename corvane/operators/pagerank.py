@@ -9,10 +9,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.operators import graph
 from corvane.plans.lineage import kept
+from corvane.sources import readers, sinks
 
 ALPHA = 0.15
 
@@ -23,29 +26,71 @@ def shared_edges(edges: DataFrame) -> DataFrame:
     return kept(edges.join(degrees, "src").repartition("src"))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int | None = 10, alpha: float = ALPHA, n: int | None = None, tolerance: float | None = None, most: int = 200) -> DataFrame:
+def counters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row (nodes, edges, messages, received, missing): what an iteration handles.
+
+    messages: edges of nodes with a record; received: all of them, by whatever id; missing: ids that get one without a record.
+    """
+    sent = edges.join(nodes.select(F.col("id").alias("src")), "src", "left_semi")
+    got = sent.groupBy("dst").agg(F.count("*").alias("n")).join(nodes.select(F.col("id").alias("dst"), F.lit(1).alias("known")), "dst", "left")
+    sums = got.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("received"), F.count_if(F.col("known").isNull()).alias("missing"))
+    return nodes.agg(F.count("*").alias("nodes")).crossJoin(F.broadcast(sums)).select("nodes", F.col("received").alias("edges"), F.col("received").alias("messages"), "received", "missing")
+
+
+def stepped(nodes: DataFrame, shares: DataFrame, ranks: DataFrame, alpha: float, n: int) -> DataFrame:
+    """ranks after one more iteration; what arrives is written."""
+    arriving = ranks.join(shares, ranks.id == shares.src).groupBy("dst").agg(F.sum(F.col("p") * F.col("part")).alias("m"))
+    held = kept(nodes.join(arriving, nodes.id == arriving.dst, "left").select("id", F.coalesce("m", F.lit(0.0)).alias("m")))
+    lost = held.agg(F.greatest(F.lit(0.0), F.lit(1.0) - F.sum("m")).alias("lost"))
+    return held.crossJoin(F.broadcast(lost)).select("id", (F.lit(alpha / n) + (1 - alpha) * (F.col("m") + F.col("lost") / n)).alias("p"))
+
+
+def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int | None = 10, alpha: float = ALPHA, n: int | None = None, tolerance: float | None = None, most: int = 200, start: DataFrame | None = None) -> DataFrame:
     """(id, p) after a number of iterations, or, with a tolerance, once no iteration changes the sum of ranks by more.
 
-    n: the number of nodes, counted if not given. p' = alpha / n + (1 - alpha) * (arriving + lost / n).
+    n: the number of nodes, counted if not given. p' = alpha / n + (1 - alpha) * (arriving + lost / n). start: the ranks
+    (id, p) to go on from, the same for every node if not given. An id with more than one record is an error, and so
+    is a tolerance that `most` iterations don't reach.
     """
-    nodes = kept(nodes.select("id"))
+    nodes = graph.unique(nodes)
     n = n or nodes.count()
     if n == 0:
         return nodes.withColumn("p", F.lit(0.0))
     shares = shared_edges(edges)
-    ranks = nodes.withColumn("p", F.lit(1.0 / n))
-    for _ in range(most if tolerance is not None else iterations or 0):
-        arriving = ranks.join(shares, ranks.id == shares.src).groupBy("dst").agg(F.sum(F.col("p") * F.col("part")).alias("m"))
-        held = kept(nodes.join(arriving, nodes.id == arriving.dst, "left").select("id", F.coalesce("m", F.lit(0.0)).alias("m")))
-        lost = held.agg(F.greatest(F.lit(0.0), F.lit(1.0) - F.sum("m")).alias("lost"))
-        after = held.crossJoin(F.broadcast(lost)).select("id", (F.lit(alpha / n) + (1 - alpha) * (F.col("m") + F.col("lost") / n)).alias("p"))
-        if tolerance is None:
-            ranks = after
-            continue
+    ranks = start.select("id", "p") if start is not None else nodes.withColumn("p", F.lit(1.0 / n))
+    if tolerance is None:
+        for _ in range(iterations or 0):
+            ranks = stepped(nodes, shares, ranks, alpha, n)
+        return ranks
+    change = float("inf")
+    for _ in range(most):
+        after = stepped(nodes, shares, ranks, alpha, n)
         change = after.join(ranks.withColumnRenamed("p", "q"), "id").agg(F.sum(F.abs(F.col("p") - F.col("q")))).first()[0]
         ranks = after
         if change <= tolerance:
-            break
+            return ranks
+    raise RuntimeError(f"after {most} iterations ranks still change by {change}, more than {tolerance}")
+
+
+def pagerank_from(nodes: DataFrame, edges: DataFrame, base: str, first: int, last: int, alpha: float = ALPHA, n: int | None = None) -> DataFrame:
+    """(id, p) of iteration `last`, every one from `first` on written to base as iterNNNN.
+
+    The ranks of iteration `first` are read from there; iteration 0, if it isn't there, is the same rank for every node.
+    A run that broke off is taken up from its last iteration.
+    """
+    nodes = graph.unique(nodes)
+    n = n or nodes.count()
+    shares, spark = shared_edges(edges), nodes.sparkSession
+    try:
+        ranks = readers.iteration(spark, base, first)
+    except AnalysisException as e:
+        if first or "PATH_NOT_FOUND" not in (e.getCondition() or ""):
+            raise
+        ranks = nodes.withColumn("p", F.lit(1.0 / max(n, 1)))
+        sinks.write_iteration(ranks, base, 0)
+    for k in range(first + 1, last + 1):
+        sinks.write_iteration(stepped(nodes, shares, ranks, alpha, n), base, k)
+        ranks = readers.iteration(spark, base, k)
     return ranks
 
 
@@ -55,7 +100,7 @@ def personalized_pagerank(nodes: DataFrame, edges: DataFrame, sources: list[int]
     All sources go through each join together, one column each. A source without a record is an error.
     """
     sources = list(dict.fromkeys(sources))
-    nodes = kept(nodes.select("id"))
+    nodes = graph.unique(nodes)
     known = {r.id for r in nodes.where(F.col("id").isin(sources)).distinct().collect()}
     if absent := [s for s in sources if s not in known]:
         raise ValueError(f"sources without a record: {absent}")

@@ -3,20 +3,32 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df written to the session's checkpoint folder and read from there.
+def folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder.
 
-    Where no folder is set, a local session (one machine, as in tests) gets one of its own; a cluster's executors
-    don't share such a folder, so there it is an error.
+    Where none is set, a local session (one machine, as in tests) gets one of its own; a cluster's executors don't
+    share such a folder, so there it is an error.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="corvane-checkpoints-"))
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="corvane-checkpoints-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df written to the session's checkpoint folder and read from there."""
+    folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path below the checkpoint folder, for what a query writes and reads again."""
+    return f"{folder(spark)}/{uuid.uuid4().hex}"

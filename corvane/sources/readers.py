@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.functions.text import tokens
+
 EVENTS = "id string, creationtime string, user string, text string"
 
 
@@ -27,18 +29,20 @@ def tuples(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(parts[0].alias("left"), parts[1].alias("right"), parts[2].try_cast("double").alias("value"))
 
 
+def _numbers(parts: Column) -> Column:
+    return F.transform(parts, lambda x: x.try_cast("long"))
+
+
 def adjacency(spark: SparkSession, path: str) -> DataFrame:
-    """(id, adj) of lines `id neighbour ...` between white space; blank lines are left out."""
-    parts = F.filter(F.split("value", r"\s+"), lambda x: x != "")
-    rows = lines(spark, path).select(F.transform(parts, lambda x: x.cast("long")).alias("all")).where(F.size("all") > 0)
+    """(id, adj) of lines `id neighbour ...` between white space; blank lines, and lines with a field that isn't a whole number, are left out."""
+    rows = lines(spark, path).select(_numbers(tokens(F.col("value"))).alias("all")).where((F.size("all") > 0) & ~F.exists("all", lambda x: x.isNull()))
     return rows.select(F.get("all", F.lit(0)).alias("id"), F.slice("all", F.lit(2), F.greatest(F.size("all") - 1, F.lit(0))).alias("adj"))
 
 
 def tab_edges(spark: SparkSession, path: str) -> DataFrame:
-    """(src, dst) of lines `id<TAB>neighbour...`; a node without any edge doesn't appear."""
-    parts = F.split("value", "\t")
-    rows = lines(spark, path).select(parts.alias("all")).where(F.size("all") > 1)
-    return rows.select(F.get("all", F.lit(0)).try_cast("long").alias("src"), F.explode(F.slice("all", F.lit(2), F.size("all") - 1)).try_cast("long").alias("dst")).dropna()
+    """(src, dst) of lines `id<TAB>neighbour...`, fields that aren't whole numbers left out; a node without any edge doesn't appear."""
+    rows = lines(spark, path).select(_numbers(F.split("value", "\t")).alias("all")).where(F.size("all") > 1)
+    return rows.select(F.get("all", F.lit(0)).alias("src"), F.explode(F.slice("all", F.lit(2), F.size("all") - 1)).alias("dst")).dropna()
 
 
 def events(spark: SparkSession, path: str) -> DataFrame:
@@ -55,3 +59,8 @@ def events_csv(spark: SparkSession, path: str) -> DataFrame:
 def keyed(spark: SparkSession, path: str) -> DataFrame:
     """A table written by sinks.write_keyed; a filter on its key reads the row groups that can hold it."""
     return spark.read.parquet(path)
+
+
+def iteration(spark: SparkSession, base: str, number: int) -> DataFrame:
+    """What sinks.write_iteration wrote as that iteration."""
+    return spark.read.parquet(f"{base}/iter{number:04d}")

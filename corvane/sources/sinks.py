@@ -27,6 +27,11 @@ def write_keyed(df: DataFrame, path: str, key: str) -> None:
     df.repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite").parquet(path)
 
 
+def write_iteration(df: DataFrame, base: str, number: int) -> None:
+    """One numbered state of an iteration, beside the others of its base folder."""
+    write_parquet(df, f"{base}/iter{number:04d}")
+
+
 def rank_report(ranks: DataFrame) -> DataFrame:
     """(source, place, line) of (source, id, p, place): lines of `%.5f id`."""
     return ranks.select("source", "place", F.format_string("%.5f %d", "p", "id").alias("line")).orderBy("source", "place")
