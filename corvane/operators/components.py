@@ -9,17 +9,17 @@ from corvane.plans.lineage import kept
 
 
 #: Links of a node beyond which it may be a hub, and hubs at most.
-HUB_LINKS, HUBS = 4096, 10_000
+HUB_LINKS, HUBS = 1024, 10_000
 
 
 def _to_least(links: DataFrame, n: int) -> DataFrame:
     """(a, b, m): links (a, b) with the least b of each a.
 
     A hub, with more than HUB_LINKS links and more than one in HUBS of all n, leaves its links where they are: the
-    least of the hubs, HUBS rows at most, are broadcast to them.
+    least of the hubs, HUBS rows at most, are broadcast to them. Few links need no such care.
     """
     least = links.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("links"))
-    if n <= HUB_LINKS:
+    if n <= 16 * HUB_LINKS:
         return links.join(least.select("a", "m"), "a")
     hubs = F.broadcast(least.where(F.col("links") > max(HUB_LINKS, n // HUBS)).select("a", "m"))
     return links.join(hubs, "a").unionByName(links.join(hubs.select("a"), "a", "left_anti").join(least.select("a", "m"), "a"))

@@ -211,7 +211,7 @@ def test_what_ranks_refuse(spark):
         pagerank.pagerank(*t, tolerance=1e-12, most=3)
 
 
-@pytest.mark.parametrize("hub", [4, 4096])
+@pytest.mark.parametrize("hub", [4, 1024])
 def test_components_with_hubs(spark, monkeypatch, hub):
     monkeypatch.setattr(components_of, "HUB_LINKS", hub)
     pairs = [(0, k) for k in range(1, 60)] + [(100 + k, 99) for k in range(30)] + [(200 + k, 201 + k) for k in range(20)] + [(59, 129), (7, 7)]
@@ -312,7 +312,7 @@ def test_sinks_and_programs(spark, corpus, tmp_path, docs):
     run("pmi", "--input", corpus, "--output", str(tmp_path / "m"), "--min-count", "1", "--stripes")
     assert readers.tuples(spark, str(tmp_path / "m")).count() == 6
     run("analyze-pmi", "--input", str(tmp_path / "m"), "--words", "a,zzz", "--top", "1", "--output", str(tmp_path / "n"))
-    assert sorted(" ".join(r.value.split()[:3]) for r in readers.lines(spark, str(tmp_path / "n")).collect()) == ["a b 0.1823215567939547", "best a b", "pairs 6"]
+    assert sorted(" ".join(x[:8] for x in r.value.split()[:3]) for r in readers.lines(spark, str(tmp_path / "n")).collect()) == ["a b 0.182321", "best a b", "pairs 6"]
 
 
 def test_stream_of_hours(spark, tmp_path):
