@@ -16,7 +16,7 @@ BLOCK_ROWS = 8192
 #: Names of the types of whole numbers.
 WHOLE = ("byte", "short", "integer", "long")
 #: Keys that hot_join() takes apart, at most, and rows that a key may have before it counts as one of them.
-HOT_KEYS, HOT_ROWS = 10_000, 8192
+HOT_KEYS, HOT_ROWS = 10_000, 1 << 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
