@@ -1,6 +1,6 @@
 """Document fingerprints: threshold-scaled sketches, by DataFrame functions alone.
 
-A text's shingles are its runs of five words (the whole text, if it has fewer). Each is hashed to BITS bits; the
+A text's shingles are its runs of five words (the whole text, if it has fewer). Each is hashed to BITS bits of MD5; the
 sketch keeps every hash below a fixed part of that range, so that sketches of a document's parts merge into the
 sketch of the whole, and the shared part of two sketches estimates containment however unequal the documents are. A
 text with words, none of whose hashes lies below, keeps its smallest; a text of fewer than five words keeps the hash
@@ -33,8 +33,9 @@ SHORT = 1 << BITS
 RUN = 1 << 15
 
 
-def word_hashes(text: Column) -> Column:
-    return F.transform(F.filter(F.split(text, BREAKS), lambda w: w != ""), lambda w: F.xxhash64(w))
+def named(words: Column) -> Column:
+    """The first BITS bits of the MD5 of words joined by one space, in hexadecimal."""
+    return F.left(F.md5(F.array_join(words, " ")), F.lit(BITS // 4))
 
 
 def limit(fraction: float) -> int:
@@ -43,15 +44,16 @@ def limit(fraction: float) -> int:
 
 def with_sketch(df: DataFrame, text: Column, out: str, fraction: float = FRACTION) -> DataFrame:
     """df with the sketch of a text, an array of long, in column out."""
-    columns, words, all_hashes, low = [F.col(f"`{c}`") for c in df.columns if c != out], *(unused(df, x) for x in ("_words", "_hashes", "_low"))
-    df = df.withColumn(words, word_hashes(F.coalesce(text, F.lit(""))))
+    columns, words, digits, low = [F.col(f"`{c}`") for c in df.columns if c != out], *(unused(df, x) for x in ("_words", "_digits", "_low"))
+    df = df.withColumn(words, F.array_remove(F.split(F.coalesce(text, F.lit("")), BREAKS), ""))
     n, w = F.size(words), F.col(words)
-    runs = F.transform(F.sequence(F.lit(0), n - SHINGLE), lambda i: F.shiftrightunsigned(F.xxhash64(*[F.get(w, i + k) for k in range(SHINGLE)]), 64 - BITS))
-    whole = F.when(n > 0, F.array(F.shiftrightunsigned(F.xxhash64(w), 64 - BITS) + SHORT)).otherwise(F.array().cast("array<long>"))
-    df = df.withColumn(all_hashes, F.when(n >= SHINGLE, runs).otherwise(whole)).drop(words)
-    df = df.withColumn(low, F.filter(all_hashes, lambda h: h < limit(fraction)))
-    few = F.when((F.size(low) == 0) & (F.size(all_hashes) > 0), F.array(F.array_min(all_hashes))).otherwise(F.array_sort(F.array_distinct(low)))
-    return df.select(*columns, few.alias(out))
+    runs = F.transform(F.sequence(F.lit(1), n - SHINGLE + 1), lambda i: named(F.slice(w, i, SHINGLE)))
+    whole = F.when(n > 0, F.array(F.concat(F.lit("1"), named(w)))).otherwise(F.array().cast("array<string>"))
+    df = df.withColumn(digits, F.when(n >= SHINGLE, runs).otherwise(whole)).drop(words)
+    below = f"{limit(fraction):0{BITS // 4}x}"
+    df = df.withColumn(low, F.filter(digits, lambda h: (h < below) & (F.length(h) == BITS // 4)) if limit(fraction) < SHORT else F.filter(digits, lambda h: F.length(h) == BITS // 4))
+    few = F.when((F.size(low) == 0) & (F.size(digits) > 0), F.array(F.array_min(digits))).otherwise(F.array_distinct(low))
+    return df.select(*columns, F.array_sort(F.transform(few, lambda h: F.conv(h, 16, 10).cast("long"))).alias(out))
 
 
 def fingerprint(sketch: Column) -> Column:

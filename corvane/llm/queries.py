@@ -112,5 +112,28 @@ first AS (SELECT coalesce(text, '') AS text, min(doc_id) AS id FROM documents GR
 SELECT doc_id, class_id FROM documents d JOIN first ON first.text = coalesce(d.text, '') JOIN class ON class.id = first.id
 """
 
+
+def _sketch_sql(name: str, text: str) -> str:
+    """CTEs up to {name} (doc_id, s): the sketch of a text of t (doc_id, text, edited)."""
+    digits, below = fingerprints.BITS // 4, f"{fingerprints.limit(fingerprints.FRACTION):x}"
+    return f"""{name}_w AS (SELECT doc_id, {WORDS.replace("text", text)} AS w FROM t),
+{name}_each AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS j FROM {name}_w WHERE len(w) >= 5),
+{name}_runs AS (SELECT doc_id, left(md5(string_agg(word, ' ') OVER five), {digits}) AS h, count(*) OVER five AS n FROM {name}_each WINDOW five AS (PARTITION BY doc_id ORDER BY j ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
+{name}_some AS (SELECT doc_id, list_sort(list(DISTINCT h) FILTER (WHERE h < '{below}')) AS low, min(h) AS least FROM {name}_runs WHERE n = 5 GROUP BY doc_id),
+{name} AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN ['1' || left(md5(array_to_string(w, ' ')), {digits})] WHEN low IS NULL OR len(low) = 0 THEN [least] ELSE low END AS s
+    FROM {name}_w LEFT JOIN {name}_some USING (doc_id))"""
+
+
+_LIKE = "CASE WHEN len(a.s) = 0 THEN CASE WHEN len({0}) = 0 THEN 1.0 ELSE 0.0 END ELSE len(list_intersect(a.s, {0})) / len(a.s) END"
+FINGERPRINTS_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+o AS (SELECT doc_id, text, coalesce(lead(doc_id) OVER down, first_value(doc_id) OVER down) AS next_id, coalesce(lead(text) OVER down, first_value(text) OVER down) AS next_text FROM d WINDOW down AS (ORDER BY doc_id DESC)),
+t AS (SELECT doc_id, text, next_id, length(text) AS n, left(text, length(text) - length(text) // 3) || left(next_text, length(text) // 3) AS edited FROM o),
+{_sketch_sql("plain", "text")}, {_sketch_sql("changed", "edited")}
+SELECT t.doc_id, CAST(n AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, array_to_string(a.s, '') AS fingerprint, array_to_string(b.s, '') AS edited_fingerprint,
+    CAST({_LIKE.format("b.s")} AS DOUBLE) AS near_edited, CAST({_LIKE.format("c.s")} AS DOUBLE) AS near_next
+FROM t JOIN plain a ON a.doc_id = t.doc_id JOIN changed b ON b.doc_id = t.doc_id JOIN plain c ON c.doc_id = t.next_id
+"""
+
 #: DuckDB SQL of the queries that it can express whole; tests/llm holds the others against brute force.
-ORACLES: dict[str, str] = {"op2_topk": TOPK_SQL, "op5_substrings": SUBSTRINGS_SQL, "op6_chat": _chat_sql(), "op9_neardup": NEARDUP_SQL}
+ORACLES: dict[str, str] = {"op2_topk": TOPK_SQL, "op5_substrings": SUBSTRINGS_SQL, "op6_chat": _chat_sql(), "op7_fingerprints": FINGERPRINTS_SQL, "op9_neardup": NEARDUP_SQL}

@@ -18,7 +18,7 @@ def test_query_equals_its_oracle(spark, name):
     want = sorted(map(repr, duck.execute(f"SELECT {', '.join(columns)} FROM ({ORACLES[name]}) q").fetchall()))
     df = QUERIES[name](spark, SF)
     assert sorted(df.columns) == columns
-    kinds = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR"}
+    kinds = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE"}
     types = {d[0]: str(d[1]) for d in found.description}
     assert {c: kinds[k] for c, k in df.dtypes} == types
     assert sorted(repr(tuple(r)) for r in df.select(*columns).collect()) == want and want
