@@ -7,15 +7,21 @@ directions. Counts of partial results are combined before the shuffle. There is
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import distinct_tokens
 from corvane.plans.lineage import kept
 
 MIN_COUNT = 10
-#: Terms of a line that one task pairs with one another, and partners in one map of a stripe, about.
-LONG, PARTNERS = 1024, 1 << 16
+#: Terms of a line that one task pairs with one another, partners in one map of a stripe, about, and pairs that are
+#: counted together.
+LONG, PARTNERS, HELD = 4096, 1 << 16, 1 << 23
 
 
 def line_tokens(lines: DataFrame, line: str = "line", key: tuple[str, ...] = ("doc_id", "line_no")) -> DataFrame:
@@ -30,28 +36,85 @@ def marginals(lines: DataFrame, min_count: int = 1, line: str = "line") -> DataF
 
 
 def _numbered(lines: DataFrame, min_count: int, line: str) -> DataFrame:
-    return kept(marginals(lines, min_count, line).withColumn("n", F.monotonically_increasing_id()))
+    """(term, cnt, n): the terms, numbered from 0 without gaps: by their place in a partition and the sizes of those before it."""
+    place = F.monotonically_increasing_id()
+    rows = kept(marginals(lines, min_count, line).withColumns({"part": F.shiftright(place, 33), "place": place.bitwiseAND(F.lit((1 << 33) - 1))}))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy("part").agg(F.count("*").alias("size"))  # a row for each partition
+    firsts = sizes.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("first"))
+    return kept(rows.join(F.broadcast(firsts), "part").select("term", "cnt", (F.col("first") + F.col("place")).alias("n")))
+
 
+def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(pair, cnt): how often each pair stands in rows (left, right, same), by at most HELD pairs at a time.
 
-def _paired(sets: DataFrame) -> DataFrame:
-    """(a, b) of rows (left, right, same): every number of left with every one of right, or with those after it if they are the same."""
-    firsts = sets.select(F.posexplode("left").alias("i", "a"), "right", "same")
-    rest = F.when(F.col("same"), F.slice("right", F.col("i") + 2, F.size("right"))).otherwise(F.col("right"))
-    return firsts.select("a", F.explode(rest).alias("b"))
+    A row pairs every number of left with every one of right, or with those after it if both are the same. A pair of
+    numbers a, b is a * 2^32 + b.
+    """
+    held: list[np.ndarray] = []
+
+    def counts() -> pa.RecordBatch:
+        pair, cnt = np.unique(np.concatenate(held), return_counts=True)
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(pair), pa.array(cnt)], names=["pair", "cnt"])
+
+    size = 0
+    for batch in batches:
+        left, right = (batch.column(k) for k in (0, 1))
+        one, two = (x.flatten().to_numpy() for x in (left, right))
+        starts, m = ((f(right).to_numpy()) for f in (lambda x: x.offsets, pc.list_value_length))
+        own = np.repeat(np.arange(batch.num_rows), pc.list_value_length(left).to_numpy())
+        place = np.arange(len(one)) - (left.offsets.to_numpy()[:-1] - left.offsets[0].as_py())[own]
+        skip = np.where(batch.column(2).to_numpy(zero_copy_only=False)[own], place + 1, 0)
+        first, n = (starts[:-1] - starts[0])[own] + skip, m[own] - skip
+        ends = np.cumsum(n)
+        at = 0
+        while at < len(n):
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + HELD - size, side="right")))
+            some = n[at:stop]
+            partner = np.repeat(first[at:stop] - np.cumsum(some) + some, some) + np.arange(int(some.sum()))
+            held.append((np.repeat(one[at:stop], some) << 32) | two[partner])
+            size += len(partner)
+            at = stop
+            if size >= HELD or at < len(n):
+                yield counts()
+                size = 0
+    if held:
+        yield counts()
+
+
+def _summed(min_count: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(a, b, cnt) of the pairs of a partition that reach min_count."""
+        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        pair, cnt = (np.concatenate([h[k] for h in held]) if held else np.empty(0, dtype=np.int64) for k in (0, 1))
+        order = np.argsort(pair)
+        pair, cnt = pair[order], cnt[order]
+        starts = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])) if len(pair) else np.empty(0, dtype=np.int64)
+        sums = np.add.reduceat(cnt, starts) if len(pair) else cnt
+        pair, sums = pair[starts][sums >= min_count], sums[sums >= min_count]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (pair >> 32, pair & 0xFFFFFFFF, sums)], names=["a", "b", "cnt"])
+
+    return run
 
 
 def _halves(lines: DataFrame, terms: DataFrame, min_count: int, line: str, key: tuple[str, ...]) -> DataFrame:
-    """(a, b, cnt) with a < b, by the numbers of terms. A line of more than LONG terms is paired block by block, by as many tasks."""
+    """(a, b, cnt) with a < b, by the numbers of terms.
+
+    Pairs are made and counted in Arrow batches, only counts are shuffled, by pair, and summed by as many tasks as
+    HELD pairs each need. A line of more than LONG terms is paired block by block, by as many tasks.
+    """
     rows = line_tokens(lines, line, key).join(terms.select("term", "n"), "term")
-    sets = rows.groupBy(*key).agg(F.sort_array(F.collect_list("n")).alias("ns")).where(F.size("ns") > 1)
+    sets = kept(rows.groupBy(*key).agg(F.sort_array(F.collect_list("n")).alias("ns")).where(F.size("ns") > 1).select("ns"))
+    every = sets.agg(F.sum(F.size("ns").cast("long") * (F.size("ns") - 1) / 2)).first()[0] or 0
+    tasks = max(lines.sparkSession.sparkContext.defaultParallelism, -(-int(every) // HELD))
     short = sets.where(F.size("ns") <= LONG).select(F.col("ns").alias("left"), F.col("ns").alias("right"), F.lit(True).alias("same"))
     blocks = F.expr(f"sequence(0, (size(ns) - 1) div {LONG})")
     long = sets.where(F.size("ns") > LONG).select("ns", F.explode(F.flatten(F.transform(blocks, lambda i: F.transform(F.filter(blocks, lambda j: j >= i), lambda j: F.struct(i.alias("i"), j.alias("j")))))).alias("at"))
     cut = [F.slice("ns", F.col(f"at.{k}") * LONG + 1, LONG) for k in ("i", "j")]
     long = long.select(cut[0].alias("left"), cut[1].alias("right"), (F.col("at.i") == F.col("at.j")).alias("same"))
-    dealt = long.repartition(F.xxhash64("left", "right"))
-    pairs = _paired(short).unionByName(_paired(dealt))
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("cnt")).where(F.col("cnt") >= min_count)
+    dealt = short.unionByName(long.repartition(F.xxhash64("left", "right")))
+    return dealt.mapInArrow(_paired, "pair long, cnt long").repartition(tasks, "pair").mapInArrow(_summed(min_count), "a long, b long, cnt long")
 
 
 def pairs(lines: DataFrame, min_count: int = MIN_COUNT, line: str = "line", key: tuple[str, ...] = ("doc_id", "line_no")) -> DataFrame:

@@ -219,8 +219,10 @@ def test_components_with_hubs(spark, monkeypatch, hub):
     assert got == {k: 0 for k in [*range(60), *range(99, 130)]} | {k: 200 for k in range(200, 221)}
 
 
-def test_long_lines_are_paired_by_blocks(spark, monkeypatch):
-    monkeypatch.setattr(cooc, "LONG", 3)
+@pytest.mark.parametrize("long", [3, 4096])
+def test_long_lines_are_paired_by_blocks(spark, monkeypatch, long):
+    monkeypatch.setattr(cooc, "LONG", long)
+    monkeypatch.setattr(cooc, "HELD", 5)
     monkeypatch.setattr(cooc, "PARTNERS", 2)
     rows = [(1, "a b c d e f g h"), (2, "a b"), (3, "h g f e d c b a a"), (4, "c e g")]
     df = spark.createDataFrame(rows, "docno long, text string")
