@@ -1,7 +1,8 @@
 """Inverted index: building, compressing, storing, lookup, and Boolean retrieval of documents.
 
-An index has a row for each term and range of CHUNK document numbers: (term, chunk, df, postings). So the postings of a
-term that every document has are many rows, of bounded size, and df, the term's number of documents, stands in each.
+An index has a row for each term and range of CHUNK document numbers: (term, chunk, n, postings), n being how many
+postings the row has. So the postings of a term that every document has are many rows, of bounded size, made by as many
+tasks; the number of documents of a term is the sum of its rows' n.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions.codec import decoded, encoded
@@ -47,21 +48,25 @@ def term_frequencies(docs: DataFrame, docno: str = "docno", text: str = "text",
 
 
 def build_index(docs: DataFrame, docno: str = "docno", text: str = "text", chunk: int = CHUNK, unique: bool = True) -> DataFrame:
-    """(term, chunk, df, postings): postings sorted by document number."""
+    """(term, chunk, n, postings): postings sorted by document number."""
     rows = term_frequencies(docs, docno, text, unique).withColumn("chunk", F.expr(f"docno div {chunk}"))
-    lists = rows.groupBy("term", "chunk").agg(F.array_sort(F.collect_list(F.struct("docno", "tf"))).alias("postings"))
-    df = F.sum(F.size("postings")).over(Window.partitionBy("term"))
-    return lists.select("term", "chunk", df.alias("df"), "postings")
+    postings = F.array_sort(F.collect_list(F.struct("docno", "tf")))
+    return rows.groupBy("term", "chunk").agg(F.count("*").alias("n"), postings.alias("postings"))
+
+
+def document_frequencies(index: DataFrame) -> DataFrame:
+    """(term, df): in how many documents each term is."""
+    return index.groupBy("term").agg(F.sum("n").alias("df"))
 
 
 def compressed(index: DataFrame) -> DataFrame:
-    """(term, chunk, df, blob): gap-coded postings."""
-    return index.select("term", "chunk", "df", encoded("postings").alias("blob"))
+    """(term, chunk, n, blob): gap-coded postings."""
+    return index.select("term", "chunk", "n", encoded("postings").alias("blob"))
 
 
 def decompressed(blobs: DataFrame) -> DataFrame:
-    """(term, chunk, df, postings) of compressed()."""
-    return blobs.select("term", "chunk", "df", decoded("blob").alias("postings"))
+    """(term, chunk, n, postings) of compressed()."""
+    return blobs.select("term", "chunk", "n", decoded("blob").alias("postings"))
 
 
 _stored: dict[tuple[str, str, bool], str] = {}

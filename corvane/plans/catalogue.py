@@ -73,7 +73,7 @@ def rounded(df: DataFrame, *cols: str, places: int = 6) -> DataFrame:
 
 def postings_text(df: DataFrame) -> DataFrame:
     text = F.array_join(F.transform("postings", lambda p: F.concat_ws(":", p["docno"], p["tf"])), ",")
-    return df.select("term", "chunk", "df", text.alias("postings"))
+    return df.select("term", "chunk", "n", text.alias("postings"))
 
 
 # Words and pairs of words
@@ -154,7 +154,11 @@ def inverted_index(spark, sf_dir):
 
 
 def inverted_index_compressed(spark, sf_dir):
-    return index.compressed(inverted(spark, sf_dir)).select("term", "chunk", "df", F.hex("blob").alias("blob"))
+    return index.compressed(inverted(spark, sf_dir)).select("term", "chunk", "n", F.hex("blob").alias("blob"))
+
+
+def document_frequencies(spark, sf_dir):
+    return index.document_frequencies(stored(spark, sf_dir))
 
 
 def index_roundtrip(spark, sf_dir):
@@ -414,7 +418,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         word_count_alpha, word_count_all, vocab_size, vocab_size_alpha, bigram_count, bigram_count_text,
         cooc_marginals, cooc_pairs, cooc_conditional, cooc_stripes, pmi, pmi_compat, pmi_stripes, pmi_count, pmi_top_pair, pmi_topk_for_word,
-        inverted_index, inverted_index_compressed, index_roundtrip, index_two_shuffles, postings_lookup, postings_lookup_compressed, tf_histogram, fetch_lines, fetch_stored_lines,
+        inverted_index, inverted_index_compressed, document_frequencies, index_roundtrip, index_two_shuffles, postings_lookup, postings_lookup_compressed, tf_histogram, fetch_lines, fetch_stored_lines,
         graph_stats, graph_adjacency, graph_repeated_nodes, graph_range_partition, graph_hash_partition, graph_hash_partition_counts, graph_missing_targets,
         pagerank_k, pagerank_acyclic, pagerank_missing_nodes, pagerank_top, pagerank_log, pagerank_resumed, pagerank_converged, pagerank_counters, ppr_k, ppr_top, ppr_report, wcc_labels, wcc_thinned, wcc_count, graph_summary,
         src_text, src_gzip, src_offsets, src_tuples, src_parquet, src_keyed, src_adjacency, src_tab_adjacency, src_events, src_events_csv, sink_iterations,

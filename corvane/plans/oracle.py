@@ -25,7 +25,7 @@ CHUNK, SMALL_CHUNK = 1 << 20, 300
 
 
 def index(chunk: int) -> str:
-    return f"WITH {TF}, ch AS (SELECT term, docno // {chunk} AS chunk, string_agg(docno || ':' || tf, ',' ORDER BY docno) AS postings, count(*) AS n FROM tf GROUP BY 1, 2) SELECT term, chunk, CAST(sum(n) OVER (PARTITION BY term) AS BIGINT) AS df, postings FROM ch"
+    return f"WITH {TF}, ch AS (SELECT term, docno // {chunk} AS chunk, string_agg(docno || ':' || tf, ',' ORDER BY docno) AS postings, count(*) AS n FROM tf GROUP BY 1, 2) SELECT term, chunk, n, postings FROM ch"
 
 
 def edges(where: str = "true") -> str:
@@ -92,7 +92,7 @@ def sql() -> dict[str, str]:
     alpha = "regexp_full_match(term, '[A-Za-z]+')"
     keyword = " OR ".join(f"contains(lower(event_type), '{k}')" for k in KEYWORDS)
     pattern = f"regexp_matches(event_type, '(?i){'|'.join(KEYWORDS)}')"
-    gaps = f"WITH {TF}, g AS (SELECT term, docno // {CHUNK} AS chunk, docno, tf, docno - coalesce(lag(docno) OVER (PARTITION BY term, docno // {CHUNK} ORDER BY docno), 0) AS gap FROM tf), h AS (SELECT term, chunk, docno, {vint('gap')} || {vint('tf')} AS b FROM g), f AS (SELECT term, chunk, count(*) AS n, string_agg(b, '' ORDER BY docno) AS body FROM h GROUP BY 1, 2) SELECT term, chunk, CAST(sum(n) OVER (PARTITION BY term) AS BIGINT) AS df, {vint('n')} || body AS blob FROM f"
+    gaps = f"WITH {TF}, g AS (SELECT term, docno // {CHUNK} AS chunk, docno, tf, docno - coalesce(lag(docno) OVER (PARTITION BY term, docno // {CHUNK} ORDER BY docno), 0) AS gap FROM tf), h AS (SELECT term, chunk, docno, {vint('gap')} || {vint('tf')} AS b FROM g), f AS (SELECT term, chunk, count(*) AS n, string_agg(b, '' ORDER BY docno) AS body FROM h GROUP BY 1, 2) SELECT term, chunk, n, {vint('n')} || body AS blob FROM f"
     top = "SELECT id, round(p, 9) AS p FROM p10"
     ppr = "SELECT source, id, round(p, 9) AS p FROM p10"
     return {
@@ -114,6 +114,7 @@ def sql() -> dict[str, str]:
         "pmi_topk_for_word": f'WITH {PMI} SELECT "right", pmi FROM pm WHERE "left" = \'{WORD}\' ORDER BY pmi DESC, "right" LIMIT 10',
         "inverted_index": index(CHUNK),
         "inverted_index_compressed": gaps,
+        "document_frequencies": f"WITH {TF} SELECT term, count(*) AS df FROM tf GROUP BY term",
         "index_roundtrip": index(CHUNK),
         "index_two_shuffles": index(SMALL_CHUNK),
         "postings_lookup": f"WITH {TF} SELECT docno, tf FROM tf WHERE term = '{TERM}'",

@@ -76,15 +76,16 @@ def test_index_and_codec(docs):
     built = index.build_index(docs)
     found = {r.term: [tuple(p) for p in r.postings] for r in built.collect()}
     assert found == {"a": [(0, 1), (6, 1), (10, 2), (20, 1)], "b": [(0, 1), (6, 1), (10, 1), (16, 1), (20, 1)], "c": [(0, 1), (16, 1)]}
-    assert {r.term: r.df for r in built.collect()} == {"a": 4, "b": 5, "c": 2} and {r.chunk for r in built.collect()} == {0}
+    assert as_dict(index.document_frequencies(built)) == {"a": 4, "b": 5, "c": 2} and {r.chunk for r in built.collect()} == {0}
     slow = index.build_index(docs, unique=False)
     assert sorted(map(str, slow.collect())) == sorted(map(str, built.collect()))
     chunked = index.build_index(docs, chunk=10)
-    assert {(r.term, r.chunk, r.df): [tuple(p) for p in r.postings] for r in chunked.collect()}["a", 1, 4] == [(10, 2)]
+    assert {(r.term, r.chunk, r.n): [tuple(p) for p in r.postings] for r in chunked.collect()}["a", 1, 1] == [(10, 2)]
+    assert as_dict(index.document_frequencies(chunked)) == {"a": 4, "b": 5, "c": 2}
     assert sorted(map(tuple, index.lookup(chunked, "a").collect())) == found["a"]
     packed = index.compressed(built)
     assert {r.term: bytes(r.blob).hex().upper() for r in packed.collect()} == {"a": "040001060104020A01", "b": "0500010601040106010401", "c": "0200011001"}
-    assert {r.term: (r.df, [tuple(p) for p in r.postings]) for r in index.decompressed(packed).collect()} == {t: (len(p), p) for t, p in found.items()}
+    assert {r.term: (r.n, [tuple(p) for p in r.postings]) for r in index.decompressed(packed).collect()} == {t: (len(p), p) for t, p in found.items()}
     for q, want in (("a c AND", {0}), ("a c OR", {0, 6, 10, 16, 20}), ("zzz a AND", set()), ("a c AND b OR", {0, 6, 10, 16, 20})):
         assert {r.docno for r in index.boolean_query(built, q).collect()} == want
     assert sorted(r.text for r in index.fetch(index.boolean_query(built, "a c AND"), docs).collect()) == ["a b c"]
