@@ -228,7 +228,8 @@ def links(docs: DataFrame, text_col: str = "text") -> DataFrame:
     buckets = kept(rows.join(common, ["band", "key"]).select("node", F.struct("band", "key").alias("bucket"), "n"))
     degree = buckets.groupBy("node").agg(F.sum("n").alias("degree"))
     those = degree.select("node")
-    some = kept(texts.join(those, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
+    # Equal texts become one in the tasks that read them, so that no task meets all copies of a text.
+    some = kept(texts.groupBy("node").agg(F.first("text").alias("text")).join(those, "node", "left_semi"))
 
     # Round 1: the best-connected node of each bucket with the others.
     best = buckets.join(degree, "node").groupBy("bucket").agg(F.max(F.struct("degree", "node")).alias("top"))
