@@ -2,17 +2,20 @@
 
 A line counts each of its distinct tokens once. Tokens rarer than min_count can't be in a pair that isn't, so they
 are dropped before lines are paired; the rest are paired by number, smaller with larger, and counted once for both
-directions. Counts of partial results are combined before the shuffle. There is no reserved token.
+directions. Counts of partial results are combined before the shuffle, which takes about a byte and a half for each
+pair that is not of two frequent terms. There is no reserved token.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import distinct_tokens
@@ -21,7 +24,10 @@ from corvane.plans.lineage import kept
 MIN_COUNT = 10
 #: Terms of a line that one task pairs with one another, partners in one map of a stripe, about, and pairs that are
 #: counted together.
-LONG, PARTNERS, HELD = 4096, 1 << 16, 1 << 23
+LONG, PARTNERS, HELD = 4096, 1 << 16, 1 << 22
+#: Terms whose pairs have a cell each in every task that makes pairs, terms that every task knows, tokens that are
+#: looked up together, and rows of a batch.
+FREQUENT, WORDS, TOKENS, ROWS = 8192, 1 << 22, 1 << 21, 1 << 17
 
 
 def line_tokens(lines: DataFrame, line: str = "line", key: tuple[str, ...] = ("doc_id", "line_no")) -> DataFrame:
@@ -35,95 +41,268 @@ def marginals(lines: DataFrame, min_count: int = 1, line: str = "line") -> DataF
     return rows.groupBy("term").agg(F.count("*").alias("cnt")).where(F.col("cnt") >= min_count)
 
 
-def _numbered(lines: DataFrame, min_count: int, line: str) -> DataFrame:
-    """(term, cnt, n): the terms, numbered from 0 without gaps: by their place in a partition and the sizes of those before it."""
+def _joined(rows: DataFrame) -> DataFrame:
+    """(term, cnt, n): the terms, numbered from 0 without gaps, frequent ones first: by their place in a partition and the sizes of those before it."""
     place = F.monotonically_increasing_id()
-    rows = kept(marginals(lines, min_count, line).withColumns({"part": F.shiftright(place, 33), "place": place.bitwiseAND(F.lit((1 << 33) - 1))}))
+    rows = kept(rows.orderBy(F.col("cnt").desc(), "term").withColumns({"part": F.shiftright(place, 33), "place": place.bitwiseAND(F.lit((1 << 33) - 1))}))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = rows.groupBy("part").agg(F.count("*").alias("size"))  # a row for each partition
     firsts = sizes.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("first"))
     return kept(rows.join(F.broadcast(firsts), "part").select("term", "cnt", (F.col("first") + F.col("place")).alias("n")))
 
 
-def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(pair, cnt): how often each pair stands in rows (left, right, same), by at most HELD pairs at a time.
+def _looked_up(words: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(ns): the sorted numbers of each line's terms, of lines with two or more."""
 
-    A row pairs every number of left with every one of right, or with those after it if both are the same. A pair of
-    numbers a, b is a * 2^32 + b.
+    def numbers(lists: list[pa.Array]) -> pa.RecordBatch:
+        flat = pa.chunked_array([x.flatten() for x in lists])
+        sizes = np.concatenate([pc.fill_null(pc.list_value_length(x), 0).to_numpy() for x in lists])
+        terms = words.value.column("term").combine_chunks().cast(flat.type)
+        n = pc.fill_null(pc.index_in(flat, value_set=terms), -1).to_numpy().astype(np.int64)
+        own = np.repeat(np.arange(len(sizes), dtype=np.int64), sizes)
+        key = np.sort(((own << 32) | n)[n >= 0])
+        found = np.bincount(key >> 32, minlength=len(sizes))
+        key, found = key[found[key >> 32] > 1], found[found > 1]
+        offsets = np.append(0, np.cumsum(found)).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offsets), pa.array((key & 0xFFFFFFFF).astype(np.int32)))], names=["ns"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch.column(0))
+            size += len(held[-1].flatten())
+            if size >= TOKENS:
+                yield numbers(held)
+                held, size = [], 0
+        if held:
+            yield numbers(held)
+
+    return run
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers, byte by byte of each: all lowest ones first. What is small costs little more than its lowest byte."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T)
+    return pa.Codec("zstd", compression_level=1).compress(planes, asbytes=True)
+
+
+def _unpacked(data: bytes, n: int, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.Codec("zstd").decompress(data, n * width, asbytes=True), np.uint8).reshape(width, n)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(n)
+
+
+class _Packets:
+    """Rows of PACKETS, sent off by some thousand."""
+
+    def __init__(self) -> None:
+        self.rows: list[tuple] = []
+
+    def add(self, part: int, dense: int, keys: np.ndarray | None, cnts: np.ndarray) -> None:
+        self.rows.append((part, dense, len(cnts), None if keys is None else _packed(np.diff(keys, prepend=0)), _packed(cnts)))
+
+    def sent(self, least: int = 1) -> Iterator[pa.RecordBatch]:
+        if len(self.rows) >= least:
+            columns = list(zip(*self.rows, strict=True))
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["part", "dense", "n", "keys", "cnts"])
+            self.rows.clear()
+
+
+#: What pairs are shuffled as: part is the task that sums them; dense: the number whose counts with every smaller one
+#: follow, or -1 where sorted pairs, as gaps, have counts of their own.
+PACKETS = "part int, dense long, n long, keys binary, cnts binary"
+
+
+def _paired(tasks: int, width: int, frequent: int, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """PACKETS of how often each pair stands in rows (left, right, same), `most` pairs being made at a time.
+
+    A row pairs every number of left with every one of right, or with those after it if both are the same; the right
+    one is larger. Pairs of numbers below `frequent` are counted in a triangle of one cell each until the rows end.
+    Of other pairs, the larger number a is dealt to task a % tasks, whose numbers are width * task + a // tasks.
     """
-    held: list[np.ndarray] = []
 
-    def counts() -> pa.RecordBatch:
-        pair, cnt = np.unique(np.concatenate(held), return_counts=True)
-        held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(pair), pa.array(cnt)], names=["pair", "cnt"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held, size = _Packets(), [], 0
+        cells: np.ndarray | None = None
+
+        def counted() -> None:
+            key, cnt = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            cuts = np.searchsorted(key, (np.arange(tasks + 1) * width) << 32)
+            for t in np.flatnonzero(np.diff(cuts)).tolist():
+                at = slice(cuts[t], cuts[t + 1])
+                out.add(t, -1, key[at], cnt[at].astype(np.int32))
+
+        for batch in batches:
+            left, right = (batch.column(k) for k in (0, 1))
+            one, two = (x.flatten().to_numpy().astype(np.int64) for x in (left, right))
+            starts, m = ((f(right).to_numpy()) for f in (lambda x: x.offsets, pc.list_value_length))
+            own = np.repeat(np.arange(batch.num_rows), pc.list_value_length(left).to_numpy())
+            place = np.arange(len(one)) - (left.offsets.to_numpy()[:-1] - left.offsets[0].as_py())[own]
+            skip = np.where(batch.column(2).to_numpy(zero_copy_only=False)[own], place + 1, 0)
+            first, n = (starts[:-1] - starts[0])[own] + skip, m[own] - skip
+            ends = np.cumsum(n)
+            at = 0
+            while at < len(n):
+                stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+                some = n[at:stop]
+                a = two[np.repeat(first[at:stop] - np.cumsum(some) + some, some) + np.arange(int(some.sum()))]
+                b = np.repeat(one[at:stop], some)
+                at = stop
+                few = a < frequent
+                x, y = a[few], b[few]
+                if len(x):
+                    if cells is None:
+                        cells = np.zeros(frequent * (frequent - 1) // 2, dtype=np.int32)
+                    np.add.at(cells, x * (x - 1) // 2 + y, np.int32(1))
+                x, y = a[~few], b[~few]
+                held.append(((x % tasks * width + x // tasks) << 32) | y)
+                size += len(x)
+                if size >= most:
+                    counted()
+                    size = 0
+                    yield from out.sent()
+        if size:
+            counted()
+        yield from out.sent()
+        if cells is not None:
+            for a in range(1, frequent):
+                row = cells[a * (a - 1) // 2 : a * (a + 1) // 2]
+                if row.any():
+                    out.add(a % tasks, a, None, row)
+                yield from out.sent(1024)
+            yield from out.sent()
 
+    return run
+
+
+Triples = Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def _read(batches: Iterator[pa.RecordBatch], most: int, dense: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted pairs and their summed counts from PACKETS, merged whenever more than `most` are held; dense rows are summed in `dense`."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
-    for batch in batches:
-        left, right = (batch.column(k) for k in (0, 1))
-        one, two = (x.flatten().to_numpy() for x in (left, right))
-        starts, m = ((f(right).to_numpy()) for f in (lambda x: x.offsets, pc.list_value_length))
-        own = np.repeat(np.arange(batch.num_rows), pc.list_value_length(left).to_numpy())
-        place = np.arange(len(one)) - (left.offsets.to_numpy()[:-1] - left.offsets[0].as_py())[own]
-        skip = np.where(batch.column(2).to_numpy(zero_copy_only=False)[own], place + 1, 0)
-        first, n = (starts[:-1] - starts[0])[own] + skip, m[own] - skip
-        ends = np.cumsum(n)
-        at = 0
-        while at < len(n):
-            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + HELD - size, side="right")))
-            some = n[at:stop]
-            partner = np.repeat(first[at:stop] - np.cumsum(some) + some, some) + np.arange(int(some.sum()))
-            held.append((np.repeat(one[at:stop], some) << 32) | two[partner])
-            size += len(partner)
-            at = stop
-            if size >= HELD or at < len(n):
-                yield counts()
-                size = 0
-    if held:
-        yield counts()
 
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        key, cnt = (np.concatenate([h[k] for h in held]) if held else np.empty(0, dtype=np.int64) for k in (0, 1))
+        held.clear()
+        order = np.argsort(key)
+        key, cnt = key[order], cnt[order]
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, dtype=np.int64)
+        return key[starts], np.add.reduceat(cnt, starts, dtype=np.int64) if len(key) else cnt
 
-def _summed(min_count: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(a, b, cnt) of the pairs of a partition that reach min_count."""
-        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-        pair, cnt = (np.concatenate([h[k] for h in held]) if held else np.empty(0, dtype=np.int64) for k in (0, 1))
-        order = np.argsort(pair)
-        pair, cnt = pair[order], cnt[order]
-        starts = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])) if len(pair) else np.empty(0, dtype=np.int64)
-        sums = np.add.reduceat(cnt, starts) if len(pair) else cnt
-        pair, sums = pair[starts][sums >= min_count], sums[sums >= min_count]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (pair >> 32, pair & 0xFFFFFFFF, sums)], names=["a", "b", "cnt"])
+    for batch in batches:
+        for a, n, keys, cnts in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3, 4)), strict=True):
+            cnt = _unpacked(cnts, n, np.int32)
+            if a >= 0:
+                dense[a] = dense[a] + cnt if a in dense else cnt.astype(np.int64)
+                continue
+            held.append((np.cumsum(_unpacked(keys, n, np.int64)), cnt))
+            size += n
+            if size > most:
+                held.append(merged())
+                size = len(held[0][0])
+                most = max(most, 2 * size)
+    return merged()
+
+
+def _summed(min_count: int, tasks: int, width: int, most: int, finish: Callable[[Triples], Iterator[pa.RecordBatch]]):
+    def triples(batches: Iterator[pa.RecordBatch]) -> Triples:
+        dense: dict[int, np.ndarray] = {}
+        key, cnt = _read(batches, most, dense)
+        key, cnt = key[cnt >= min_count], cnt[cnt >= min_count]
+        for at in range(0, len(key), ROWS):
+            a = key[at : at + ROWS] >> 32
+            yield a % width * tasks + a // width, key[at : at + ROWS] & 0xFFFFFFFF, cnt[at : at + ROWS]
+        for a, row in dense.items():
+            b = np.flatnonzero(row >= min_count)
+            if len(b):
+                yield np.full(len(b), a), b, row[b]
+
+    return lambda batches: finish(triples(batches))
+
+
+def _plain(found: Triples) -> Iterator[pa.RecordBatch]:
+    for three in found:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in three], names=["a", "b", "cnt"])
+
+
+def _named(words: Broadcast) -> Callable[[Triples], Iterator[pa.RecordBatch]]:
+    """(left, right, cnt, left_cnt, right_cnt) of both directions."""
+
+    def run(found: Triples) -> Iterator[pa.RecordBatch]:
+        term, count = (words.value.column(k).combine_chunks() for k in ("term", "cnt"))
+        for a, b, cnt in found:
+            x, y = pa.array(np.concatenate([a, b])), pa.array(np.concatenate([b, a]))
+            yield pa.RecordBatch.from_arrays([term.take(x), term.take(y), pa.array(np.concatenate([cnt, cnt])), count.take(x), count.take(y)], names=["left", "right", "cnt", "left_cnt", "right_cnt"])
 
     return run
 
 
-def _halves(lines: DataFrame, terms: DataFrame, min_count: int, line: str, key: tuple[str, ...]) -> DataFrame:
-    """(a, b, cnt) with a < b, by the numbers of terms.
+@dataclass
+class _Terms:
+    """Terms that reach min_count, numbered from the most frequent on: as a table that every task has, or, where they
+    are more than WORDS, as rows (term, cnt, n)."""
+
+    size: int
+    words: Broadcast | None
+    rows: DataFrame | None
+
+
+def _numbered(lines: DataFrame, min_count: int, line: str) -> _Terms:
+    rows = kept(marginals(lines, min_count, line))
+    size = rows.count()
+    if size > WORDS:
+        return _Terms(size, None, _joined(rows))
+    table = rows.toArrow().sort_by([("cnt", "descending"), ("term", "ascending")]).combine_chunks()
+    return _Terms(size, lines.sparkSession.sparkContext.broadcast(table), None)
+
+
+def _sets(lines: DataFrame, terms: _Terms, line: str, key: tuple[str, ...]) -> DataFrame:
+    """(ns): the sorted numbers of each line's terms, of lines with two or more."""
+    if terms.words:
+        return kept(lines.select(distinct_tokens(F.col(line)).alias("t")).mapInArrow(_looked_up(terms.words), "ns array<int>"))
+    rows = line_tokens(lines, line, key).join(terms.rows.select("term", F.col("n").cast("int")), "term")
+    return kept(rows.groupBy(*key).agg(F.sort_array(F.collect_list("n")).alias("ns")).where(F.size("ns") > 1).select("ns"))
+
+
+def _summing(lines: DataFrame, terms: _Terms, line: str, key: tuple[str, ...]) -> tuple[DataFrame, int, int]:
+    """PACKETS of the pairs of lines by the task that sums them, the number of tasks, and how many numbers each has.
 
-    Pairs are made and counted in Arrow batches, only counts are shuffled, by pair, and summed by as many tasks as
-    HELD pairs each need. A line of more than LONG terms is paired block by block, by as many tasks.
+    Pairs are made and counted in Arrow batches. Those of FREQUENT terms, most of a line's, are counted where they are
+    made, by as many tasks as run at once, and leave a cell each; the others leave gaps between sorted pairs, to be
+    summed by as many tasks as 2 * HELD pairs each need. A line of more than LONG terms is paired block by block, by as many
+    tasks.
     """
-    rows = line_tokens(lines, line, key).join(terms.select("term", "n"), "term")
-    sets = kept(rows.groupBy(*key).agg(F.sort_array(F.collect_list("n")).alias("ns")).where(F.size("ns") > 1).select("ns"))
-    every = sets.agg(F.sum(F.size("ns").cast("long") * (F.size("ns") - 1) / 2)).first()[0] or 0
-    tasks = max(lines.sparkSession.sparkContext.defaultParallelism, -(-int(every) // HELD))
-    short = sets.where(F.size("ns") <= LONG).select(F.col("ns").alias("left"), F.col("ns").alias("right"), F.lit(True).alias("same"))
-    blocks = F.expr(f"sequence(0, (size(ns) - 1) div {LONG})")
-    long = sets.where(F.size("ns") > LONG).select("ns", F.explode(F.flatten(F.transform(blocks, lambda i: F.transform(F.filter(blocks, lambda j: j >= i), lambda j: F.struct(i.alias("i"), j.alias("j")))))).alias("at"))
-    cut = [F.slice("ns", F.col(f"at.{k}") * LONG + 1, LONG) for k in ("i", "j")]
-    long = long.select(cut[0].alias("left"), cut[1].alias("right"), (F.col("at.i") == F.col("at.j")).alias("same"))
-    dealt = short.unionByName(long.repartition(F.xxhash64("left", "right")))
-    return dealt.mapInArrow(_paired, "pair long, cnt long").repartition(tasks, "pair").mapInArrow(_summed(min_count), "a long, b long, cnt long")
+    sets = _sets(lines, terms, line, key)
+    size, few = F.size("ns").cast("long"), F.size(F.filter("ns", lambda n: n < FREQUENT)).cast("long")
+    rest, longest = sets.agg(F.sum((size * (size - 1) - few * (few - 1)) / 2), F.max(size)).first()
+    parallel = lines.sparkSession.sparkContext.defaultParallelism
+    tasks = max(parallel, -(-int(rest or 0) // (2 * HELD)))
+    dealt = sets.where(F.size("ns") <= LONG).select(F.col("ns").alias("left"), F.col("ns").alias("right"), F.lit(True).alias("same")).coalesce(parallel)
+    if (longest or 0) > LONG:
+        blocks = F.expr(f"sequence(0, (size(ns) - 1) div {LONG})")
+        long = sets.where(F.size("ns") > LONG).select("ns", F.explode(F.flatten(F.transform(blocks, lambda i: F.transform(F.filter(blocks, lambda j: j >= i), lambda j: F.struct(i.alias("i"), j.alias("j")))))).alias("at"))
+        cut = [F.slice("ns", F.col(f"at.{k}") * LONG + 1, LONG) for k in ("i", "j")]
+        long = long.select(cut[0].alias("left"), cut[1].alias("right"), (F.col("at.i") == F.col("at.j")).alias("same"))
+        dealt = dealt.unionByName(long.repartition(parallel, F.xxhash64("left", "right")))
+    width = -(-terms.size // tasks) or 1
+    frequent = min(FREQUENT, terms.size)
+    return dealt.mapInArrow(_paired(tasks, width, frequent, HELD), PACKETS).repartitionById(tasks, F.col("part")), tasks, width
 
 
 def pairs(lines: DataFrame, min_count: int = MIN_COUNT, line: str = "line", key: tuple[str, ...] = ("doc_id", "line_no")) -> DataFrame:
     """(left, right, cnt, left_cnt, right_cnt) of both directions of every pair in min_count lines or more."""
     terms = _numbered(lines, min_count, line)
-    half = _halves(lines, terms, min_count, line, key)
+    packets, tasks, width = _summing(lines, terms, line, key)
+    if terms.words:
+        return packets.mapInArrow(_summed(min_count, tasks, width, 4 * HELD, _named(terms.words)), "left string, right string, cnt long, left_cnt long, right_cnt long")
+    half = packets.mapInArrow(_summed(min_count, tasks, width, 4 * HELD, _plain), "a long, b long, cnt long")
     both = half.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("p"), "cnt").select("p.x", "p.y", "cnt")
-    left = terms.select(F.col("n").alias("x"), F.col("term").alias("left"), F.col("cnt").alias("left_cnt"))
-    right = terms.select(F.col("n").alias("y"), F.col("term").alias("right"), F.col("cnt").alias("right_cnt"))
+    left = terms.rows.select(F.col("n").alias("x"), F.col("term").alias("left"), F.col("cnt").alias("left_cnt"))
+    right = terms.rows.select(F.col("n").alias("y"), F.col("term").alias("right"), F.col("cnt").alias("right_cnt"))
     return both.join(left, "x").join(right, "y").select("left", "right", "cnt", "left_cnt", "right_cnt")
 
 
@@ -149,17 +328,82 @@ def stripes(lines: DataFrame, min_count: int = MIN_COUNT, **how) -> DataFrame:
     """(term, cnt, part, stripe): each term's marginal and maps of its partners' counts.
 
     Pairs are counted first, for that is what combines before the shuffle; the partners of a term are dealt over as
-    many maps (parts) as a vocabulary of the most partners needs at PARTNERS each.
+    many maps (parts) as the vocabulary needs at PARTNERS each.
     """
-    return _striped(pairs(lines, min_count, **how), F.col("cnt"))
+    return _striped(lines, min_count, False, **how)
+
+
+def _ways(tasks: int, parts: int, most: int) -> Callable[[Triples], Iterator[pa.RecordBatch]]:
+    """PACKETS of both directions of counted pairs, by the task that has the first term's map of the second one."""
+
+    def run(found: Triples) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            a, b, cnt = (np.concatenate([h[k] for h in held]) for k in range(3))
+            held.clear()
+            x, y, out = np.concatenate([a, b]), np.concatenate([b, a]), _Packets()
+            key, cnt, task = (x << 32) | y, np.concatenate([cnt, cnt]), (x * 31 + y % parts) % tasks
+            order = np.lexsort((key, task))
+            key, cnt = key[order], cnt[order]
+            cuts = np.searchsorted(task[order], np.arange(tasks + 1))
+            for t in np.flatnonzero(np.diff(cuts)).tolist():
+                out.add(t, -1, key[cuts[t] : cuts[t + 1]], cnt[cuts[t] : cuts[t + 1]].astype(np.int32))
+            yield from out.sent()
+
+        size = 0
+        for three in found:
+            held.append(three)
+            size += len(three[0])
+            if size >= most // 2:
+                yield from sent()
+                size = 0
+        if held:
+            yield from sent()
+
+    return run
+
+
+def _maps(words: Broadcast, parts: int, most: int, marginal: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(term, cnt, part, stripe) of PACKETS; a stripe's values are counts, or counts and the partner's marginal."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        term, count = (words.value.column(k).combine_chunks() for k in ("term", "cnt"))
+        key, cnt = _read(batches, most, {})
+        x, y = key >> 32, key & 0xFFFFFFFF
+        order = np.lexsort((y % parts, x))
+        x, y, cnt = x[order], y[order], cnt[order]
+        part = (y % parts).astype(np.int32)
+        starts = np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (part[1:] != part[:-1]))) if len(x) else np.empty(0, dtype=np.int64)
+        ends = np.append(starts[1:], len(x))
+        at = 0
+        while at < len(starts):
+            stop = max(at + 1, int(np.searchsorted(ends, starts[at] + ROWS, side="right")))
+            some, offsets = slice(starts[at], ends[stop - 1]), np.append(starts[at:stop], ends[stop - 1]) - starts[at]
+            right, value = pa.array(y[some]), pa.array(cnt[some])
+            if marginal:
+                value = pa.StructArray.from_arrays([value, count.take(right)], names=["cnt", "right_cnt"])
+            stripe = pa.MapArray.from_arrays(pa.array(offsets.astype(np.int32)), term.take(right), value)
+            own = pa.array(x[starts[at:stop]])
+            yield pa.RecordBatch.from_arrays([term.take(own), count.take(own), pa.array(part[starts[at:stop]]), stripe], names=["term", "cnt", "part", "stripe"])
+            at = stop
+
+    return run
 
 
-def _striped(counted: DataFrame, value: Column) -> DataFrame:
-    counted = kept(counted)
-    most = counted.groupBy("left").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    part = F.pmod(F.xxhash64("right"), F.lit(-(-most // PARTNERS) or 1)).cast("int").alias("part")
-    each = counted.groupBy("left", "left_cnt", part).agg(F.map_from_entries(F.collect_list(F.struct("right", value.alias("value")))).alias("stripe"))
-    return each.select(F.col("left").alias("term"), F.col("left_cnt").alias("cnt"), "part", "stripe")
+def _striped(lines: DataFrame, min_count: int, marginal: bool, line: str = "line", key: tuple[str, ...] = ("doc_id", "line_no")) -> DataFrame:
+    """stripes(); marginal: whose values are (cnt, right_cnt)."""
+    terms = _numbered(lines, min_count, line)
+    parts = -(-terms.size // PARTNERS) or 1
+    if not terms.words:
+        value = F.struct("cnt", "right_cnt") if marginal else F.col("cnt")
+        counted = pairs(lines, min_count, line, key)
+        each = counted.groupBy("left", "left_cnt", F.pmod(F.xxhash64("right"), F.lit(parts)).cast("int").alias("part")).agg(F.map_from_entries(F.collect_list(F.struct("right", value.alias("value")))).alias("stripe"))
+        return each.select(F.col("left").alias("term"), F.col("left_cnt").alias("cnt"), "part", "stripe")
+    packets, tasks, width = _summing(lines, terms, line, key)
+    ways = packets.mapInArrow(_summed(min_count, tasks, width, 4 * HELD, _ways(tasks, parts, HELD)), PACKETS).repartitionById(tasks, F.col("part"))
+    value = "struct<cnt:bigint,right_cnt:bigint>" if marginal else "bigint"
+    return ways.mapInArrow(_maps(terms.words, parts, 4 * HELD, marginal), f"term string, cnt long, part int, stripe map<string,{value}>")
 
 
 def stripe_pairs(striped: DataFrame) -> DataFrame:
@@ -169,7 +413,7 @@ def stripe_pairs(striped: DataFrame) -> DataFrame:
 
 def pmi_stripes(lines: DataFrame, min_count: int = MIN_COUNT, normalise: bool = True, **how) -> DataFrame:
     """The rows of pmi(), by way of stripes that hold each partner's marginal beside the count."""
-    striped = _striped(pairs(lines, min_count, **how), F.struct("cnt", "right_cnt"))
+    striped = _striped(lines, min_count, True, **how)
     each = striped.select(F.col("term").alias("left"), F.col("cnt").alias("left_cnt"), F.explode("stripe").alias("right", "value"))
     counted = each.select("left", "right", "value.cnt", "left_cnt", "value.right_cnt")
     return scored(counted, lines.agg(F.count("*").alias("n")) if normalise else None)

@@ -241,6 +241,42 @@ def test_long_lines_are_paired_by_blocks(spark, monkeypatch, long):
     assert a == pytest.approx(b)
 
 
+def _lines(spark, n=400):
+    draw = np.random.default_rng(7)
+    return spark.createDataFrame([(k, " ".join(f"w{int(x)}" for x in draw.zipf(1.3, 30) % 3000)) for k in range(n)], "docno long, text string")
+
+
+@pytest.mark.parametrize("frequent, words, held", [(8192, 1 << 22, 1 << 22), (20, 1 << 22, 300), (2, 0, 300), (0, 0, 1 << 22)])
+def test_pairs_of_frequent_and_of_rare_terms(spark, monkeypatch, frequent, words, held):
+    for name, value in {"FREQUENT": frequent, "WORDS": words, "HELD": held, "TOKENS": 200, "ROWS": 50, "PARTNERS": 64}.items():
+        monkeypatch.setattr(cooc, name, value)
+    df, want, alone = _lines(spark), {}, {}
+    for r in df.collect():
+        s = set(r.text.split())
+        for x in s:
+            alone[x] = alone.get(x, 0) + 1
+            for y in s - {x}:
+                want[x, y] = want.get((x, y), 0) + 1
+    want = {(x, y): (c, alone[x], alone[y]) for (x, y), c in want.items() if c >= 3}
+    how = {"line": "text", "key": ("docno",)}
+    assert {(r.left, r.right): tuple(r)[2:] for r in cooc.pairs(df, 3, **how).collect()} == want
+    striped = cooc.stripes(df, 3, **how).collect()
+    assert {(r.term, y): (c, r.cnt) for r in striped for y, c in r.stripe.items()} == {k: v[:2] for k, v in want.items()}
+    assert len(striped) == len({(r.term, r.part) for r in striped})
+    a, b = (as_dict(f(df, 3, **how), 2) for f in (cooc.pmi, cooc.pmi_stripes))
+    assert a.keys() == want.keys() and a == pytest.approx(b)
+
+
+def test_a_pair_is_shuffled_in_few_bytes(spark, monkeypatch):
+    """Pairs were shuffled at some twelve bytes each."""
+    monkeypatch.setattr(cooc, "FREQUENT", 2)
+    df = _lines(spark, 4000).coalesce(1)
+    terms = cooc._numbered(df, 1, "text")
+    packets, _, _ = cooc._summing(df, terms, "text", ("docno",))
+    n, size = packets.selectExpr("sum(n)", "sum(length(keys) + length(cnts))").first()
+    assert n > 100_000 and size < 3 * n
+
+
 def test_a_line_is_split_once(spark):
     df = spark.createDataFrame([("a b c",)], "line string")
     plan = counts.bigram_count(df)._jdf.queryExecution().optimizedPlan().toString()
