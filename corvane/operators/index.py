@@ -23,19 +23,37 @@ from corvane.sources import readers, sinks
 OPERATORS = {"AND": lambda a, b: a & b, "OR": lambda a, b: a | b}
 #: Document numbers of one range.
 CHUNK = 1 << 20
+#: Rows that are sent to the JVM together, about.
+ROWS = 1 << 16
 #: Documents that fetch() names in a pushed-down condition, at most.
 NAMED = 10_000
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _rows(counts: Iterator[tuple[int, Counter]], kind: pa.DataType, most: int) -> Iterator[pa.RecordBatch]:
+    """(term, docno, tf) of counts, in batches of about `most` rows however many documents a batch brought."""
+    docnos, terms, tfs = [], [], []
+
+    def made() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(terms, pa.binary()).cast(pa.string()), pa.array(docnos, kind), pa.array(tfs, pa.int32())], names=["term", "docno", "tf"])
+
+    for docno, found in counts:
+        docnos += [docno] * len(found)
+        terms += found.keys()
+        tfs += found.values()
+        if len(terms) >= most:
+            yield made()
+            docnos, terms, tfs = [], [], []
+    if terms:
+        yield made()
+
+
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str | None]]:
     for batch in batches:
-        docnos, terms, tfs = [], [], []
-        for docno, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            found = Counter((text or "").encode().split())
-            docnos += [docno] * len(found)
-            terms += found.keys()
-            tfs += found.values()
-        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.binary()).cast(pa.string()), pa.array(docnos, batch.column(0).type), pa.array(tfs, pa.int32())], names=["term", "docno", "tf"])
+        yield from ((docno.as_py(), text.as_py()) for docno, text in zip(batch.column(0), batch.column(1), strict=True))
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _rows(((docno, Counter((text or "").encode().split())) for docno, text in _documents(batches)), pa.int64(), ROWS)
 
 
 def term_frequencies(docs: DataFrame, docno: str = "docno", text: str = "text", unique: bool = True) -> DataFrame:

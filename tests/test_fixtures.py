@@ -4,6 +4,7 @@ import gzip
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -277,6 +278,28 @@ def test_a_pair_is_shuffled_in_few_bytes(spark, monkeypatch):
     assert n > 100_000 and size < 3 * n
 
 
+def test_counted_rows_are_sent_by_bounded_batches(monkeypatch):
+    monkeypatch.setattr(index, "ROWS", 100)
+    texts = [" ".join(f"t{j}" for j in range(30))] * 50
+    batch = pa.RecordBatch.from_arrays([pa.array(range(50), pa.int64()), pa.array(texts)], names=["docno", "text"])
+    sizes = [b.num_rows for b in index._counted(iter([batch]))]
+    assert sum(sizes) == 1500 and max(sizes) < 130
+
+
+def test_lists_are_coded_by_bounded_slices(spark, monkeypatch):
+    held = []
+    for name in ("encode_lists", "decode_lists"):
+        real = getattr(codec, name)
+        monkeypatch.setattr(codec, name, lambda *a, f=real: (held.append(len(a[0]) if len(a) > 1 else sum(map(len, a[0]))), f(*a))[1])
+    monkeypatch.setattr(codec, "TOGETHER", 100)
+    monkeypatch.setattr(codec.F, "arrow_udf", lambda f, kind: lambda column: f(column))
+    kind = pa.list_(pa.struct([("docno", pa.int64()), ("tf", pa.int32())]))
+    lists = pa.array([None if k % 7 == 3 else [{"docno": 5 * j, "tf": j + 1} for j in range(k % 40)] for k in range(300)], kind)
+    assert codec.decoded(codec.encoded(lists)).to_pylist() == lists.to_pylist()
+    assert len(held) > 50 and max(held) <= 100
+    assert codec.decoded(codec.encoded(lists[:0])).to_pylist() == []
+
+
 def test_a_line_is_split_once(spark):
     df = spark.createDataFrame([("a b c",)], "line string")
     plan = counts.bigram_count(df)._jdf.queryExecution().optimizedPlan().toString()
