@@ -10,13 +10,14 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions.codec import decoded, encoded
-from corvane.functions.text import tokens
 from corvane.plans.lineage import scratch
 from corvane.sources import readers, sinks
 
@@ -56,13 +57,26 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return _rows(((docno, Counter((text or "").encode().split())) for docno, text in _documents(batches)), pa.int64(), ROWS)
 
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same of rows sorted by document number: what follows one another under one number is one document."""
+
+    def counts() -> Iterator[tuple[int, Counter]]:
+        for docno, texts in groupby(_documents(batches), itemgetter(0)):
+            found: Counter = Counter()
+            for _, text in texts:
+                found.update((text or "").encode().split())
+            yield docno, found
+
+    return _rows(counts(), pa.int64(), ROWS)
+
+
 def term_frequencies(docs: DataFrame, docno: str = "docno", text: str = "text", unique: bool = True) -> DataFrame:
-    """(term, docno, tf). Where document numbers are unique, a document's row is counted where it stands, without a shuffle."""
+    """(term, docno, tf). Where document numbers are unique, a document's row is counted where it stands, without a
+    shuffle; else texts, which are smaller than their tokens as rows, are brought together by number."""
+    rows = docs.select(F.col(docno).cast("long").alias("docno"), F.col(text).alias("text"))
     if unique:
-        rows = docs.select(F.col(docno).cast("long").alias("docno"), F.col(text).alias("text"))
         return rows.mapInArrow(_counted, "term string, docno long, tf int")
-    rows = docs.select(F.col(docno).cast("long").alias("docno"), F.explode(tokens(F.col(text))).alias("term"))
-    return rows.groupBy("term", "docno").agg(F.count("*").cast("int").alias("tf"))
+    return rows.repartitionByRange("docno").sortWithinPartitions("docno").mapInArrow(_merged, "term string, docno long, tf int")
 
 
 def build_index(docs: DataFrame, docno: str = "docno", text: str = "text", chunk: int = CHUNK, unique: bool = True) -> DataFrame:

@@ -300,6 +300,32 @@ def test_lists_are_coded_by_bounded_slices(spark, monkeypatch):
     assert codec.decoded(codec.encoded(lists[:0])).to_pylist() == []
 
 
+def test_rows_of_one_document_are_counted_together(spark):
+    rows = [(k % 40, f"a b{k % 3} a") for k in range(200)] + [(None, "a"), (7, None), (7, "")]
+    df = spark.createDataFrame(rows, "docno long, text string").repartition(5)
+    want = {}
+    for d, t in rows:
+        for w in (t or "").split():
+            want[w, d] = want.get((w, d), 0) + 1
+    got = index.term_frequencies(df, unique=False)
+    assert {(r.term, r.docno): r.tf for r in got.collect()} == want and got.count() == len(want)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Aggregate" not in plan  # texts are shuffled, not a row for each token
+
+
+def test_ranks_go_through_lists_of_targets(spark, monkeypatch):
+    links = {k: [(k * j + 1) % 60 for j in range(1, 1 + k % 23)] for k in range(60)}
+    t = made(spark, links)
+    want = as_dict(pagerank.pagerank(*t, iterations=6))
+    monkeypatch.setattr(pagerank, "LINKS", 4)
+    shares = pagerank.shared_edges(t[1]).collect()
+    assert len(shares) < sum(map(len, links.values())) and max(len(r.dsts) for r in shares) < 14
+    assert sorted((r.src, d) for r in shares for d in r.dsts) == sorted((k, d) for k, ds in links.items() for d in ds)
+    assert as_dict(pagerank.pagerank(*t, iterations=6)) == pytest.approx(want, abs=1e-12)
+    exact = as_dict(pagerank.pagerank(*t, tolerance=1e-9))
+    assert exact == pytest.approx(as_dict(pagerank.pagerank(*t, iterations=150)), abs=1e-8)
+
+
 def test_a_line_is_split_once(spark):
     df = spark.createDataFrame([("a b c",)], "line string")
     plan = counts.bigram_count(df)._jdf.queryExecution().optimizedPlan().toString()
