@@ -1,8 +1,8 @@
 """PageRank and personalized PageRank in probabilities, with top-k reports.
 
 An iteration joins ranks to edges, sums what arrives at each node, and gives back what got lost: what dangling nodes
-held and what went to ids without a record. Edges with their sources' degrees are written once, partitioned by
-source; what arrives is written in every iteration, for it is read twice, and so neither plans nor lineage grow.
+held and what went to ids without a record. Lists of targets with their sources' degrees are written once, partitioned
+and sorted by source, so that no iteration moves or sorts them; what arrives is written in every iteration, for it is read twice, and so neither plans nor lineage grow.
 """
 
 from __future__ import annotations
@@ -18,12 +18,23 @@ from corvane.plans.lineage import kept
 from corvane.sources import readers, sinks
 
 ALPHA = 0.15
+#: Targets in one row, about.
+LINKS = 1 << 14
 
 
 def shared_edges(edges: DataFrame) -> DataFrame:
-    """(src, dst, part): edges with the part of their source's mass that each carries."""
-    degrees = edges.groupBy("src").agg((F.lit(1.0) / F.count("*")).alias("part"))
-    return kept(edges.join(degrees, "src").repartition("src"))
+    """(src, part, dsts): up to about LINKS targets of a source, with the part of its mass that each gets; partitioned and sorted by source."""
+    edges = kept(edges.select("src", "dst").repartition("src"))
+    degrees = edges.groupBy("src").agg(F.count("*").alias("n"))
+    slot = F.pmod(F.xxhash64("dst"), F.ceil(F.col("n") / LINKS)).alias("slot")
+    lists = edges.join(degrees, "src").groupBy("src", "n", slot).agg(F.collect_list("dst").alias("dsts"))
+    return kept(lists.select("src", (F.lit(1.0) / F.col("n")).alias("part"), "dsts").repartition("src").sortWithinPartitions("src"))
+
+
+def _arriving(ranks: DataFrame, shares: DataFrame, *sent: str) -> DataFrame:
+    """(dst, m of each column of ranks in `sent`): what arrives at each target."""
+    each = ranks.join(shares, ranks.id == shares.src).select(F.explode("dsts").alias("dst"), *[(F.col(p) * F.col("part")).alias(p) for p in sent])
+    return each.groupBy("dst").agg(*[F.sum(p).alias(p.replace("p", "m")) for p in sent])
 
 
 def counters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -37,12 +48,17 @@ def counters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.agg(F.count("*").alias("nodes")).crossJoin(F.broadcast(sums)).select("nodes", F.col("received").alias("edges"), F.col("received").alias("messages"), "received", "missing")
 
 
-def stepped(nodes: DataFrame, shares: DataFrame, ranks: DataFrame, alpha: float, n: int) -> DataFrame:
-    """ranks after one more iteration; what arrives is written."""
-    arriving = ranks.join(shares, ranks.id == shares.src).groupBy("dst").agg(F.sum(F.col("p") * F.col("part")).alias("m"))
-    held = kept(nodes.join(arriving, nodes.id == arriving.dst, "left").select("id", F.coalesce("m", F.lit(0.0)).alias("m")))
+def _changed(ranks: DataFrame, shares: DataFrame, alpha: float, n: int) -> DataFrame:
+    """(id, q, p): ranks before and after one more iteration; what arrives is written."""
+    arriving = _arriving(ranks, shares, "p")
+    held = kept(ranks.join(arriving, ranks.id == arriving.dst, "left").select("id", F.col("p").alias("q"), F.coalesce("m", F.lit(0.0)).alias("m")))
     lost = held.agg(F.greatest(F.lit(0.0), F.lit(1.0) - F.sum("m")).alias("lost"))
-    return held.crossJoin(F.broadcast(lost)).select("id", (F.lit(alpha / n) + (1 - alpha) * (F.col("m") + F.col("lost") / n)).alias("p"))
+    return held.crossJoin(F.broadcast(lost)).select("id", "q", (F.lit(alpha / n) + (1 - alpha) * (F.col("m") + F.col("lost") / n)).alias("p"))
+
+
+def stepped(ranks: DataFrame, shares: DataFrame, alpha: float, n: int) -> DataFrame:
+    """ranks (id, p) of all nodes after one more iteration."""
+    return _changed(ranks, shares, alpha, n).select("id", "p")
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int | None = 10, alpha: float = ALPHA, n: int | None = None, tolerance: float | None = None, most: int = 200, start: DataFrame | None = None) -> DataFrame:
@@ -57,16 +73,16 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int | None = 10, al
     if n == 0:
         return nodes.withColumn("p", F.lit(0.0))
     shares = shared_edges(edges)
-    ranks = start.select("id", "p") if start is not None else nodes.withColumn("p", F.lit(1.0 / n))
+    ranks = nodes.join(start.select("id", "p"), "id", "left") if start is not None else nodes.withColumn("p", F.lit(1.0 / n))
     if tolerance is None:
         for _ in range(iterations or 0):
-            ranks = stepped(nodes, shares, ranks, alpha, n)
+            ranks = stepped(ranks, shares, alpha, n)
         return ranks
     change = float("inf")
     for _ in range(most):
-        after = stepped(nodes, shares, ranks, alpha, n)
-        change = after.join(ranks.withColumnRenamed("p", "q"), "id").agg(F.sum(F.abs(F.col("p") - F.col("q")))).first()[0]
-        ranks = after
+        after = _changed(ranks, shares, alpha, n)
+        change = after.agg(F.sum(F.abs(F.col("p") - F.col("q")))).first()[0]
+        ranks = after.select("id", "p")
         if change <= tolerance:
             return ranks
     raise RuntimeError(f"after {most} iterations ranks still change by {change}, more than {tolerance}")
@@ -89,7 +105,7 @@ def pagerank_from(nodes: DataFrame, edges: DataFrame, base: str, first: int, las
         ranks = nodes.withColumn("p", F.lit(1.0 / max(n, 1)))
         sinks.write_iteration(ranks, base, 0)
     for k in range(first + 1, last + 1):
-        sinks.write_iteration(stepped(nodes, shares, ranks, alpha, n), base, k)
+        sinks.write_iteration(stepped(ranks, shares, alpha, n), base, k)
         ranks = readers.iteration(spark, base, k)
     return ranks
 
@@ -108,8 +124,7 @@ def personalized_pagerank(nodes: DataFrame, edges: DataFrame, sources: list[int]
     at: list[Column] = [F.col("id") == s for s in sources]
     ranks = nodes.select("id", *[F.when(a, 1.0).otherwise(0.0).alias(f"p{i}") for i, a in enumerate(at)])
     for _ in range(iterations):
-        sums = [F.sum(F.col(f"p{i}") * F.col("part")).alias(f"m{i}") for i in range(len(sources))]
-        arriving = ranks.join(shares, ranks.id == shares.src).groupBy("dst").agg(*sums)
+        arriving = _arriving(ranks, shares, *[f"p{i}" for i in range(len(sources))])
         held = kept(nodes.join(arriving, nodes.id == arriving.dst, "left").select("id", *[F.coalesce(f"m{i}", F.lit(0.0)).alias(f"m{i}") for i in range(len(sources))]))
         lost = held.agg(*[F.greatest(F.lit(0.0), F.lit(1.0) - F.sum(f"m{i}")).alias(f"l{i}") for i in range(len(sources))])
         p = [(F.when(a, alpha).otherwise(0.0) + (1 - alpha) * (F.col(f"m{i}") + F.when(a, F.col(f"l{i}")).otherwise(0.0))).alias(f"p{i}") for i, a in enumerate(at)]
