@@ -3,13 +3,15 @@
 A line counts each of its distinct tokens once. Tokens rarer than min_count can't be in a pair that isn't, so they
 are dropped before lines are paired; the rest are paired by number, smaller with larger, and counted once for both
 directions. Counts of partial results are combined before the shuffle, which takes about a byte and a half for each
-pair that is not of two frequent terms. There is no reserved token.
+pair that is not of two frequent terms; so pairs are shuffled in rounds, each of which is summed and leaves only the
+pairs that reach min_count before the next begins. There is no reserved token.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import distinct_tokens
-from corvane.plans.lineage import kept
+from corvane.plans.lineage import kept, released
 
 MIN_COUNT = 10
 #: Terms of a line that one task pairs with one another, partners in one map of a stripe, about, and pairs that are
@@ -28,6 +30,8 @@ LONG, PARTNERS, HELD = 4096, 1 << 16, 1 << 22
 #: Terms whose pairs have a cell each in every task that makes pairs, terms that every task knows, tokens that are
 #: looked up together, and rows of a batch.
 FREQUENT, WORDS, TOKENS, ROWS = 8192, 1 << 22, 1 << 21, 1 << 17
+#: Pairs of a round for each number that the lines hold, about.
+SHARE = 4
 
 
 def line_tokens(lines: DataFrame, line: str = "line", key: tuple[str, ...] = ("doc_id", "line_no")) -> DataFrame:
@@ -114,12 +118,13 @@ class _Packets:
 PACKETS = "part int, dense long, n long, keys binary, cnts binary"
 
 
-def _paired(tasks: int, width: int, frequent: int, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """PACKETS of how often each pair stands in rows (left, right, same), `most` pairs being made at a time.
+def _paired(tasks: int, rounds: int, nth: int, width: int, frequent: int, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """PACKETS of how often each pair of the nth round stands in rows (left, right, same), `most` pairs being held at a time.
 
-    A row pairs every number of left with every one of right, or with those after it if both are the same; the right
-    one is larger. Pairs of numbers below `frequent` are counted in a triangle of one cell each until the rows end.
-    Of other pairs, the larger number a is dealt to task a % tasks, whose numbers are width * task + a // tasks.
+    A row pairs every number of right with every one of left, or with those before it if both are the same; the right
+    one is larger. Pairs of numbers below `frequent` are of the first round, and counted in a triangle of one cell each
+    until the rows end. Of other pairs, the larger number a is dealt to task t = a % tasks, whose numbers are
+    width * t + a // tasks, and which is the (t // rounds)-th one of round t % rounds.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,33 +137,39 @@ def _paired(tasks: int, width: int, frequent: int, most: int) -> Callable[[Itera
             cuts = np.searchsorted(key, (np.arange(tasks + 1) * width) << 32)
             for t in np.flatnonzero(np.diff(cuts)).tolist():
                 at = slice(cuts[t], cuts[t + 1])
-                out.add(t, -1, key[at], cnt[at].astype(np.int32))
+                out.add(t // rounds, -1, key[at], cnt[at].astype(np.int32))
 
-        for batch in batches:
-            left, right = (batch.column(k) for k in (0, 1))
-            one, two = (x.flatten().to_numpy().astype(np.int64) for x in (left, right))
-            starts, m = ((f(right).to_numpy()) for f in (lambda x: x.offsets, pc.list_value_length))
-            own = np.repeat(np.arange(batch.num_rows), pc.list_value_length(left).to_numpy())
-            place = np.arange(len(one)) - (left.offsets.to_numpy()[:-1] - left.offsets[0].as_py())[own]
-            skip = np.where(batch.column(2).to_numpy(zero_copy_only=False)[own], place + 1, 0)
-            first, n = (starts[:-1] - starts[0])[own] + skip, m[own] - skip
-            ends = np.cumsum(n)
-            at = 0
+        def made(high: np.ndarray, first: np.ndarray, n: np.ndarray, one: np.ndarray) -> Iterator[np.ndarray]:
+            """high plus each of the n numbers of `one` from first on."""
+            ends, at = np.cumsum(n), 0
             while at < len(n):
-                stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+                stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most // 4, side="right")))
                 some = n[at:stop]
-                a = two[np.repeat(first[at:stop] - np.cumsum(some) + some, some) + np.arange(int(some.sum()))]
-                b = np.repeat(one[at:stop], some)
+                key = np.arange(int(some.sum()))
+                key += np.repeat(first[at:stop] - np.cumsum(some) + some, some)
+                key = one[key]
+                key += np.repeat(high[at:stop], some)
                 at = stop
-                few = a < frequent
-                x, y = a[few], b[few]
-                if len(x):
-                    if cells is None:
-                        cells = np.zeros(frequent * (frequent - 1) // 2, dtype=np.int32)
-                    np.add.at(cells, x * (x - 1) // 2 + y, np.int32(1))
-                x, y = a[~few], b[~few]
-                held.append(((x % tasks * width + x // tasks) << 32) | y)
-                size += len(x)
+                yield key
+
+        for batch in batches:
+            left, right = (batch.column(k) for k in (0, 1))
+            one, two = (x.flatten().to_numpy().astype(np.int64) for x in (left, right))
+            starts, m = left.offsets.to_numpy()[:-1] - left.offsets[0].as_py(), pc.list_value_length(left).to_numpy()
+            own = np.repeat(np.arange(batch.num_rows), pc.list_value_length(right).to_numpy())
+            place = np.arange(len(two)) - (right.offsets.to_numpy()[:-1] - right.offsets[0].as_py())[own]
+            n = np.where(batch.column(2).to_numpy(zero_copy_only=False)[own], place, m[own]).astype(np.int64)
+            few = two < frequent
+            at = np.flatnonzero(few & (n > 0)) if nth == 0 else ()
+            if len(at):
+                if cells is None:
+                    cells = np.zeros(frequent * (frequent - 1) // 2, dtype=np.int32)
+                for cell in made(two[at] * (two[at] - 1) // 2, starts[own[at]], n[at], one):
+                    np.add.at(cells, cell, np.int32(1))
+            at = np.flatnonzero(~few & (n > 0) & (two % tasks % rounds == nth))
+            for key in made((two[at] % tasks * width + two[at] // tasks) << 32, starts[own[at]], n[at], one):
+                held.append(key)
+                size += len(key)
                 if size >= most:
                     counted()
                     size = 0
@@ -170,7 +181,7 @@ def _paired(tasks: int, width: int, frequent: int, most: int) -> Callable[[Itera
             for a in range(1, frequent):
                 row = cells[a * (a - 1) // 2 : a * (a + 1) // 2]
                 if row.any():
-                    out.add(a % tasks, a, None, row)
+                    out.add(a % tasks // rounds, a, None, row)
                 yield from out.sent(1024)
             yield from out.sent()
 
@@ -224,6 +235,27 @@ def _summed(min_count: int, tasks: int, width: int, most: int, finish: Callable[
     return lambda batches: finish(triples(batches))
 
 
+def _closed(found: Triples) -> Iterator[pa.RecordBatch]:
+    """PACKETS of summed pairs, whose part says nothing."""
+    out = _Packets()
+    for a, b, cnt in found:
+        out.add(0, -1, (a << 32) | b, cnt.astype(np.int32))
+        yield from out.sent(64)
+    yield from out.sent()
+
+
+def _opened(finish: Callable[[Triples], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """finish() of what _closed() was given."""
+
+    def triples(batches: Iterator[pa.RecordBatch]) -> Triples:
+        for batch in batches:
+            for n, keys, cnts in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
+                key = np.cumsum(_unpacked(keys, n, np.int64))
+                yield key >> 32, key & 0xFFFFFFFF, _unpacked(cnts, n, np.int32).astype(np.int64)
+
+    return lambda batches: finish(triples(batches))
+
+
 def _plain(found: Triples) -> Iterator[pa.RecordBatch]:
     for three in found:
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in three], names=["a", "b", "cnt"])
@@ -268,19 +300,23 @@ def _sets(lines: DataFrame, terms: _Terms, line: str, key: tuple[str, ...]) -> D
     return kept(rows.groupBy(*key).agg(F.sort_array(F.collect_list("n")).alias("ns")).where(F.size("ns") > 1).select("ns"))
 
 
-def _summing(lines: DataFrame, terms: _Terms, line: str, key: tuple[str, ...]) -> tuple[DataFrame, int, int]:
-    """PACKETS of the pairs of lines by the task that sums them, the number of tasks, and how many numbers each has.
+def _summing(lines: DataFrame, terms: _Terms, line: str, key: tuple[str, ...]) -> tuple[DataFrame, list[DataFrame], tuple[int, int]]:
+    """PACKETS of the first round's pairs of lines by the task that sums them, those of later rounds, and for all rounds
+    the number of tasks and how many numbers each has.
 
     Pairs are made and counted in Arrow batches. Those of FREQUENT terms, most of a line's, are counted where they are
     made, by as many tasks as run at once, and leave a cell each; the others leave gaps between sorted pairs, to be
-    summed by as many tasks as 2 * HELD pairs each need. A line of more than LONG terms is paired block by block, by as many
-    tasks.
+    summed by as many tasks as 2 * HELD pairs each need. These are dealt over rounds, each of SHARE pairs for each number
+    that the lines hold, about, so that a round's shuffle grows as the lines do, not as their pairs. A line of more than
+    LONG terms is paired block by block, by as many tasks.
     """
     sets = _sets(lines, terms, line, key)
     size, few = F.size("ns").cast("long"), F.size(F.filter("ns", lambda n: n < FREQUENT)).cast("long")
-    rest, longest = sets.agg(F.sum((size * (size - 1) - few * (few - 1)) / 2), F.max(size)).first()
+    rest, numbers, longest = sets.agg(F.sum((size * (size - 1) - few * (few - 1)) / 2), F.sum(size), F.max(size)).first()
     parallel = lines.sparkSession.sparkContext.defaultParallelism
-    tasks = max(parallel, -(-int(rest or 0) // (2 * HELD)))
+    each = max(parallel * HELD, SHARE * (numbers or 0))
+    rounds = -(-int(rest or 0) // each) or 1
+    tasks = rounds * max(parallel, -(-int(rest or 0) // (2 * HELD * rounds)))
     dealt = sets.where(F.size("ns") <= LONG).select(F.col("ns").alias("left"), F.col("ns").alias("right"), F.lit(True).alias("same")).coalesce(parallel)
     if (longest or 0) > LONG:
         blocks = F.expr(f"sequence(0, (size(ns) - 1) div {LONG})")
@@ -290,16 +326,30 @@ def _summing(lines: DataFrame, terms: _Terms, line: str, key: tuple[str, ...]) -
         dealt = dealt.unionByName(long.repartition(parallel, F.xxhash64("left", "right")))
     width = -(-terms.size // tasks) or 1
     frequent = min(FREQUENT, terms.size)
-    return dealt.mapInArrow(_paired(tasks, width, frequent, HELD), PACKETS).repartitionById(tasks, F.col("part")), tasks, width
+    made = [dealt.mapInArrow(_paired(tasks, rounds, nth, width, frequent, HELD), PACKETS).repartitionById(tasks // rounds, F.col("part")) for nth in range(rounds)]
+    return made[0], made[1:], (tasks, width)
+
+
+def _counted(lines: DataFrame, terms: _Terms, min_count: int, line: str, key: tuple[str, ...]) -> tuple[DataFrame, int]:
+    """PACKETS, as _closed() makes them, of the pairs in min_count lines or more, and among how many tasks they stand.
+
+    Each round is summed and written before the next one begins, and what it shuffled is freed.
+    """
+    first, later, (tasks, width) = _summing(lines, terms, line, key)
+    done = []
+    for packets in [first, *later]:
+        done.append(kept(packets.mapInArrow(_summed(min_count, tasks, width, 4 * HELD, _closed), PACKETS)))
+        released(lines.sparkSession)
+    return reduce(DataFrame.unionByName, done), tasks
 
 
 def pairs(lines: DataFrame, min_count: int = MIN_COUNT, line: str = "line", key: tuple[str, ...] = ("doc_id", "line_no")) -> DataFrame:
     """(left, right, cnt, left_cnt, right_cnt) of both directions of every pair in min_count lines or more."""
     terms = _numbered(lines, min_count, line)
-    packets, tasks, width = _summing(lines, terms, line, key)
+    counted, _ = _counted(lines, terms, min_count, line, key)
     if terms.words:
-        return packets.mapInArrow(_summed(min_count, tasks, width, 4 * HELD, _named(terms.words)), "left string, right string, cnt long, left_cnt long, right_cnt long")
-    half = packets.mapInArrow(_summed(min_count, tasks, width, 4 * HELD, _plain), "a long, b long, cnt long")
+        return counted.mapInArrow(_opened(_named(terms.words)), "left string, right string, cnt long, left_cnt long, right_cnt long")
+    half = counted.mapInArrow(_opened(_plain), "a long, b long, cnt long")
     both = half.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("p"), "cnt").select("p.x", "p.y", "cnt")
     left = terms.rows.select(F.col("n").alias("x"), F.col("term").alias("left"), F.col("cnt").alias("left_cnt"))
     right = terms.rows.select(F.col("n").alias("y"), F.col("term").alias("right"), F.col("cnt").alias("right_cnt"))
@@ -400,8 +450,8 @@ def _striped(lines: DataFrame, min_count: int, marginal: bool, line: str = "line
         counted = pairs(lines, min_count, line, key)
         each = counted.groupBy("left", "left_cnt", F.pmod(F.xxhash64("right"), F.lit(parts)).cast("int").alias("part")).agg(F.map_from_entries(F.collect_list(F.struct("right", value.alias("value")))).alias("stripe"))
         return each.select(F.col("left").alias("term"), F.col("left_cnt").alias("cnt"), "part", "stripe")
-    packets, tasks, width = _summing(lines, terms, line, key)
-    ways = packets.mapInArrow(_summed(min_count, tasks, width, 4 * HELD, _ways(tasks, parts, HELD)), PACKETS).repartitionById(tasks, F.col("part"))
+    counted, tasks = _counted(lines, terms, min_count, line, key)
+    ways = counted.mapInArrow(_opened(_ways(tasks, parts, HELD)), PACKETS).repartitionById(tasks, F.col("part"))
     value = "struct<cnt:bigint,right_cnt:bigint>" if marginal else "bigint"
     return ways.mapInArrow(_maps(terms.words, parts, 4 * HELD, marginal), f"term string, cnt long, part int, stripe map<string,{value}>")
 

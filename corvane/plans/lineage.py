@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -29,6 +30,12 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def released(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of frames that nothing refers to any more, which else stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def scratch(spark: SparkSession) -> str:
     """A new path below the checkpoint folder, for what a query writes and reads again."""
     return f"{folder(spark)}/{uuid.uuid4().hex}"

@@ -278,6 +278,29 @@ def test_a_pair_is_shuffled_in_few_bytes(spark, monkeypatch):
     assert n > 100_000 and size < 3 * n
 
 
+@pytest.mark.parametrize("words", [1 << 22, 0])
+def test_pairs_are_shuffled_in_rounds(spark, monkeypatch, words):
+    """All pairs were shuffled at once, which took more disk than the lines' own growth."""
+    for name, value in {"FREQUENT": 20, "WORDS": words, "HELD": 4000, "SHARE": 2, "PARTNERS": 64}.items():
+        monkeypatch.setattr(cooc, name, value)
+    df, how = _lines(spark, 1500), {"line": "text", "key": ("docno",)}
+    first, later, _ = cooc._summing(df, cooc._numbered(df, 1, "text"), "text", ("docno",))
+    sizes = [sum(r.n for r in part.where("dense < 0").select("n").collect()) for part in (first, *later)]
+    assert len(sizes) > 3 and max(sizes) < 2 * sum(sizes) / len(sizes)
+    want, alone = {}, {}
+    for r in df.collect():
+        s = set(r.text.split())
+        for x in s:
+            alone[x] = alone.get(x, 0) + 1
+            for y in s - {x}:
+                want[x, y] = want.get((x, y), 0) + 1
+    want = {(x, y): (c, alone[x], alone[y]) for (x, y), c in want.items() if c >= 3}
+    rows = cooc.pairs(df, 3, **how).collect()
+    assert len(rows) == len(want) and {(r.left, r.right): tuple(r)[2:] for r in rows} == want
+    rows = cooc.stripe_pairs(cooc.stripes(df, 3, **how)).collect()
+    assert len(rows) == len(want) and {(r.left, r.right): r.cnt for r in rows} == {k: v[0] for k, v in want.items()}
+
+
 def test_counted_rows_are_sent_by_bounded_batches(monkeypatch):
     monkeypatch.setattr(index, "ROWS", 100)
     texts = [" ".join(f"t{j}" for j in range(30))] * 50
