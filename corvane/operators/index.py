@@ -54,11 +54,7 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str | N
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return _rows(((docno, Counter((text or "").encode().split())) for docno, text in _documents(batches)), pa.int64(), ROWS)
-
-
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same of rows sorted by document number: what follows one another under one number is one document."""
+    """(term, docno, tf) of texts: those that follow one another under one number are one document."""
 
     def counts() -> Iterator[tuple[int, Counter]]:
         for docno, texts in groupby(_documents(batches), itemgetter(0)):
@@ -72,11 +68,14 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def term_frequencies(docs: DataFrame, docno: str = "docno", text: str = "text", unique: bool = True) -> DataFrame:
     """(term, docno, tf). Where document numbers are unique, a document's row is counted where it stands, without a
-    shuffle; else texts, which are smaller than their tokens as rows, are brought together by number."""
+    shuffle, and reaches Python line by line, so that a batch of some thousand rows is small; else texts, which are
+    smaller than their tokens as rows, are brought together by number."""
     rows = docs.select(F.col(docno).cast("long").alias("docno"), F.col(text).alias("text"))
     if unique:
-        return rows.mapInArrow(_counted, "term string, docno long, tf int")
-    return rows.repartitionByRange("docno").sortWithinPartitions("docno").mapInArrow(_merged, "term string, docno long, tf int")
+        rows = rows.select("docno", F.explode(F.split("text", "\n")).alias("text"))
+    else:
+        rows = rows.repartitionByRange("docno").sortWithinPartitions("docno")
+    return rows.mapInArrow(_counted, "term string, docno long, tf int")
 
 
 def build_index(docs: DataFrame, docno: str = "docno", text: str = "text", chunk: int = CHUNK, unique: bool = True) -> DataFrame:

@@ -309,6 +309,22 @@ def test_counted_rows_are_sent_by_bounded_batches(monkeypatch):
     assert sum(sizes) == 1500 and max(sizes) < 130
 
 
+def test_documents_reach_python_line_by_line(spark, monkeypatch):
+    """A batch held some thousand whole documents."""
+
+    def sizes(batches):
+        import pyarrow
+
+        for b in batches:
+            yield pyarrow.RecordBatch.from_pydict({"term": ["size"], "docno": [b.nbytes], "tf": pyarrow.array([1], pyarrow.int32())})
+
+    df = spark.createDataFrame([(k, "a b c d e f g h\n" * 2000) for k in range(200)], "docno long, text string").coalesce(1)
+    got = index.term_frequencies(df).where("docno % 50 = 7")
+    assert {(r.term, r.docno, r.tf) for r in got.collect()} == {(t, k, 2000) for t in "abcdefgh" for k in (7, 57, 107, 157)} and got.count() == 32
+    monkeypatch.setattr(index, "_counted", sizes)
+    assert max(r.docno for r in index.term_frequencies(df).collect()) < 1 << 20
+
+
 def test_lists_are_coded_by_bounded_slices(spark, monkeypatch):
     held = []
     for name in ("encode_lists", "decode_lists"):
