@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import distinct_tokens
-from corvane.plans.lineage import kept, released
+from corvane.plans.lineage import kept, released, spent
 
 MIN_COUNT = 10
 #: Terms of a line that one task pairs with one another, partners in one map of a stripe, about, and pairs that are
@@ -48,11 +48,11 @@ def marginals(lines: DataFrame, min_count: int = 1, line: str = "line") -> DataF
 def _joined(rows: DataFrame) -> DataFrame:
     """(term, cnt, n): the terms, numbered from 0 without gaps, frequent ones first: by their place in a partition and the sizes of those before it."""
     place = F.monotonically_increasing_id()
-    rows = kept(rows.orderBy(F.col("cnt").desc(), "term").withColumns({"part": F.shiftright(place, 33), "place": place.bitwiseAND(F.lit((1 << 33) - 1))}))
+    rows = spent(rows.orderBy(F.col("cnt").desc(), "term").withColumns({"part": F.shiftright(place, 33), "place": place.bitwiseAND(F.lit((1 << 33) - 1))}))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = rows.groupBy("part").agg(F.count("*").alias("size"))  # a row for each partition
     firsts = sizes.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("first"))
-    return kept(rows.join(F.broadcast(firsts), "part").select("term", "cnt", (F.col("first") + F.col("place")).alias("n")))
+    return spent(rows.join(F.broadcast(firsts), "part").select("term", "cnt", (F.col("first") + F.col("place")).alias("n")))
 
 
 def _looked_up(words: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -286,7 +286,7 @@ class _Terms:
 
 
 def _numbered(lines: DataFrame, min_count: int, line: str) -> _Terms:
-    rows = kept(marginals(lines, min_count, line))
+    rows = spent(marginals(lines, min_count, line))
     size = rows.count()
     if size > WORDS:
         return _Terms(size, None, _joined(rows))
@@ -299,7 +299,7 @@ def _sets(lines: DataFrame, terms: _Terms, line: str, key: tuple[str, ...]) -> D
     if terms.words:
         return kept(lines.select(distinct_tokens(F.col(line)).alias("t")).mapInArrow(_looked_up(terms.words), "ns array<int>"))
     rows = line_tokens(lines, line, key).join(terms.rows.select("term", F.col("n").cast("int")), "term")
-    return kept(rows.groupBy(*key).agg(F.sort_array(F.collect_list("n")).alias("ns")).where(F.size("ns") > 1).select("ns"))
+    return spent(rows.groupBy(*key).agg(F.sort_array(F.collect_list("n")).alias("ns")).where(F.size("ns") > 1).select("ns"))
 
 
 def _summing(lines: DataFrame, terms: _Terms, line: str, key: tuple[str, ...]) -> tuple[DataFrame, list[DataFrame], tuple[int, int]]:
@@ -335,13 +335,12 @@ def _summing(lines: DataFrame, terms: _Terms, line: str, key: tuple[str, ...]) -
 def _counted(lines: DataFrame, terms: _Terms, min_count: int, line: str, key: tuple[str, ...]) -> tuple[DataFrame, int]:
     """PACKETS, as _closed() makes them, of the pairs in min_count lines or more, and among how many tasks they stand.
 
-    Each round is summed and written before the next one begins, and what it shuffled is freed.
+    Each round is summed and written, and what it shuffled deleted, before the next one begins.
     """
     first, later, (tasks, width) = _summing(lines, terms, line, key)
-    done = []
-    for packets in [first, *later]:
-        done.append(kept(packets.mapInArrow(_summed(min_count, tasks, width, 4 * HELD, _closed), PACKETS)))
-        released(lines.sparkSession)
+    done = [spent(packets.mapInArrow(_summed(min_count, tasks, width, 4 * HELD, _closed), PACKETS)) for packets in [first, *later]]
+    del first, later  # the lines' numbers, which they read, may go too
+    released(lines.sparkSession)
     return reduce(DataFrame.unionByName, done), tasks
 
 

@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Whether a frame deletes its shuffle files when it has run.
+CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def folder(spark: SparkSession) -> str:
     """The session's checkpoint folder.
@@ -30,8 +33,23 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spent(df: DataFrame) -> DataFrame:
+    """kept(df); the files that df shuffled are deleted as soon as it is written, not when the driver collects its garbage.
+
+    A frame is told so as it is made, so this is a new one, which runs once.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANED, "false")
+    conf.set(CLEANED, "true")
+    try:
+        once = df.select("*")
+    finally:
+        conf.set(CLEANED, before)
+    return kept(once)
+
+
 def released(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of frames that nothing refers to any more, which else stay until the driver happens to collect its garbage."""
+    """Lets Spark delete the files of checkpoints and shuffles that nothing refers to any more, which else stay until the driver happens to collect its garbage."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

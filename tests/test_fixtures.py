@@ -301,6 +301,29 @@ def test_pairs_are_shuffled_in_rounds(spark, monkeypatch, words):
     assert len(rows) == len(want) and {(r.left, r.right): r.cnt for r in rows} == {k: v[0] for k, v in want.items()}
 
 
+def _shuffles(spark):
+    ids = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().keysIterator()
+    found = set()
+    while ids.hasNext():
+        found.add(ids.next())
+    return found
+
+
+def test_a_round_deletes_its_shuffle(spark, monkeypatch):
+    """The files of a round stayed until the driver collected its garbage, mostly through the next one."""
+    for name, value in {"FREQUENT": 20, "HELD": 4000, "SHARE": 2, "released": lambda spark: None}.items():
+        monkeypatch.setattr(cooc, name, value)
+    df = _lines(spark, 1500)
+    before = _shuffles(spark)
+    terms = cooc._numbered(df, 3, "text")
+    counted, tasks = cooc._counted(df, terms, 3, "text", ("docno",))
+    assert tasks > 3 * spark.sparkContext.defaultParallelism  # more than three rounds
+    assert len(_shuffles(spark) - before) <= 2  # the two counts of rows
+    assert counted.count() > 0 and spark.conf.get(lineage.CLEANED) == "false"
+    df.groupBy("docno").count().collect()
+    assert _shuffles(spark) - before  # other frames keep theirs
+
+
 def test_counted_rows_are_sent_by_bounded_batches(monkeypatch):
     monkeypatch.setattr(index, "ROWS", 100)
     texts = [" ".join(f"t{j}" for j in range(30))] * 50
