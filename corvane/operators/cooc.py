@@ -122,9 +122,11 @@ def _paired(tasks: int, rounds: int, nth: int, width: int, frequent: int, most:
     """PACKETS of how often each pair of the nth round stands in rows (left, right, same), `most` pairs being held at a time.
 
     A row pairs every number of right with every one of left, or with those before it if both are the same; the right
-    one is larger; where no row of a batch has a right, it is the left. Pairs of numbers below `frequent` are of the first round, and counted in a triangle of one cell each
-    until the rows end. Of other pairs, the larger number a is dealt to task t = a % tasks, whose numbers are
-    width * t + a // tasks, and which is the (t // rounds)-th one of round t % rounds.
+    one is larger; where no row of a batch has numbers in right, it is the left. Right is empty there, not null: Spark
+    writes nulls in a column of arrays in a time that grows with the square of a batch's rows. Pairs of numbers below
+    `frequent` are of the first round, and counted in a triangle of one cell each until the rows end. Of other pairs,
+    the larger number a is dealt to task t = a % tasks, whose numbers are width * t + a // tasks, and which is the
+    (t // rounds)-th one of round t % rounds.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +156,7 @@ def _paired(tasks: int, rounds: int, nth: int, width: int, frequent: int, most:
 
         for batch in batches:
             left, right = (batch.column(k) for k in (0, 1))
-            if right.null_count == len(right):
+            if not len(right.flatten()):
                 right = left
             one, two = (x.flatten().to_numpy().astype(np.int64) for x in (left, right))
             starts, m = left.offsets.to_numpy()[:-1] - left.offsets[0].as_py(), pc.list_value_length(left).to_numpy()
@@ -319,7 +321,7 @@ def _summing(lines: DataFrame, terms: _Terms, line: str, key: tuple[str, ...]) -
     each = max(parallel * HELD, SHARE * (numbers or 0))
     rounds = -(-int(rest or 0) // each) or 1
     tasks = rounds * max(parallel, -(-int(rest or 0) // (2 * HELD * rounds)))
-    dealt = sets.where(F.size("ns") <= LONG).select(F.col("ns").alias("left"), F.lit(None).cast("array<int>").alias("right"), F.lit(True).alias("same")).coalesce(parallel)
+    dealt = sets.where(F.size("ns") <= LONG).select(F.col("ns").alias("left"), F.expr("cast(array() as array<int>)").alias("right"), F.lit(True).alias("same")).coalesce(parallel)
     if (longest or 0) > LONG:
         blocks = F.expr(f"sequence(0, (size(ns) - 1) div {LONG})")
         long = sets.where(F.size("ns") > LONG).select("ns", F.explode(F.flatten(F.transform(blocks, lambda i: F.transform(F.filter(blocks, lambda j: j >= i), lambda j: F.struct(i.alias("i"), j.alias("j")))))).alias("at"))

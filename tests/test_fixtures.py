@@ -301,6 +301,15 @@ def test_pairs_are_shuffled_in_rounds(spark, monkeypatch, words):
     assert len(rows) == len(want) and {(r.left, r.right): r.cnt for r in rows} == {k: v[0] for k, v in want.items()}
 
 
+def test_empty_partners_are_the_line_itself():
+    """They were null, which Spark wrote to Python in a time that grew with the square of a batch's rows."""
+    kind = pa.list_(pa.int32())
+    batch = pa.RecordBatch.from_arrays([pa.array([[0, 2, 5], [2, 5]], kind), pa.array([[], []], kind), pa.array([True, True])], names=["left", "right", "same"])
+    out = list(cooc._paired(1, 1, 0, 6, 0, 100)(iter([batch])))
+    key, cnt = cooc._read(iter(out), 100, {})
+    assert [(int(k) >> 32, int(k) & 0xFFFFFFFF, int(c)) for k, c in zip(key, cnt, strict=True)] == [(2, 0, 1), (5, 0, 1), (5, 2, 2)]
+
+
 def _shuffles(spark):
     ids = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().keysIterator()
     found = set()
