@@ -9,6 +9,7 @@ pairs that reach min_count before the next begins. There is no reserved token.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -30,8 +31,9 @@ LONG, PARTNERS, HELD = 4096, 1 << 16, 1 << 22
 #: Terms whose pairs have a cell each in every task that makes pairs, terms that every task knows, tokens that are
 #: looked up together, and rows of a batch.
 FREQUENT, WORDS, TOKENS, ROWS = 8192, 1 << 22, 1 << 21, 1 << 17
-#: Pairs of a round for each number that the lines hold, about.
-SHARE = 4
+#: Pairs of a round for each number that the lines hold, about, and what part of these numbers the rarest terms have
+#: whose pairs are counted first where the best pair is wanted: one in RARE.
+SHARE, RARE = 4, 8
 
 
 def line_tokens(lines: DataFrame, line: str = "line", key: tuple[str, ...] = ("doc_id", "line_no")) -> DataFrame:
@@ -288,12 +290,16 @@ class _Terms:
 
 
 def _numbered(lines: DataFrame, min_count: int, line: str) -> _Terms:
-    rows = spent(marginals(lines, min_count, line))
+    return _terms(spent(marginals(lines, min_count, line)))
+
+
+def _terms(rows: DataFrame) -> _Terms:
+    """The terms of (term, cnt), which were written."""
     size = rows.count()
     if size > WORDS:
         return _Terms(size, None, _joined(rows))
     table = rows.toArrow().sort_by([("cnt", "descending"), ("term", "ascending")]).combine_chunks()
-    return _Terms(size, lines.sparkSession.sparkContext.broadcast(table), None)
+    return _Terms(size, rows.sparkSession.sparkContext.broadcast(table), None)
 
 
 def _sets(lines: DataFrame, terms: _Terms, line: str, key: tuple[str, ...]) -> DataFrame:
@@ -348,7 +354,11 @@ def _counted(lines: DataFrame, terms: _Terms, min_count: int, line: str, key: tu
 
 def pairs(lines: DataFrame, min_count: int = MIN_COUNT, line: str = "line", key: tuple[str, ...] = ("doc_id", "line_no")) -> DataFrame:
     """(left, right, cnt, left_cnt, right_cnt) of both directions of every pair in min_count lines or more."""
-    terms = _numbered(lines, min_count, line)
+    return _pairs_of(lines, _numbered(lines, min_count, line), min_count, line, key)
+
+
+def _pairs_of(lines: DataFrame, terms: _Terms, min_count: int, line: str, key: tuple[str, ...]) -> DataFrame:
+    """pairs() of these terms."""
     counted, _ = _counted(lines, terms, min_count, line, key)
     if terms.words:
         return counted.mapInArrow(_opened(_named(terms.words)), "left string, right string, cnt long, left_cnt long, right_cnt long")
@@ -477,6 +487,28 @@ def pmi_max(scores: DataFrame) -> DataFrame:
     return scores.orderBy(F.col("pmi").desc(), "left", "right").limit(1)
 
 
+def pmi_best(lines: DataFrame, min_count: int = MIN_COUNT, normalise: bool = True, places: int = 6, line: str = "line", key: tuple[str, ...] = ("doc_id", "line_no")) -> DataFrame:
+    """pmi_max() of pmi() rounded to so many places, without counting the pairs that can't be the best.
+
+    A pair is in no more lines than its rarer term, so c(a,b) / (c(a) * c(b)) is at most 1 / c of its more frequent one.
+    Pairs of the rarest terms are counted first. The best of them says how frequent a term of a pair as good can be; if
+    that is beyond the terms counted, the pairs of all terms up to there are counted, and of all terms if none was found.
+    """
+    rows = spent(marginals(lines, min_count, line))
+    sizes = sorted(rows.groupBy("cnt").agg(F.count("*").alias("terms")).collect())
+    counts = np.array([r.cnt for r in sizes], dtype=np.int64)
+    numbers = np.cumsum([r.cnt * r.terms for r in sizes])
+    first = max(1, int(np.searchsorted(numbers, numbers[-1] // RARE, side="right"))) if len(sizes) else 0
+    found = _pairs_of(lines, _terms(rows.where(F.col("cnt") <= int(counts[:first].max(initial=0)))), min_count, line, key)
+    if first < len(counts):
+        best = found.agg(F.max(F.col("cnt") / (F.col("left_cnt") * F.col("right_cnt")))).first()[0]
+        most = math.exp(2 * 10.0**-places) / best if best else math.inf  # what rounds to the same is as good
+        if counts[first] <= most:
+            found = _pairs_of(lines, _terms(rows.where(F.col("cnt") <= int(counts[counts <= most].max()))), min_count, line, key)
+    scores = scored(found, lines.agg(F.count("*").alias("n")) if normalise else None)
+    return pmi_max(scores.withColumn("pmi", F.round("pmi", places)))
+
+
 def pmi_topk(scores: DataFrame, word: str, k: int) -> DataFrame:
     """(right, pmi): the k best partners of a word."""
     return scores.where(F.col("left") == word).orderBy(F.col("pmi").desc(), "right").limit(k).select("right", "pmi")

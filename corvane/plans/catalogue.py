@@ -139,7 +139,7 @@ def pmi_count(spark, sf_dir):
 
 
 def pmi_top_pair(spark, sf_dir):
-    return cooc.pmi_max(pmi(spark, sf_dir))
+    return cooc.pmi_best(lines(spark, sf_dir))
 
 
 def pmi_topk_for_word(spark, sf_dir):

@@ -333,6 +333,38 @@ def test_a_round_deletes_its_shuffle(spark, monkeypatch):
     assert _shuffles(spark) - before  # other frames keep theirs
 
 
+def _rows_of(monkeypatch):
+    """The numbers of terms whose pairs are counted from now on."""
+    sizes, counted = [], cooc._counted
+    monkeypatch.setattr(cooc, "_counted", lambda lines, terms, *how: sizes.append(terms.size) or counted(lines, terms, *how))
+    return sizes
+
+
+COMMON = [f"a{k % 2} b{k % 3} c{k % 5} d" for k in range(60)]
+BEST = [
+    ([f"{t} x y" if k % 10 == 0 else t for k, t in enumerate(COMMON)], 3, 1 << 22, 8, 1),  # two rare terms, always together
+    ([f"{t} r{k % 12}" for k, t in enumerate(COMMON)], 3, 0, 8, 2),  # rare terms, none of which meets another
+    (["x y"] * 9 + ["x", "y"] * 9 + ["a b"] * 36 + ["o"] * 50, 1, 1 << 22, 4, 2),  # 9 / (18 * 18) is 36 / (36 * 36), and a, b come first
+]
+
+
+@pytest.mark.parametrize("texts, least, words, rare, passes", BEST)
+def test_the_best_pair_is_found_from_the_rare_terms_on(spark, monkeypatch, texts, least, words, rare, passes):
+    """All pairs were counted for one row."""
+    monkeypatch.setattr(cooc, "WORDS", words)
+    monkeypatch.setattr(cooc, "RARE", rare)
+    sizes, alone, both = _rows_of(monkeypatch), {}, {}
+    for s in (set(t.split()) for t in texts):
+        for x in s:
+            alone[x] = alone.get(x, 0) + 1
+            for y in s - {x}:
+                both[x, y] = both.get((x, y), 0) + 1
+    want = min((-round(math.log(c / (alone[x] * alone[y]) * len(texts)), 6), x, y) for (x, y), c in both.items() if c >= least)
+    df = spark.createDataFrame(list(enumerate(texts)), "docno long, text string").coalesce(2)
+    assert [(-r.pmi, r.left, r.right) for r in cooc.pmi_best(df, least, line="text", key=("docno",)).collect()] == [want]
+    assert len(sizes) == passes and sizes[0] < len(alone)
+
+
 def test_counted_rows_are_sent_by_bounded_batches(monkeypatch):
     monkeypatch.setattr(index, "ROWS", 100)
     texts = [" ".join(f"t{j}" for j in range(30))] * 50
