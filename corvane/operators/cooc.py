@@ -509,6 +509,17 @@ def pmi_best(lines: DataFrame, min_count: int = MIN_COUNT, normalise: bool = Tru
     return pmi_max(scores.withColumn("pmi", F.round("pmi", places)))
 
 
+def pmi_of(lines: DataFrame, word: str, min_count: int = MIN_COUNT, normalise: bool = True, line: str = "line") -> DataFrame:
+    """The rows of pmi() whose left is the word. A term's lines, and those that the word is in too, are counted together; no other pairs are."""
+    sets = lines.select(distinct_tokens(F.col(line)).alias("t"))
+    beside = F.array_contains("t", F.lit(word))
+    terms = sets.select(F.explode("t").alias("right"), beside.alias("beside")).groupBy("right").agg(F.count("*").alias("right_cnt"), F.count_if("beside").alias("cnt"))
+    whole = sets.agg(F.count("*").alias("n"), F.count_if(beside).alias("left_cnt"))
+    counted = terms.where((F.col("cnt") >= min_count) & (F.col("right") != word)).crossJoin(F.broadcast(whole)).withColumn("left", F.lit(word))
+    ratio = F.col("cnt") / (F.col("left_cnt") * F.col("right_cnt"))
+    return counted.select("left", "right", F.log(ratio * F.col("n") if normalise else ratio).alias("pmi"))
+
+
 def pmi_topk(scores: DataFrame, word: str, k: int) -> DataFrame:
     """(right, pmi): the k best partners of a word."""
     return scores.where(F.col("left") == word).orderBy(F.col("pmi").desc(), "right").limit(k).select("right", "pmi")

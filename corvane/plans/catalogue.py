@@ -143,7 +143,7 @@ def pmi_top_pair(spark, sf_dir):
 
 
 def pmi_topk_for_word(spark, sf_dir):
-    return cooc.pmi_topk(pmi(spark, sf_dir), WORD, 10)
+    return cooc.pmi_topk(rounded(cooc.pmi_of(lines(spark, sf_dir), WORD), "pmi"), WORD, 10)
 
 
 # Index and retrieval

@@ -365,6 +365,19 @@ def test_the_best_pair_is_found_from_the_rare_terms_on(spark, monkeypatch, texts
     assert len(sizes) == passes and sizes[0] < len(alone)
 
 
+def test_partners_of_a_word_need_no_other_pairs(spark, monkeypatch):
+    """All pairs were counted for one word."""
+    df, how = _lines(spark).coalesce(2), {"line": "text", "key": ("docno",)}
+    df = df.unionAll(spark.createDataFrame([(-1, None), (-2, ""), (-3, "w1 w1 alone w2")], df.schema))
+    all_pairs = {(r.left, r.right): r.pmi for r in cooc.pmi(df, 3, **how).collect()}
+    sizes = _rows_of(monkeypatch)
+    for word in ("w1", "alone", "absent"):
+        got = cooc.pmi_of(df, word, 3, line="text").collect()
+        assert {(r.left, r.right): r.pmi for r in got} == {k: v for k, v in all_pairs.items() if k[0] == word}
+        assert len({r.right for r in got}) == len(got) and (got or word in ("alone", "absent"))
+    assert not sizes
+
+
 def test_counted_rows_are_sent_by_bounded_batches(monkeypatch):
     monkeypatch.setattr(index, "ROWS", 100)
     texts = [" ".join(f"t{j}" for j in range(30))] * 50
